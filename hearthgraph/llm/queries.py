@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .binary_ids import op8_binary_ids
 from .bpe import op6_bpe_round_trip
+from .packing import op5_packing
 from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op6_bpe_round_trip, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op5_packing, op6_bpe_round_trip, op8_binary_ids, op10_token_counts)}
 ORACLES: dict[str, str] = {}

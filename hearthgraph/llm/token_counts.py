@@ -19,6 +19,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -232,8 +233,6 @@ def counter(path: str) -> Counter:
 
 def token_count_udf(path: str):
     """text -> number of tokens; null text counts as empty."""
-    import pandas as pd
-
     @pandas_udf("long")
     def n_tokens(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter(path).count
