@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .binary_ids import op8_binary_ids
 from .bpe import op6_bpe_round_trip
+from .exact_topk import op1_exact_top_k
+from .learned_partitions import op3_learned_partitions
 from .packing import op5_packing
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op5_packing, op6_bpe_round_trip, op8_binary_ids, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op8_binary_ids, op10_token_counts)}
 ORACLES: dict[str, str] = {}
