@@ -8,9 +8,10 @@ from .exact_topk import op1_exact_top_k
 from .learned_partitions import op3_learned_partitions
 from .packing import op5_packing
 from .quality import op2_quality
+from .secrets import op9_secrets
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op9_secrets, op10_token_counts)}
 ORACLES: dict[str, str] = {}
