@@ -5,7 +5,8 @@ most take one byte. A block is
 
     header   5 little-endian uint64: magic, documents, ids, control bytes, data bytes
     lengths  documents x uint32, ids of each document, its end id included
-    control  2 bits for each id, four to a byte, lowest bits first: bytes of that rank less one
+    control  2 bits for each id, four to a byte, lowest bits first: bytes of that rank less one;
+             each document begins a new control byte
     data     the ranks' bytes, little-endian, without gaps
 
 Control and data bytes stand apart, so a block is decoded by table lookup: a control byte gives
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,8 +49,14 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[keep].tobytes()
 
 
-def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
-    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+def decode_ranks(control: bytes, data: bytes, lengths: np.ndarray) -> np.ndarray:
+    """The ranks of documents with so many ids each, one after the other."""
+    lengths = np.asarray(lengths, np.int64)
+    slots = -(-lengths // 4) * 4
+    used = np.ones(int(slots.sum()), bool)
+    for k in (1, 2, 3):  # what a document leaves of its last control byte
+        used[np.cumsum(slots)[slots - lengths >= k] - k] = False
+    size = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[used]
     at = np.cumsum(size) - size
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
     out = raw[at]
@@ -58,18 +66,28 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack_block(lengths: list[int], ranks: np.ndarray) -> bytes:
-    control, data = encode_ranks(ranks)
-    return struct.pack("<5Q", MAGIC, len(lengths), len(ranks), len(control), len(data)) + np.array(lengths, "<u4").tobytes() + control + data
+def pack_block(lengths: list[int], control: bytes, data: bytes) -> bytes:
+    return struct.pack("<5Q", MAGIC, len(lengths), sum(lengths), len(control), len(data)) + np.array(lengths, "<u4").tobytes() + control + data
 
 
 def unpack_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of the documents and all ranks."""
-    magic, docs, n, controls, size = struct.unpack_from("<5Q", block)
+    magic, docs, _, controls, size = struct.unpack_from("<5Q", block)
     if magic != MAGIC or len(block) != 40 + 4 * docs + controls + size:
         raise ValueError("not a block of ids")
     at = 40 + 4 * docs
-    return np.frombuffer(block, "<u4", docs, 40), decode_ranks(block[at : at + controls], block[at + controls :], n)
+    lengths = np.frombuffer(block, "<u4", docs, 40)
+    return lengths, decode_ranks(block[at : at + controls], block[at + controls :], lengths)
+
+
+def planes(ids: np.ndarray, width: int) -> bytes:
+    """All lowest bytes, then all next ones: what is handed over compresses better so."""
+    return np.ascontiguousarray(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def from_planes(raw: bytes, width: int) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8).reshape(width, -1).T
+    return np.ascontiguousarray(x).view(f"<u{width}").ravel()
 
 
 def tokenized(df: DataFrame, path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
@@ -85,8 +103,7 @@ def tokenized(df: DataFrame, path: str, end_id: int, doc_id: str, text: str) ->
                 part = b.slice(k, 256)
                 raw = []
                 for t in part.column(1).to_pylist():
-                    x = np.array([*ids.encode(t or ""), end_id], "<u4")
-                    raw.append((x.astype("<u2") if small else x).tobytes())
+                    raw.append(planes(np.array([*ids.encode(t or ""), end_id], "<u4"), 2 if small else 4))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([2 if small else 4] * len(raw), pa.int32()), pa.array(raw, pa.binary())], ["doc_id", "width", "ids"])
 
     return df.select(doc_id, text).mapInArrow(run, f"doc_id {kind}, width int, ids binary")
@@ -99,7 +116,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
         total = np.zeros(0, np.int64)
         for b in batches:
             for width, raw in zip(b.column(0).to_pylist(), b.column(1)):
-                x = np.bincount(np.frombuffer(raw.as_buffer(), f"<u{width}"))
+                x = np.bincount(from_planes(raw.as_buffer(), width))
                 if len(x) > len(total):
                     total = np.concatenate([total, np.zeros(len(x) - len(total), np.int64)])
                 total[: len(x)] += x
@@ -112,7 +129,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
 def write_ids(df: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the texts' ids to out/blocks and their ranks to out/ranks.
 
-    Ascending doc_id (nulls first; rows of the same id in the order of their bytes), every row,
+    Ascending doc_id (nulls first; rows of the same id by number of ids, then coded bytes), every row,
     null text as empty. An empty table gives files without blocks."""
     spark = df.sparkSession
     ids = stored(tokenized(df, path, end_id, doc_id, text), "ids", compression="zstd")
@@ -125,33 +142,46 @@ def write_ids(df: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str =
     shared = spark.sparkContext.broadcast(rank_of)
     kind = ids.schema["doc_id"].dataType.simpleString()
 
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack_ = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            n, body = [], []
+            for width, raw in zip(b.column(1).to_pylist(), b.column(2)):
+                x = from_planes(raw.as_buffer(), width)
+                one, two = encode_ranks(shared.value[x])
+                n.append(len(x))
+                body.append(pack_(one + two))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "n", "coded"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, table_ = TaskContext.get().partitionId(), shared.value
-        names, lengths, held, size, block, start = [], [], [], 0, 0, 0
+        unpack, part = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId()
+        names, lengths, held, size, block, start = [], [], ([], []), 0, 0, 0
 
         def out_() -> pa.RecordBatch:
-            body = pack_block(lengths, table_[np.concatenate(held)])
+            body = pack_block(lengths, b"".join(held[0]), b"".join(held[1]))
             cols = [pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([start], pa.int64()), pa.array([size], pa.int64()), pa.array([names], pa.list_(id_type)), pa.array([body], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["part", "block", "start", "n", "doc_ids", "body"])
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for name, width, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                x = np.frombuffer(raw.as_buffer(), f"<u{width}")
-                if size and size + len(x) > BLOCK:
+            for name, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if size and size + n > BLOCK:
                     yield out_()
                     start, block = start + size, block + 1
-                    names, lengths, held, size = [], [], [], 0
+                    names, lengths, held, size = [], [], ([], []), 0
+                coded = unpack(raw)
                 names.append(name)
-                lengths.append(len(x))
-                held.append(x)
-                size += len(x)
+                lengths.append(n)
+                held[0].append(coded[: -(-n // 4)])
+                held[1].append(coded[-(-n // 4) :])
+                size += n
         if size:
             yield out_()
 
-    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    coded = ids.mapInArrow(code, f"doc_id {kind}, n long, coded binary")
+    ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "coded")
     spec = f"part int, block long, start long, n long, doc_ids array<{kind}>, body binary"
-    ordered.mapInArrow(run, spec).write.option("compression", "uncompressed").parquet(f"{out}/blocks")
+    ordered.mapInArrow(run, spec).write.option("compression", "zstd").parquet(f"{out}/blocks")
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:

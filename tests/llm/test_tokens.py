@@ -77,7 +77,13 @@ def test_variable_length_round_trip():
         x = (rnd.rand(n) * 2.0 ** rnd.randint(0, 32, n)).astype("<u4")
         control, data = binary_ids.encode_ranks(x)
         assert len(control) == -(-n // 4)
-        assert (binary_ids.decode_ranks(control, data, n) == x).all()
+        assert (binary_ids.decode_ranks(control, data, [n]) == x).all()
+    docs = [(rnd.rand(n) * 70000).astype("<u4") for n in (1, 0, 4, 7, 2, 3, 8)]
+    coded = [binary_ids.encode_ranks(x) for x in docs]
+    block = binary_ids.pack_block([len(x) for x in docs], b"".join(c for c, _ in coded), b"".join(d for _, d in coded))
+    lengths, ranks = binary_ids.unpack_block(block)
+    assert lengths.tolist() == [len(x) for x in docs] and (ranks == np.concatenate(docs)).all()
+    assert (binary_ids.from_planes(binary_ids.planes(docs[3], 4), 4) == docs[3]).all()
     with pytest.raises(ValueError):
         binary_ids.unpack_block(b"\0" * 60)
 
@@ -105,7 +111,8 @@ def test_round_trip_on_odd_rows(odd, odd_rows):
 def test_binary_ids_on_odd_rows(spark, odd, odd_rows, lib, tmp_path):
     binary_ids.write_ids(odd, JSON, f"{tmp_path}/a")
     got = sorted(binary_ids.read_ids(spark, f"{tmp_path}/a").collect(), key=lambda r: r.start)
-    rows = sorted((i if i is not None else -1, array("I", [*lib.encode(t or "", add_special_tokens=False).ids, 0]).tobytes()) for i, t, _ in odd_rows)
+    own = lambda t: array("I", [*lib.encode(t or "", add_special_tokens=False).ids, 0]).tobytes()
+    rows = sorted((i if i is not None else -1, own(t)) for i, t, _ in odd_rows)
     start = 0
     for r, (i, raw) in zip(got, rows, strict=True):
         assert ((r.doc_id if r.doc_id is not None else -1), r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(raw) // 4, raw)
