@@ -25,7 +25,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -129,7 +128,7 @@ def id_counts(ids: DataFrame) -> DataFrame:
 def write_ids(df: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the texts' ids to out/blocks and their ranks to out/ranks.
 
-    Ascending doc_id (nulls first; rows of the same id by number of ids, then coded bytes), every row,
+    Ascending doc_id (nulls first; rows of the same id by number of ids, then their bytes), every row,
     null text as empty. An empty table gives files without blocks."""
     spark = df.sparkSession
     ids = stored(tokenized(df, path, end_id, doc_id, text), "ids", compression="zstd")
@@ -142,19 +141,8 @@ def write_ids(df: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str =
     shared = spark.sparkContext.broadcast(rank_of)
     kind = ids.schema["doc_id"].dataType.simpleString()
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_ = zstandard.ZstdCompressor(level=1).compress
-        for b in batches:
-            n, body = [], []
-            for width, raw in zip(b.column(1).to_pylist(), b.column(2)):
-                x = from_planes(raw.as_buffer(), width)
-                one, two = encode_ranks(shared.value[x])
-                n.append(len(x))
-                body.append(pack_(one + two))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(body, pa.binary())], ["doc_id", "n", "coded"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack, part = zstandard.ZstdDecompressor().decompress, TaskContext.get().partitionId()
+        part, rank = TaskContext.get().partitionId(), shared.value
         names, lengths, held, size, block, start = [], [], ([], []), 0, 0, 0
 
         def out_() -> pa.RecordBatch:
@@ -164,22 +152,21 @@ def write_ids(df: DataFrame, path: str, out: str, end_id: int = 0, doc_id: str =
 
         for b in batches:
             id_type = b.schema.field(0).type
-            for name, n, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if size and size + n > BLOCK:
+            for name, width, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                x = from_planes(raw.as_buffer(), width)
+                if size and size + len(x) > BLOCK:
                     yield out_()
                     start, block = start + size, block + 1
                     names, lengths, held, size = [], [], ([], []), 0
-                coded = unpack(raw)
                 names.append(name)
-                lengths.append(n)
-                held[0].append(coded[: -(-n // 4)])
-                held[1].append(coded[-(-n // 4) :])
-                size += n
+                lengths.append(len(x))
+                for to, coded in zip(held, encode_ranks(rank[x])):
+                    to.append(coded)
+                size += len(x)
         if size:
             yield out_()
 
-    coded = ids.mapInArrow(code, f"doc_id {kind}, n long, coded binary")
-    ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n", "coded")
+    ordered = ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
     spec = f"part int, block long, start long, n long, doc_ids array<{kind}>, body binary"
     ordered.mapInArrow(run, spec).write.option("compression", "zstd").parquet(f"{out}/blocks")
 
@@ -210,7 +197,8 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
                 )
 
     docs = blocks.select("part", "start", "doc_ids", "body").mapInArrow(run, f"part int, doc_id {kind}, start long, n_tokens long, ids binary")
-    return docs.join(base, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    # base has a row for each task of the writing job, so its size does not follow the rows
+    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
 
 def digests(docs: DataFrame) -> DataFrame:
