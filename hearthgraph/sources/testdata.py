@@ -32,8 +32,8 @@ LISTING = {
     "bedrooms": "CAST(p_size % 4 AS INT)",
     "area": _OUT,
     "postcode": f"CASE WHEN {P} % 31 = 0 THEN NULL WHEN ({P} + {K}) % 3 = 0 THEN {_OUT} ELSE {_FULL} END",
-    "latitude": f"CASE WHEN ({P} + {K}) % 7 = 0 THEN NULL ELSE 51.5 + ({P} % 997) * 0.0003 + {K} * 0.0001 END",
-    "longitude": f"CASE WHEN ({P} + {K}) % 7 = 0 THEN NULL ELSE -0.05 + ({P} % 991) * 0.0003 END",
+    "latitude": f"CASE WHEN ({P} + {K}) % 7 = 0 THEN NULL ELSE 51.5e0 + ({P} % 997) * 0.0003e0 + {K} * 0.0001e0 END",
+    "longitude": f"CASE WHEN ({P} + {K}) % 7 = 0 THEN NULL ELSE -0.05e0 + ({P} % 991) * 0.0003e0 END",
     "address": f"(CASE WHEN {P} % 4 = 0 THEN 'Flat ' || CAST({P} % 30 AS STRING) || ', ' ELSE '' END) || CAST({P} % 90 AS STRING) || ' ' || p_name || (CASE WHEN {K} = 0 THEN ' St' ELSE ' Street' END) || ', Hackney, London'",
     "description": f"'<p>Bright ' || p_type || ' &amp; ' || p_brand || '</p> EPC rating: C. £' || CAST({P} % 900 + 500 AS STRING) || ' pcm. ' || {pick(['Balcony and dishwasher', 'Private garden, gas central heating', 'Lift, concierge and bike store', 'Unfurnished with parking'], P)} || '. Deposit: 5 weeks rent £900. About the area: busy.'",
     "image_url": f"CASE WHEN {P} % 11 = 0 THEN NULL ELSE 'https://img.example/' || CAST({P} AS STRING) || '.jpg' END",
