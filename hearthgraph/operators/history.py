@@ -65,3 +65,10 @@ def run_durations(runs: DataFrame) -> DataFrame:
 
 def last_run(runs: DataFrame) -> DataFrame:
     return runs.where("completed_at is not null").agg(F.max_by("run_id", F.struct("started_at", "run_id")).alias("run_id"), F.max("started_at").alias("started_at"))
+
+
+def unsent_drops(listings: DataFrame, changes: DataFrame, key: str = "entity") -> DataFrame:
+    """Each sent, untold listing with its whole latest drop, as one row of both tables."""
+    w = Window.partitionBy(key).orderBy(F.desc("ts"), F.desc("obs_id"))
+    rows = listings.where("notification_status = 'sent' and not told").join(changes.where("change < 0"), key)
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

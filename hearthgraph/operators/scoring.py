@@ -229,3 +229,30 @@ def clean_json(doc: Column) -> Column:
     """Trailing commas and control characters taken out; null if it still cannot be read."""
     fixed = F.regexp_replace(F.regexp_replace(doc, r"[\x00-\x1f]", " "), r",\s*([}\]])", "$1")
     return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+
+
+def denormalise(df: DataFrame) -> DataFrame:
+    """Columns that searches filter by, from an unpacked document."""
+    outdoor = F.when(F.expr(_ANY_OUT), F.coalesce(F.expr(_OUTDOOR), F.lit(False)))
+    return df.withColumns({"has_outdoor_space": outdoor, "red_flag_count": F.coalesce(F.col("red_flags").cast("int"), F.lit(0)), "epc_rating": F.upper("epc")})
+
+
+def merge_analysis(df: DataFrame, changed: Column, price: Column, average: Column) -> DataFrame:
+    """The rule's rating beside the adjusted one; where the price changed the rule is applied anew
+    and the adjusted rating, which was made for the old price, is dropped."""
+    pct = (price - average) / average * 100
+    rating = F.when(pct <= -10, "excellent").when(pct <= 0, "good").when(pct <= 10, "fair").when(pct.isNotNull(), "poor")
+    return df.withColumns({"value": F.when(changed, rating).otherwise(F.col("value")), "adjusted": F.when(~changed, F.col("adjusted"))})
+
+
+def clean_tags(c: Column) -> Column:
+    """Tags of a JSON array without empty items and stray commas; text items only."""
+    return F.filter(F.from_json(c, "array<string>"), lambda x: ~F.trim(x).isin("", ","))
+
+
+def card_projection(df: DataFrame, first_images: DataFrame, changes: DataFrame) -> DataFrame:
+    """Rows in the shape of a card: rating, tags, estimated floor area, first photo, last change."""
+    area = F.bround(F.coalesce(F.col("floor_area_sqm"), F.col("total").cast("double")), 1)
+    out = df.join(first_images.select("unique_id", F.col("url").alias("first_photo")), "unique_id", "left").join(changes, "unique_id", "left")
+    source = F.when(F.col("floor_area_sqm").isNull() & F.col("total").isNotNull(), "estimated")
+    return out.select("unique_id", "price_pcm", "bedrooms", "overall_rating", F.array_join(clean_tags(F.col("tags_up")), "|").alias("highlights"), area.alias("area_sqm"), source.alias("area_source"), F.coalesce("image_url", "first_photo").alias("photo"), "last_change")
