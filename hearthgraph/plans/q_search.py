@@ -78,9 +78,15 @@ def true_cost(spark, sf):
     return out.select("unique_id", "total", "total_high", "rent_pct")
 
 
-@query("""SELECT unique_id, w_days, w_drops, w_benchmark, w_trend, round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6)::DOUBLE AS net, CASE WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= 1.5 THEN 'strong' WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= 0.5 THEN 'moderate' WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= -0.5 THEN 'balanced' ELSE 'limited' END AS strength FROM
- (SELECT unique_id, CASE WHEN days >= 28 THEN 1e0 WHEN days >= 21 THEN round_even(0.6e0 + 0.4e0 * (days - 21) / 7, 2) WHEN days >= 14 THEN round_even(0.4e0 + 0.2e0 * (days - 14) / 7, 2) WHEN days >= 7 THEN round_even(0.2e0 + 0.2e0 * (days - 7) / 7, 2) WHEN days > 0 THEN -0.2e0 ELSE -0.3e0 END AS w_days,
- CASE WHEN nd > 0 THEN round_even(least(1e0, 0.3e0 + 0.2e0 * (nd - 1) + 0.1e0 * (abs(sd) / 100e0)), 2) ELSE 0e0 END AS w_drops, CASE WHEN median IS NULL THEN 0e0 ELSE sign(pct) * CASE WHEN abs(pct) <= 5 THEN 0e0 WHEN abs(pct) <= 15 THEN round_even(0.3e0 + 0.7e0 * (abs(pct) - 5) / 10, 2) ELSE 1e0 END END AS w_benchmark,
+def half_even(x: str) -> str:
+    """SQL for two decimals, halves to even by the decimal value (in units of 1e-9)."""
+    y = f"CAST(round(({x}) * 1e9) AS BIGINT)"
+    return f"(({y} // 10000000 + CASE WHEN {y} % 10000000 > 5000000 OR ({y} % 10000000 = 5000000 AND {y} // 10000000 % 2 = 1) THEN 1 ELSE 0 END) / 100e0)"
+
+
+@query(f"""SELECT unique_id, w_days, w_drops, w_benchmark, w_trend, round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6)::DOUBLE AS net, CASE WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= 1.5 THEN 'strong' WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= 0.5 THEN 'moderate' WHEN round(w_days + w_drops + w_benchmark + w_trend + 0.3, 6) >= -0.5 THEN 'balanced' ELSE 'limited' END AS strength FROM
+ (SELECT unique_id, CASE WHEN days >= 28 THEN 1e0 WHEN days >= 21 THEN {half_even("0.6e0 + 0.4e0 * (days - 21) / 7")} WHEN days >= 14 THEN {half_even("0.4e0 + 0.2e0 * (days - 14) / 7")} WHEN days >= 7 THEN {half_even("0.2e0 + 0.2e0 * (days - 7) / 7")} WHEN days > 0 THEN -0.2e0 ELSE -0.3e0 END AS w_days,
+ CASE WHEN nd > 0 THEN {half_even("least(1e0, 0.3e0 + 0.2e0 * (nd - 1) + 0.1e0 * (abs(sd) / 100e0))")} ELSE 0e0 END AS w_drops, CASE WHEN median IS NULL THEN 0e0 ELSE sign(pct) * CASE WHEN abs(pct) <= 5 THEN 0e0 WHEN abs(pct) <= 15 THEN {half_even("0.3e0 + 0.7e0 * (abs(pct) - 5) / 10")} ELSE 1e0 END END AS w_benchmark,
  CASE WHEN yoy IS NULL THEN 0e0 WHEN yoy >= 7 THEN -0.6e0 WHEN yoy >= 3 THEN -0.3e0 WHEN yoy < 0 THEN 0.5e0 ELSE 0.2e0 END AS w_trend FROM (SELECT *, (price_pcm - median) * 100e0 / median AS pct FROM (SELECT unique_id, price_pcm, CAST(item % 35 AS INT) AS days, item % 4 AS nd, -(item % 4) * (item % 300) AS sd, CASE WHEN item % 5 > 0 THEN 900 + item % 400 END AS median, CASE WHEN item % 6 > 0 THEN item % 12 - 2 END::DOUBLE AS yoy FROM listings)))""")
 def negotiation(spark, sf):
     r = T.listings(spark, sf).selectExpr("unique_id", "price_pcm", "cast(item % 35 as int) as days", "item % 4 as n_drops", "-(item % 4) * (item % 300) as sum_drops", "case when item % 5 > 0 then 900 + item % 400 end as median", "cast(case when item % 6 > 0 then item % 12 - 2 end as double) as yoy", "'mixed' as direction")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hearthgraph.operators import aggregates as G
 from hearthgraph.operators import filters as B
 from hearthgraph.operators import tables as U
 from hearthgraph.plans.registry import query
@@ -38,8 +37,7 @@ def load_snapshots(spark, sf):
     for k in range(4):
         T.listings(spark, sf).where(F.col("k") == k).select(F.col("item").alias("id"), F.col("price_pcm").alias("price")).coalesce(1).write.json(f"{root}/{k}")
     paths = [f"{root}/{k}" for k in range(4)]
-    df = spark.read.schema("id long, price int").json(paths).withColumn("_f", F.input_file_name())
-    return G.first_rows(df, ["id"], ["_f"]).select("id", "price")
+    return files.load_snapshots(spark, paths, "id long, price int", "id", lines=True)
 
 
 @query("SELECT DISTINCT area AS outcode, CAST(bedrooms AS VARCHAR) AS beds, max(price_pcm) OVER (PARTITION BY area, bedrooms) AS median FROM listings")

@@ -11,9 +11,10 @@ def scan_listings(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("first_seen"), "unique_id")
 
 
-def load_snapshots(spark: SparkSession, paths: list[str], schema: str, key: str = "unique_id") -> DataFrame:
-    """JSON snapshot files (arrays of records) merged; of equal keys the first file's wins."""
-    df = spark.read.schema(schema).json(paths, multiLine=True).withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
+def load_snapshots(spark: SparkSession, paths: list[str], schema: str, key: str = "unique_id", lines: bool = False) -> DataFrame:
+    """JSON snapshot files (arrays of records, or a record a line) merged; of equal keys the first
+    file's wins."""
+    df = spark.read.schema(schema).json(paths, multiLine=not lines).withColumns({"_file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
     w = Window.partitionBy(key).orderBy("_file", "_at")
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_file", "_at", "_n")
 
