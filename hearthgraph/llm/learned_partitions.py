@@ -193,7 +193,7 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     blocks = F.element_at(F.create_map(*[F.lit(x) for p, n in (sizes or {0: 1}).items() for x in (p, -(-n // CANDIDATES))]), F.col("part"))
     n_q = -(-queries.count() // QUERIES)
     grid = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    cands = parts.withColumns({"cb": F.pmod(F.xxhash64("least"), blocks), "qb": grid(F.lit(max(1, n_q)))}).drop("v0")
+    cands = parts.withColumns({"cb": F.pmod(F.xxhash64("least"), blocks).cast("int"), "qb": grid(F.lit(max(1, n_q)))})
     routed = queries.withColumn("part", F.explode(F.slice(ranked("v"), 1, probes))).where(F.col("part").isin(list(sizes)))
     routed = routed.withColumns({"qb": block("q", n_q), "cb": grid(blocks)})
 

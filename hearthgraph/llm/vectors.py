@@ -34,7 +34,8 @@ def query_classes(rows: DataFrame) -> DataFrame:
 
 
 def block(key: str, n: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(max(1, n)))
+    """An int, as the numbers of the grid are: both sides of a cogroup must hash alike."""
+    return F.pmod(F.xxhash64(key), F.lit(max(1, n))).cast("int")
 
 
 def matrix(t: pa.Table, name: str, kind: type) -> np.ndarray:

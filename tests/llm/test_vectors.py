@@ -25,6 +25,17 @@ def whole(a, b):
     return int(sum(int(np.floor(64.0 * x)) * int(np.floor(64.0 * y)) for x, y in zip(a, b)))
 
 
+@pytest.fixture
+def scattered(spark):
+    """Each block in a task of its own: sides that hash differently would not meet."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 def vectors(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
     return [(r.vec_id, [float(x) for x in r.embedding]) for r in e]
@@ -44,7 +55,7 @@ def test_exact_top_k_on_the_table(spark, sf):
 
 
 @pytest.mark.parametrize("blocks", [(2048, 8192), (3, 7)])
-def test_exact_top_k_with_ties_copies_and_odd_rows(spark, monkeypatch, blocks):
+def test_exact_top_k_with_ties_copies_and_odd_rows(spark, monkeypatch, scattered, blocks):
     monkeypatch.setattr(exact_topk, "QUERIES", blocks[0])
     monkeypatch.setattr(exact_topk, "CANDIDATES", blocks[1])
     rnd = np.random.RandomState(0)
@@ -79,7 +90,10 @@ def recall(found, rows):
     return hit / total
 
 
-def test_recall_against_brute_force(spark, sf):
+@pytest.mark.parametrize("blocks", [(2048, 8192), (9, 40)])
+def test_recall_against_brute_force(spark, sf, monkeypatch, scattered, blocks):
+    monkeypatch.setattr(learned_partitions, "QUERIES", blocks[0])
+    monkeypatch.setattr(learned_partitions, "CANDIDATES", blocks[1])
     rows = vectors(spark, sf)
     assert recall(collected(learned_partitions.op3_learned_partitions(spark, sf)), rows) >= 0.9
 
