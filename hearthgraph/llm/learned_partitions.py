@@ -26,7 +26,7 @@ from .vectors import answers, block, classes, is_query, matrix, query_classes, s
 
 SAMPLE = 8192  # vectors that the index is fitted on, whatever the table's size
 DEGREE = 16  # neighbours of a vector in the graph
-RECALL = 0.97  # share of held-out neighbours that the probed parts must hold
+RECALL = 0.95  # share of held-out neighbours that the probed parts must hold
 QUERIES, CANDIDATES, STEP = 2048, 8192, 128
 
 
@@ -139,8 +139,8 @@ def fit(x: np.ndarray, parts: int, k: int = 20, recall: float = RECALL) -> Index
 
 
 def parts_for(n: int) -> int:
-    """A part for about 4,096 vectors, 8 to 256, a power of two."""
-    return 1 << min(8, max(3, int(np.log2(max(1, n / 4096)))))
+    """A part for about 4,096 vectors, 16 to 256, a power of two."""
+    return 1 << min(8, max(4, int(np.log2(max(1, n / 4096)))))
 
 
 def sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
