@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +52,35 @@ def area_context(df: DataFrame, boroughs: DataFrame, trends: DataFrame, benchmar
     return df.join(boroughs, "outcode", "left").join(trends, "borough", "left").join(benchmarks, ["outcode", "bedrooms"], "left")
 
 
-def nearest_reference(df: DataFrame, ref: DataFrame, metres: float, rings: int = 10) -> DataFrame:
+def nearest_reference(df: DataFrame, ref: DataFrame, metres: float) -> DataFrame:
     """df (unique_id, postcode, latitude, longitude) with label: of the nearest reference point
     (latitude, longitude, label), else of the same full postcode.
 
-    Grids of cells `metres` wide, twice that, and so on (`rings` of them) are laid out. A row's
-    finest grid with a point in its own or a neighbouring cell tells how far the nearest may be;
-    the grid two steps coarser holds every point that near in its nine cells. Points farther than
-    the coarsest grid's cell are not found."""
-    off = F.array(F.lit(-1), F.lit(0), F.lit(1))
-
-    def cells(d: DataFrame, lat: str, lon: str) -> DataFrame:
-        grids = F.array(*[F.struct(F.lit(r).alias("ring"), *(c.alias(n) for c, n in zip(G.cell(F.col(lat), F.col(lon), metres * 2**r), ("x", "y")))) for r in range(rings + 2)])
-        return d.withColumn("_c", F.explode(grids)).select("*", "_c.ring", "_c.x", "_c.y").drop("_c")
-
-    points = ref.where("latitude is not null").select(F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.col("label").alias("by_place"))
-    spread = cells(points, "_la", "_lo").withColumn("_dx", F.explode(off)).withColumn("_dy", F.explode(off)).withColumns({"x": F.col("x") + F.col("_dx"), "y": F.col("y") + F.col("_dy")}).drop("_dx", "_dy")
-    own = cells(df.select("unique_id", "latitude", "longitude").dropna(), "latitude", "longitude")
-    taken = spread.where(F.col("ring") < rings).select("ring", "x", "y").distinct()
-    finest = own.join(taken, ["ring", "x", "y"], "left_semi").groupBy("unique_id").agg((F.min("ring") + 2).alias("ring"))
+    Places are taken as points of a sphere in space, so poles and the date line are like any
+    other place. Grids of cubes `metres` wide, twice that, and so on are laid out, up to one whose
+    neighbours hold the whole earth; so every row with a place finds a point. A row's finest grid
+    with a point in its own or a neighbouring cube tells that the nearest is at most 2 * sqrt(3)
+    cubes off; the grid two steps coarser holds every point that near in its 27 cubes."""
+    rings = max(0, math.ceil(math.log2(2 * G.EARTH_M / metres))) + 1
+    axes, off = ["x", "y", "z"], F.array(F.lit(-1), F.lit(0), F.lit(1))
+
+    def cubes(d: DataFrame, lat: str, lon: str, most: int) -> DataFrame:
+        la, lo = F.radians(lat), F.radians(lon)
+        place = {"x": F.cos(la) * F.cos(lo), "y": F.cos(la) * F.sin(lo), "z": F.sin(la)}
+        grids = F.array(*[F.struct(F.lit(r).alias("ring"), *(F.floor(c * G.EARTH_M / (metres * 2**r)).alias(n) for n, c in place.items())) for r in range(most)])
+        return d.withColumn("_c", F.explode(grids)).select("*", "_c.*").drop("_c")
+
+    def around(d: DataFrame) -> DataFrame:
+        for c in axes:
+            d = d.withColumn(f"_{c}", F.explode(off))
+        return d.withColumns({c: F.col(c) + F.col(f"_{c}") for c in axes}).drop(*(f"_{c}" for c in axes))
+
+    points = cubes(ref.where("latitude is not null and longitude is not null").select(F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), F.col("label").alias("by_place")), "_la", "_lo", rings + 2)
+    own = cubes(df.select("unique_id", "latitude", "longitude").dropna(), "latitude", "longitude", rings + 2)
+    taken = around(points.where(F.col("ring") < rings).select("ring", *axes).distinct()).distinct()
+    finest = own.join(taken, ["ring", *axes], "left_semi").groupBy("unique_id").agg((F.min("ring") + 2).alias("ring"))
     d = G.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_la"), F.col("_lo"))
-    near = own.join(finest, ["unique_id", "ring"]).join(spread, ["ring", "x", "y"]).withColumn("_d", d)
+    near = around(own.join(finest, ["unique_id", "ring"])).join(points, ["ring", *axes]).withColumn("_d", d)
     found = near.groupBy("unique_id").agg(F.min_by("by_place", F.struct("_d", "by_place")).alias("by_place"))
     codes = ref.where("postcode is not null").groupBy(A.normalize_postcode(F.col("postcode")).alias("_pc")).agg(F.min("label").alias("by_code"))
     out = df.withColumn("_pc", F.when(A.is_full_postcode(F.col("postcode")), A.normalize_postcode(F.col("postcode")))).join(codes, "_pc", "left").join(found, "unique_id", "left")

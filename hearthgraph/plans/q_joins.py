@@ -64,6 +64,20 @@ def nearest_reference(spark, sf):
     return out.select("unique_id", F.round(haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")), 2).alias("metres"))
 
 
+_REF_ALL = f"SELECT 'p' || CAST(p_partkey AS VARCHAR) AS label, CASE WHEN p_partkey % 4 > 0 THEN 51.5 + (p_partkey % 97) * 0.003 END AS la, CASE WHEN p_partkey % 4 > 0 THEN -0.05 + (p_partkey % 89) * 0.003 END AS lo, {T._FULL} AS postcode FROM part WHERE p_partkey % 3 = 0"
+
+
+@query(f"""SELECT l.unique_id, round(d.metres, 2) AS metres, CASE WHEN d.metres IS NULL THEN c.label END AS by_code FROM listings l LEFT JOIN (SELECT unique_id, min(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h))) AS metres FROM (SELECT x.unique_id, {_RH} AS h FROM (SELECT * FROM listings WHERE latitude IS NOT NULL) x, (SELECT * FROM ref WHERE la IS NOT NULL) r) GROUP BY 1) d ON l.unique_id = d.unique_id
+ LEFT JOIN (SELECT postcode, min(label) AS label FROM ref GROUP BY 1) c ON l.postcode = c.postcode""", ref=_REF_ALL)
+def nearest_reference_all(spark, sf):
+    """Every listing: those with a place by distance, the others by postcode."""
+    from hearthgraph.functions.geo import haversine_m
+
+    ref = T.read(spark, sf, "part").where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "case when p_partkey % 4 > 0 then 51.5 + (p_partkey % 97) * 0.003 end as latitude", "case when p_partkey % 4 > 0 then -0.05 + (p_partkey % 89) * 0.003 end as longitude", f"{T._FULL} as postcode")
+    out = J.nearest_reference(T.listings(spark, sf).select("unique_id", "postcode", "latitude", "longitude"), ref, 500.0).join(ref.select("label", F.col("latitude").alias("la"), F.col("longitude").alias("lo")), "label", "left")
+    return out.select("unique_id", F.round(haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")), 2).alias("metres"), F.when(F.col("latitude").isNull(), F.col("label")).alias("by_code"))
+
+
 @query("SELECT unique_id, round(COALESCE(latitude, CASE WHEN postcode LIKE '% %' THEN 51.0 END), 6)::DOUBLE AS latitude FROM listings")
 def geocode(spark, sf):
     r = T.listings(spark, sf)
