@@ -34,12 +34,11 @@ def match_score_ext(pairs: DataFrame, weights: dict | None = None, match_at: flo
     return L.match_score(pairs, EXT_SIGNALS, EXT_WEIGHTS | (weights or {}), match_at)
 
 
-def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms")) -> DataFrame:
+def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None) -> DataFrame:
     """Fate of each new listing: merged_into_anchor (with the earliest anchor of its group and the
     price difference), absorbed into another new one, or genuinely_new."""
     both = new.withColumn("is_anchor", F.lit(False)).unionByName(anchors.withColumn("is_anchor", F.lit(True)))
-    slim = L.keyed(both).select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", "phash")
-    groups = L.group_matches(L.match_score(L.with_photo(L.strong_pairs(slim, list(block)))).where("is_match"), list(block))
+    groups = L.group_matches(L.qualifying_pairs(both, list(block), images), list(block))
     rows = both.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id"))
     order = F.struct("first_seen", "unique_id")
     anchor = F.when(F.col("is_anchor"), order)
@@ -49,9 +48,9 @@ def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str
     return out.select("unique_id", "group_id", "anchor_id", fate.alias("fate"), (F.col("price_pcm") - F.col("anchor_price")).alias("price_change"))
 
 
-def resolve_existing(listings: DataFrame) -> DataFrame:
+def resolve_existing(listings: DataFrame, images: DataFrame | None = None) -> DataFrame:
     """absorbed -> kept, for records of a table that describe the same home."""
-    golden = L.resolve_entities(listings)
+    golden = L.resolve_entities(listings, images=images)
     kept = golden.select(F.col("group_id"), F.col("unique_id").alias("kept"), F.col("members"))
     return kept.where("members > 1")
 

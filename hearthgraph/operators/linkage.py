@@ -156,7 +156,8 @@ def match_score(pairs: DataFrame, signals: dict | None = None, weights: dict | N
 def strong_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     """The pairs of candidate_pairs that can reach a match: outcode, street and price alone give
     45, so a match shares its full postcode, a photo, or a place within 100 m. Three selective
-    joins in place of all pairs of a block; no match is lost."""
+    joins in place of all pairs of a block; no match is lost. Photos are those in hashes (an
+    array), else the main one."""
     df = df.dropna(subset=block)
     a, b = _sides(df)
     legal = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block] + [F.col("unique_id_a") < F.col("unique_id_b"), F.col("source_a") != F.col("source_b")]
@@ -167,7 +168,11 @@ def strong_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     near = proximity_join(a, b, 100.0).where(ok).drop("metres")
     cols = [c for c in a.columns] + [c for c in b.columns]
     found = post.select(cols).union(near.select(cols))
-    if "phash" in df.columns:
+    if "hashes" in df.columns:
+        x, y = (d.withColumn(f"_hash_{s}", F.explode(f"hashes_{s}")) for d, s in ((a, "a"), (b, "b")))
+        hashed = hamming_join(x, y, "_hash_a", "_hash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
+        found = found.union(hashed.where(ok).select(cols))
+    elif "phash" in df.columns:
         hashed = hamming_join(a.dropna(subset=["phash_a"]), b.dropna(subset=["phash_b"]), "phash_a", "phash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
         found = found.union(hashed.where(ok).select(cols))
     return found.dropDuplicates(["unique_id_a", "unique_id_b"])
@@ -256,14 +261,29 @@ def fuse(rows: DataFrame) -> DataFrame:
     return out.withColumns({"sources": sources, "source_urls": urls}).drop("_urls")
 
 
-def resolve_entities(df: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms")) -> DataFrame:
-    """Listings -> golden records: earliest row of each id, strong pairs, score, grouping, fusion."""
+def with_hashes(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """hashes: of the gallery in images (unique_id, image_id, image_type, phash), else of the main
+    photo; null where there is neither."""
+    main = F.when(F.col("phash").isNotNull(), F.array("phash")) if "phash" in df.columns else F.lit(None).cast("array<string>")
+    if images is None:
+        return df.withColumn("hashes", main)
+    gallery = images.where("image_type = 'gallery' and phash is not null").groupBy("unique_id").agg(F.array_sort(F.collect_list(F.struct("image_id", "phash")))["phash"].alias("_g"))
+    return df.join(gallery, "unique_id", "left").withColumn("hashes", F.coalesce("_g", main)).drop("_g")
+
+
+def qualifying_pairs(df: DataFrame, block: list[str], images: DataFrame | None = None) -> DataFrame:
+    """The scored pairs of listings that may be grouped: matches that the gallery veto leaves."""
+    slim = with_hashes(keyed(df), images).select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", "hashes")
+    pairs = strong_pairs(slim, block).withColumn("gallery_matches", gallery_match_count(F.col("hashes_a"), F.col("hashes_b")))
+    return gallery_veto(match_score(pairs))
+
+
+def resolve_entities(df: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None) -> DataFrame:
+    """Listings and their photos -> golden records: earliest row of each id, strong pairs, score,
+    gallery veto, grouping, fusion. Without images each listing has its main photo only."""
     one = Window.partitionBy("unique_id").orderBy("first_seen", "url")
     df = df.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    rows = keyed(df)
-    slim = rows.select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", *(["phash"] if "phash" in df.columns else []))
-    scored = match_score(with_photo(strong_pairs(slim, list(block))))
-    groups = group_matches(scored.where("is_match"), list(block))
+    groups = group_matches(qualifying_pairs(df, list(block), images), list(block))
     return fuse(df.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id")))
 
 

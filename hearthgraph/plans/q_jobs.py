@@ -102,12 +102,12 @@ def evaluate_matcher(spark, sf):
 @query()
 def resolve_against_anchors(spark, sf):
     r = T.listings(spark, sf)
-    return W.resolve_against_anchors(r.where("k >= 2"), r.where("k < 2"))
+    return W.resolve_against_anchors(r.where("k >= 2"), r.where("k < 2"), images=T.images(spark, sf))
 
 
 @query()
 def resolve_existing(spark, sf):
-    return W.resolve_existing(T.listings(spark, sf))
+    return W.resolve_existing(T.listings(spark, sf), T.images(spark, sf))
 
 
 _OUT = "nullif(regexp_extract(upper(trim(postcode)), '^([A-Z]{1,2}\\d{1,2}[A-Z]?)', 1), '')"

@@ -116,7 +116,7 @@ def token_ratios(spark, sf):
 
 @query()
 def resolve_entities(spark, sf):
-    g = L.resolve_entities(T.listings(spark, sf))
+    g = L.resolve_entities(T.listings(spark, sf), images=T.images(spark, sf))
     return g.select("group_id", "unique_id", "price_pcm", "bedrooms", "postcode", "members", "min_price", "max_price", F.array_join("sources", ",").alias("sources"), F.to_json("source_urls").alias("source_urls"))
 
 
