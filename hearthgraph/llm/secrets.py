@@ -29,7 +29,7 @@ from .common import stored, table
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters at least; shorter matches hold no longer one
 HEX = r"[0-9a-f]{24,}"  # maximal runs, so the longer ones of all
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 RATE = 0.01

@@ -99,3 +99,12 @@ def test_redaction_and_odd_rows(spark, odd, odd_rows):
     assert secrets.redacted(odd).columns == odd.columns
     assert Counter((r.doc_id, r.text) for r in secrets.redacted(odd).collect()) == Counter((i, "[secret]" if i == 5 else t) for i, t, _ in odd_rows)  # 5,000 times "a" is a hex run
     assert secrets.find_secrets(odd.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head,tail", [("aws_secret_access_key=", ""), ("auth=", " and more"), ("see https://h.example/cb?sig=", "&x=1"), ("session_identifier_value=", "\n"), ("é a==", "")])
+def test_values_right_after_an_equals_sign(spark, head, tail):
+    rows = [(f"{head}{x}{tail}", len(head), len(x)) for x in RANDOM[:2]]
+    df = spark.createDataFrame(rows, "text string, at int, n int")
+    for r in secrets.find_secrets(df).collect():
+        assert [(s.start, s.end) for s in r.spans] == [(r.at, r.at + r.n)]
+    assert {r.text for r in secrets.redacted(df).collect()} == {f"{head}[secret]{tail}"}
