@@ -202,17 +202,19 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those whose component has a smaller doc_id.
-
-    All columns of docs stay. Of rows with the same doc_id one stays; rows with null doc_id stay
-    unless their component has a document with an id."""
-    found = near_duplicates(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where(F.col("doc_id").isNull()).withColumn("_fp", F.lpad(F.lower(F.hex(fingerprint_udf("text"))), 16, "0"))
-    free = found.where(F.col("component_id").isNull()).select(F.col("fingerprint").alias("_fp")).distinct()
-    unnamed = unnamed.join(free, "_fp", "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return named.select(docs.columns).union(unnamed.select(docs.columns))
+    """Of each component of docs the one row that is smallest by doc_id (null last), then by the
+    hash of its text.
+
+    All columns of docs stay. Components are of rows, so different texts under one doc_id, or
+    under none, stand each for its own component."""
+    digest = F.md5(F.col("text").cast("binary"))
+    rows = docs.select("doc_id", digest.alias("_h"), fingerprint_udf(F.col("text")).alias("fp"))
+    fps = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_h")).alias("least")), "distinct")
+    roots = components(links(fps)).withColumnRenamed("node", "fp")
+    rooted = fps.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
+    best = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_kept"))
+    kept = docs.withColumn("_h", digest).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -98,3 +98,24 @@ def test_odd_rows(odd, odd_rows):
     assert kept.columns == odd.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "5", "7", "None"]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays(spark):
+    rnd = random.Random(12)
+    long = lambda: " ".join(f"w{rnd.randint(0, 5000)}" for _ in range(300))
+
+    def near(text):
+        """A text of another fingerprint that links to this one's."""
+        words = text.split()
+        while True:
+            words[rnd.randrange(300)] = f"v{rnd.randint(0, 10**6)}"
+            t, words = " ".join(words), text.split()
+            if 0 < (simhash.fingerprint(t) ^ simhash.fingerprint(text)).bit_count() <= 2:
+                return t
+
+    a, clean, other, unnamed = long(), [long() for _ in range(6)], long(), long()
+    rows = [(1, a), *((i, t) for i, c in enumerate(clean, 10) for t in (near(a), c)), (30, other), (None, near(other)), (None, unnamed), (None, near(unnamed)), (None, near(unnamed)), (None, unnamed)]
+    for parts in (1, 4):
+        got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+        assert sorted((r.doc_id, r.text) for r in got if r.doc_id) == sorted([(1, a), *enumerate(clean, 10), (30, other)])
+        assert len([r for r in got if r.doc_id is None]) == 1 and len(got) == 9
