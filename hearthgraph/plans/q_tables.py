@@ -35,7 +35,7 @@ def load_snapshots(spark, sf):
 
     root = scratch_dir(spark)
     for k in range(4):
-        T.listings(spark, sf).where(F.col("k") == k).select(F.col("item").alias("id"), F.col("price_pcm").alias("price")).coalesce(1).write.json(f"{root}/{k}")
+        T.listings(spark, sf).where(F.col("k") == k).select(F.col("item").alias("id"), F.col("price_pcm").alias("price")).write.json(f"{root}/{k}")
     paths = [f"{root}/{k}" for k in range(4)]
     return files.load_snapshots(spark, paths, "id long, price int", "id", lines=True)
 
