@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters at least; shorter matches hold no longer one
@@ -35,6 +35,7 @@ SPAN = "array<struct<start:int,kind:int,end:int>>"
 RATE = 0.01
 NATURAL = 2.2  # index of coincidence of words over 64 characters, relative to uniform, less one
 CHANGES = 0.12
+RUN = 64  # matches located at a time
 STEPS = 20  # p-value steps for each power of ten
 SEEMS_RANDOM = 3.0  # standard deviations that a random string may be off
 
@@ -46,15 +47,23 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("k")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc, x):
-        a = acc["at"] + x["g"]
-        b = a + x["n"]
-        span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["k"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    # runs of RUN matches: the place of each run first, then the spans inside it, so that no list
+    # grows match by match over a whole text
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(both), F.lit(1)), F.lit(RUN)), lambda i: F.slice(both, i, RUN))
+    wide = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["g"] + x["n"])
+    place = F.aggregate(runs, F.array(F.lit(0)), lambda at, run: F.concat(at, F.array(F.element_at(at, -1) + wide(run))))
 
-    spans = F.aggregate(both, start, step, lambda acc: acc["out"])
+    def inside(run, at):
+        def step(acc, x):
+            a = acc["at"] + x["g"]
+            b = a + x["n"]
+            span = F.array(F.struct(a.alias("start"), F.lit(kind).alias("kind"), b.alias("end")))
+            return F.struct(b.alias("at"), F.when(x["k"], F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    spans = F.flatten(F.zip_with(runs, F.slice(place, 1, F.size(runs)), inside))
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 
@@ -101,18 +110,18 @@ def tested(token: Column) -> Column:
     return F.struct(F.floor(F.log2(n)).cast("int").alias("len_class"), F.when(fit, step).alias("step"))
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _base (spans) and _more (candidate spans with their tests); null text: empty."""
+def scanned(docs: DataFrame, base: str, more: str, text: str = "text") -> DataFrame:
+    """docs with base (spans) and more (candidate spans with their tests); null text: empty."""
     whole = F.coalesce(F.col(text), F.lit(""))
     spans = located(whole, CANDIDATE, 3)
     tokens = F.when(F.size(spans) > 0, F.regexp_extract_all(whole, F.lit(CANDIDATE), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    more = F.zip_with(spans, tokens, lambda s, t: F.struct(s.alias("span"), tested(t).alias("test")))
-    return docs.withColumns({"_base": base_spans(whole), "_more": more})
+    tests = F.zip_with(spans, tokens, lambda s, t: F.struct(s.alias("span"), tested(t).alias("test")))
+    return docs.withColumns({base: base_spans(whole), more: tests})
 
 
-def thresholds(found: DataFrame) -> dict[int, int]:
+def thresholds(found: DataFrame, more: str) -> dict[int, int]:
     """For each length class the least step that Benjamini-Hochberg lets through."""
-    cells = found.select(F.explode("_more").alias("m")).groupBy("m.test.len_class", F.coalesce("m.test.step", F.lit(-1)).alias("step")).agg(F.count("*").alias("n"))
+    cells = found.select(F.explode(more).alias("m")).groupBy("m.test.len_class", F.coalesce("m.test.step", F.lit(-1)).alias("step")).agg(F.count("*").alias("n"))
     one = Window.partitionBy("len_class")  # at most 20 * STEPS + 2 rows for each of 31 classes
     down = one.orderBy(F.desc("step"))
     ranked = cells.withColumns({"total": F.sum("n").over(one), "up_to": F.sum("n").over(down)})
@@ -120,13 +129,12 @@ def thresholds(found: DataFrame) -> dict[int, int]:
     return {r.len_class: r.step for r in passed.groupBy("len_class").agg(F.min("step").alias("step")).collect()}  # at most 31 rows
 
 
-def decided(found: DataFrame, limit: dict[int, int]) -> DataFrame:
-    """found with spans in place of _base and _more: all base spans, and the discoveries that no
-    base span overlaps, by start and kind."""
-    picked = F.filter("_more", lambda m: m["test"]["step"].isNotNull() & _reaches(m["test"], limit))
+def decided(base: str, more: str, limit: dict[int, int]) -> Column:
+    """All base spans, and the discoveries that no base span overlaps, by start and kind."""
+    picked = F.filter(more, lambda m: m["test"]["step"].isNotNull() & _reaches(m["test"], limit))
     new = F.transform(picked, lambda m: m["span"])
-    alone = F.filter(new, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return found.withColumn("spans", F.array_sort(F.concat("_base", alone))).drop("_more")
+    alone = F.filter(new, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return F.array_sort(F.concat(base, alone))
 
 
 def _reaches(test: Column, limit: dict[int, int]) -> Column:
@@ -146,16 +154,21 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """docs with spans (start, kind as a place in KINDS, end), by start.
 
     Rows and other columns stay as they are (a column named spans is replaced); null and empty
-    texts have no spans. The texts are read twice: for the histogram, and for the spans."""
-    found = scanned(docs)
-    return decided(found, thresholds(found)).drop("_base")
+    texts have no spans. The rows are written with what was found once, and read again for the
+    spans; columns of any name may be there."""
+    base, more = unused(docs, "_base", "_more")
+    found = stored(scanned(docs, base, more), "secrets")
+    return found.withColumn("spans", decided(base, more, thresholds(found, more))).drop(base, more)
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with each span of text replaced by the mark, and n_chars of what is left.
 
-    Overlapping spans are replaced as one. Texts without spans stay as they are, null included."""
-    cols, found = docs.columns, find_secrets(docs).withColumnRenamed("spans", "_spans")
+    Overlapping spans are replaced as one. Texts without spans stay as they are, null included.
+    Repeated rows, null ids and columns of any name stay; an empty table gives none."""
+    cols, (base, more, spans) = docs.columns, unused(docs, "_base", "_more", "_spans")
+    found = stored(scanned(docs, base, more), "secrets")
+    found = found.withColumn(spans, decided(base, more, thresholds(found, more)))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
@@ -164,16 +177,19 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
-    found = found.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("text")))
+    text = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
+    found = found.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in cols:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(cols)
 
 
 def op9_secrets(spark, sf_dir: str) -> DataFrame:
+    """Spans of the whole documents table by find_secrets' parts, with the counts and the digest
+    of the base spans. Null and empty texts: counts 0, the digest of nothing, empty spans.
+    Repeated rows and null ids stay; an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = stored(scanned(docs).drop("text"), "secrets")
-    out = decided(found, thresholds(found))
-    count = lambda k: F.size(F.filter("_base", lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    found = stored(scanned(docs, "base", "more").drop("text"), "secrets")
+    spans = decided("base", "more", thresholds(found, "more"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(spans).alias("spans"))

@@ -4,7 +4,8 @@ The index has its first level spread over the cluster: fingerprints that share a
 pattern meet in one node. Two that differ in at most two bits agree on at least one of three
 blocks of bits, so three masks find every link. A node with more than WIDE fingerprints gets a
 second level of masks over the other bits (eight blocks, any six of them), after which no node
-can hold more than 2,048 different fingerprints, whatever the data.
+can hold more than 4,096 different fingerprints (two blocks of six bits are left free), whatever
+the data.
 
 Inside a node the fingerprints are sorted by Gray rank, which puts close ones side by side.
 Sixteen neighbours at a time get an upper node with the bits that all of them share; nodes over
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import stored, table
+from .common import stored, table, unused
 from .components import components
 
 NEAR = 2  # differing bits of a link
@@ -208,14 +209,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     All columns of docs stay. Components are of rows, so different texts under one doc_id, or
     under none, stand each for its own component."""
     digest = F.md5(F.col("text").cast("binary"))
-    rows = docs.select("doc_id", digest.alias("_h"), fingerprint_udf(F.col("text")).alias("fp"))
-    fps = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_h")).alias("least")), "distinct")
+    id_, h, kept_id, kept_h = unused(docs, "_id", "_h", "_kept_id", "_kept_h")
+    rows = docs.select("doc_id", digest.alias("h"), fingerprint_udf(F.col("text")).alias("fp"))
+    fps = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least")), "distinct")
     roots = components(links(fps)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_kept"))
-    kept = docs.withColumn("_h", digest).join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_h").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    best = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.h").alias(kept_h))
+    kept = docs.withColumns({id_: F.col("doc_id"), h: digest}).join(best, F.col(id_).eqNullSafe(F.col(kept_id)) & F.col(h).eqNullSafe(F.col(kept_h)), "left_semi")
+    return kept.dropDuplicates([id_, h]).select(docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates of the whole documents table; nulls, empty texts, repeated rows and empty
+    tables as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"))

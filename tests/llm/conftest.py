@@ -15,8 +15,9 @@ ODD = [
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns whose names clash."""
-    rows = [(i, t, lang, 0.5, 9, 9) for i, t, lang in ODD]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, n_tokens long, start long").repartition(3)
+    rows = [(i, t, lang, 0.5, 9, 9, *"abcdefgh") for i, t, lang in ODD]
+    clash = ", ".join(f"{c} string" for c in ("spans", "_base", "_more", "_spans", "_fp", "_H", "_id", "family"))
+    return spark.createDataFrame(rows, f"doc_id long, text string, lang string, score double, n_tokens long, start long, {clash}").repartition(3)
 
 
 @pytest.fixture(scope="session")

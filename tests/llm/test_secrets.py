@@ -10,7 +10,7 @@ from hearthgraph.llm import secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 BASE = [("assign", ASSIGN, lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24)]
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 RANDOM = ["q7Zt0Lk3XvB9mR2sY8wPd4NfHj6Gc1Ue", "MZX3W6YTB5OI7DGN2RSG4AYT3EMJQ5HA6TMN7BK2VU4CLP", "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]
 TEXTS = [
     'é日 Password: "hunter22", token=abc; API_KEY = x/y+z==.. aPiKey:\'12345\' secret  =  abcdef',
@@ -19,6 +19,9 @@ TEXTS = [
     "token=token: abcdefgh passwd='secret:zzzzzzz'",
     "nothing to see in averyveryverylongordinarywordindeed or /usr/local/share/applications/file",
     *(f"here {x} there" for x in RANDOM),
+    *(f"https://x.example/?a=1&sig={x}&b=2" for x in RANDOM),
+    *(f"aws_access={x}" for x in RANDOM),
+    "token: abcdef1 " * 500,
 ]
 
 
