@@ -7,17 +7,18 @@ the last token before the cut and how many tokens fewer (or more) the text up to
 That is all that any continuation can depend on: a token that ends later begins in the suffix,
 and a sequence of tokens is the tokenizer's own exactly if each neighbouring pair is.
 
-A text is read in chunks. What a chunk does to any state is a map: the characters before its
-first sure boundary (still to be read from the state at entry), the count up to its last sure
-boundary, and the characters after that (the state at exit). Maps compose, so a long text's
-chunks are combined by a prefix scan in log steps.
+Over it stands a transducer of characters, whose states also hold which alternative of the
+pattern is open. Every text is read in chunks of CHUNK characters. What a chunk does is a map from
+entry state to exit state and number of tokens: whatever the entry, the state after the first
+sure boundary is the same, so the map is the head before it (read from any state when asked), one
+count and one exit state. Maps compose, and a prefix scan over a text's chunks gives the count of
+every prefix in as many steps as the logarithm of their number.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pandas as pd
 import regex
@@ -28,9 +29,9 @@ from pyspark.sql.functions import pandas_udf
 from .common import parts, table
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CHUNK = 16_384
+CHUNK = 512
 #: Entries kept by a worker at most; when full, it starts again. Bounds memory, not results.
-KEEP = 400_000
+KEEP = 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -124,30 +125,68 @@ class Transducer:
         self.steps[state][byte] = at, delta
         return at, delta
 
-    def count(self, piece: bytes) -> int:
-        if len(self.states) > KEEP:
-            self.reset()
-        steps, state, total = self.steps, 0, 0
-        for byte in piece:
-            got = steps[state].get(byte)
-            state, delta = got if got is not None else self.step(state, byte)
-            total += delta
-        return total
 
+class StateMap:
+    """What a chunk does to any entry state: read the heads, one after the other, and then be in
+    exit with so many tokens more. Without a sure boundary there is no exit of its own (None): the
+    state after the heads is the exit. What a head did to a state is kept, so it is read once."""
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does: head is read from the entry state, tail is what the exit state has
-    read. Without a sure boundary (count None) all of it is head."""
+    __slots__ = ("heads", "count", "exit")
 
-    head: str
-    count: int | None = None
-    tail: str = ""
+    def __init__(self, heads: tuple[Head, ...], count: int = 0, exit_: State | None = None):
+        self.heads, self.count, self.exit = heads, count, exit_
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        total = self.count
+        for h in self.heads:
+            state, n = h(state)
+            total += n
+        return (state if self.exit is None else self.exit), total
+
+    def then(self, other: StateMap) -> StateMap:
+        """The map of this chunk and then the other: associative, and the heart of the scan."""
+        if self.exit is None:
+            return StateMap(self.heads + other.heads, self.count + other.count, other.exit)
+        state, n = other(self.exit)
+        return StateMap(self.heads, self.count + n, state)
+
+
+class Head:
+    __slots__ = ("run", "text", "seen")
+
+    def __init__(self, run, text: str):
+        self.run, self.text, self.seen = run, text, {}
+
+    def __call__(self, state: State) -> tuple[State, int]:
+        got = self.seen.get(state)
+        if got is None:
+            got = self.seen[state] = self.run(state, self.text)
+        return got
+
+
+def scan(maps: list[StateMap]) -> list[StateMap]:
+    """All prefix compositions: up- and down-sweep over pairs, in as many steps as the logarithm."""
+    if len(maps) < 2:
+        return maps
+    odd = scan([a.then(b) for a, b in zip(maps[::2], maps[1::2])])
+    return [odd[i // 2] if i % 2 else odd[i // 2 - 1].then(m) if i else m for i, m in enumerate(maps)]
+
+
+#: What a state has open: nothing, a piece of letters, numbers or other characters, white space
+#: (its last character not yet read), an apostrophe, or an apostrophe and r, v or l (not yet read).
+NOTHING, LETTERS, NUMBERS, OTHERS, SPACE, QUOTE, SHORT = range(7)
+#: That, the byte pair transducer's state in the piece, and the characters not yet read.
+State = tuple[int, int, str]
+START, SPACED = (NOTHING, 0, ""), (SPACE, 0, " ")  # SPACED: after a sure boundary and its space
 
 
 class Counter:
+    """The whole tokenizer as one transducer over characters: what PATTERN has open, and where
+    the byte pair transducer is in it."""
+
     def __init__(self, path: str):
-        made = json.load(open(path, encoding="utf-8"))
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
         letters = byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
         split = lambda m: m.split(" ") if isinstance(m, str) else m
@@ -155,70 +194,122 @@ class Counter:
         self.machine = Transducer(merges, [bytes([b]) for b in range(256)])
         self.special = [x["content"] for x in made["added_tokens"]]
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.find = regex.compile(PATTERN).findall
+        self.kinds = [(regex.compile(p).match, k) for p, k in ((r"\p{L}", LETTERS), (r"\p{N}", NUMBERS), (r"\s", SPACE))]
+        self.kind_of: dict[str, int] = {}
+        self.runs = regex.compile(r"\p{L}+|(?s:.)").findall
         self.kept: dict[str, int] = {}
 
-    def whole(self, text: str) -> int:
-        """Tokens of a text that begins and ends at sure boundaries."""
-        if self.cut is not None and any(s in text for s in self.special):
-            pieces = self.cut.split(text)
-            return sum(map(self.whole, pieces)) + len(pieces) - 1
-        count = self.machine.count
-        return sum(count(p.encode()) for p in self.find(text))
+    def kind(self, char: str) -> int:
+        got = self.kind_of.get(char)
+        if got is None:
+            got = self.kind_of[char] = next((k for match, k in self.kinds if match(char)), OTHERS)
+        return got
 
-    def spaced(self, rest: list[str]) -> int:
-        """Tokens of what follows sure boundaries, each with the space before it."""
+    def read(self, at: int, chars: str) -> tuple[int, int]:
+        """The byte pair transducer over the characters: its state, and the change of the count."""
+        steps, total = self.machine.steps, 0
+        for byte in chars.encode():
+            at, n = steps[at].get(byte) or self.machine.step(at, byte)
+            total += n
+        return at, total
+
+    def opened(self, chars: str, kind: int) -> tuple[State, int]:
+        at, n = self.read(0, chars)
+        return (QUOTE if chars == "'" else kind, at, ""), n
+
+    def next(self, state: State, char: str) -> tuple[State, int]:
+        """One step of the transducer, as PATTERN's alternatives decide in their order."""
+        mode, at, held = state
+        kind = self.kind(char)
+        if kind == SPACE:
+            if mode == SPACE:
+                at, n = self.read(at, held)
+                return (SPACE, at, char), n
+            return (SPACE, 0, char), self.read(0, held)[1]
+        if mode == SPACE:  # the last white space goes with what follows if it is a blank
+            if held == " ":
+                at, n = self.read(0, " " + char)
+                return (kind, at, ""), n
+            new, n = self.opened(char, kind)
+            return new, n + self.read(0, held)[1]
+        if mode == SHORT:
+            if char == ("l" if held == "l" else "e"):
+                return (NOTHING, 0, ""), self.read(at, held + char)[1]
+            at, n = self.read(0, held)
+            new, more = self.next((LETTERS, at, ""), char)
+            return new, n + more
+        if mode == QUOTE:
+            if char in "stmd":
+                return (NOTHING, 0, ""), self.read(at, char)[1]
+            if char in "rvl":
+                return (SHORT, at, char), 0
+        if kind == (OTHERS if mode == QUOTE else mode):
+            at, n = self.read(at, char)
+            return (kind, at, ""), n
+        return self.opened(char, kind)
+
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        total = 0
+        for part in self.runs(text):  # letters inside a piece of letters are bytes of that piece
+            for i in range(len(part)):
+                if state[0] == LETTERS and len(part) > 1:
+                    at, n = self.read(state[1], part[i:] if i else part)
+                    state, total = (LETTERS, at, ""), total + n
+                    break
+                state, n = self.next(state, part[i])
+                total += n
+        return state, total
+
+    def end(self, state: State) -> int:
+        """What the end of the text adds: the characters that are not yet read."""
+        mode, piece, held = state
+        return self.read(piece if mode == SPACE else 0, held)[1]
+
+    def word(self, word: str) -> int:
+        """Tokens from a boundary to the next."""
+        if word.isascii() and word.isalpha():
+            return self.read(0, " " + word)[1]
+        return self.run(SPACED, word + " ")[1]
+
+    def words(self, rest: list[str]) -> int:
+        """Tokens from boundary to boundary: transitions on whole words, kept when first made."""
         kept = self.kept
-        for p in set(rest).difference(kept):
-            if len(p) > 64:
-                continue
-            if len(kept) >= KEEP:
-                kept.clear()
-                break
-            kept[p] = self.whole(" " + p)
+        for w in set(rest).difference(kept):
+            if len(w) <= 64:
+                kept[w] = self.word(w)
         try:
             return sum(map(kept.__getitem__, rest))
         except KeyError:
-            return sum(n if (n := kept.get(p)) is not None else self.whole(" " + p) for p in rest)
+            return sum(n if (n := kept.get(w)) is not None else self.word(w) for w in rest)
 
-    def map(self, chunk: str) -> ChunkMap:
+    def map(self, chunk: str) -> StateMap:
         first, rest = parts(chunk)
         if not first and rest:  # the space in front: what stands before it is not known here
             first, rest = " " + rest[0], rest[1:]
         if not rest:
-            return ChunkMap(chunk)
-        return ChunkMap(first, self.spaced(rest[:-1]), " " + rest[-1])
-
-    def join(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.count is None:
-            return ChunkMap(a.head + b.head, b.count, b.tail)
-        if b.count is None:
-            return ChunkMap(a.head, a.count, a.tail + b.head)
-        return ChunkMap(a.head, a.count + self.between(a.tail + b.head) + b.count, b.tail)
-
-    def between(self, text: str) -> int:
-        first, rest = parts(text)
-        return self.whole(first) + self.spaced(rest)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefix compositions: up- and down-sweep over pairs, log depth."""
-        if len(maps) < 2:
-            return maps
-        pairs = [self.join(a, b) for a, b in zip(maps[::2], maps[1::2])]
-        odd = self.scan(pairs)
-        out = []
-        for i, m in enumerate(maps):
-            out.append(odd[i // 2] if i % 2 else self.join(odd[i // 2 - 1], m) if i else m)
-        return out
+            return StateMap((Head(self.run, chunk),))
+        last, n = self.run(SPACED, rest[-1])
+        return StateMap((Head(self.run, first + " "),), self.words(rest[:-1]) + n, last)
+
+    def prefixes(self, text: str, chunk: int | None = None) -> list[int]:
+        """Tokens of the first chunk, the first two, and so on, each as a text of its own, of a
+        text without special strings."""
+        width = chunk or CHUNK
+        if len(self.machine.states) > KEEP:
+            self.machine.reset()
+        if len(self.kept) > 2 * KEEP:
+            self.kept.clear()
+        maps = [self.map(text[i : i + width]) for i in range(0, len(text), width)]
+        if maps:  # the text's start is known
+            state, n = maps[0](START)
+            maps[0] = StateMap((), n, state)
+        return [m.count + self.end(m.exit) for m in scan(maps)]
 
     def count(self, text: str) -> int:
-        if len(text) <= CHUNK:
-            return self.between(text)
-        maps = [self.map(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        end = self.scan(maps)[-1]
-        if end.count is None:
-            return self.whole(end.head)
-        return self.whole(end.head) + end.count + self.whole(end.tail)
+        if self.cut is not None and any(s in text for s in self.special):
+            pieces = self.cut.split(text)
+            return sum(map(self.count, pieces)) + len(pieces) - 1
+        return self.prefixes(text)[-1] if text else 0
 
 
 _MADE: dict[str, Counter] = {}
@@ -253,6 +344,8 @@ def token_counts(df: DataFrame, path: str, limit: int = 512, text: str = "text")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
+    """token_counts of the whole documents table; nulls, empty and long texts, repeated rows and
+    empty tables as stated there."""
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -46,21 +46,42 @@ def test_pair_rule_is_the_encoding_of_the_pair(counter):
         assert m.meets(a, b) == (m.encode(a + b) == [a, b])
 
 
-def test_counts_and_ids_as_the_library(lib, counter, monkeypatch):
-    monkeypatch.setattr(token_counts, "CHUNK", 13)
+@pytest.mark.parametrize("width", [1, 2, 5, 13, 256])
+def test_counts_and_ids_as_the_library(lib, counter, monkeypatch, width):
+    monkeypatch.setattr(token_counts, "CHUNK", width)
     ids = Ids(JSON)
-    for t in texts(1500):
+    for t in texts(800, width):
         want = lib.encode(t, add_special_tokens=False).ids
         assert counter.count(t) == len(want)
         assert ids.encode(t) == want
 
 
-def test_chunk_maps_are_associative(counter):
+def test_the_scan_gives_every_prefix(lib, counter):
+    for t in texts(150, 5):
+        t = t.replace("<|endoftext|>", "")
+        assert counter.prefixes(t, 7) == [len(lib.encode(t[:i], add_special_tokens=False).ids) for i in range(7, len(t) + 7, 7)]
+
+
+def test_chunk_maps_compose_associatively_from_any_state(counter):
+    seen = 0
     for t in texts(200, 8):
         maps = [counter.map(t[i : i + 9]) for i in range(0, len(t), 9)]
         if len(maps) > 2:
             a, b, c = maps[:3]
-            assert counter.join(counter.join(a, b), c) == counter.join(a, counter.join(b, c))
+            left, right = a.then(b).then(c), a.then(b.then(c))
+            entries = [counter.run(token_counts.START, x)[0] for x in ("", "ab", "x'", "x'r", " ", "\n", "  ", "1", "!")]
+            assert all(left(s) == right(s) for s in entries)
+            seen += len(entries)
+    assert seen > 500
+
+
+def test_ordinary_texts_are_chunked_and_maps_are_read_once(counter, monkeypatch):
+    made = []
+    own = counter.map
+    monkeypatch.setattr(counter, "map", lambda c: made.append(len(c)) or own(c))
+    text = "the cat sat on the mat, it's 12 o'clock. " * 100
+    counter.count(text)
+    assert len(made) == -(-len(text) // token_counts.CHUNK) and sum(made) == len(text)
 
 
 def test_tree_encoding_is_the_librarys():
