@@ -10,7 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the one that driver and executors share; a local one only where the
-    session names none, as in tests on one machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new folder under the one that driver and executors share. Where the session names none,
+    a local one on a single machine (tests); a cluster gets an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(root, uuid.uuid4().hex)

@@ -125,3 +125,22 @@ def test_token_ratios(spark):
     df = spark.createDataFrame([("b a", "a b", 1.0, 1.0), ("abcd", "abxd", 0.75, 0.75), ("two bed flat", "flat", 0.5, 1.0), ("", "", 1.0, 1.0)], "x string, y string, s double, t double")
     got = df.select("s", "t", L.token_ratio("sort")(F.col("x"), F.col("y")).alias("gs"), L.token_ratio("set")(F.col("x"), F.col("y")).alias("gt")).collect()
     assert all(r.gs == pytest.approx(r.s) and r.gt == pytest.approx(r.t) for r in got)
+
+
+@pytest.mark.parametrize("most", [0, 2, 5, 8, 10])
+def test_hamming_join_is_brute_force(spark, most):
+    rnd = random.Random(most)
+    base = [rnd.getrandbits(64) for _ in range(25)]
+    rows = [(0, None, 1), (1, "0" * 16, None)]
+    for i in range(2, 160):
+        h = rnd.choice(base)
+        for _ in range(rnd.randint(0, 9)):
+            h ^= 1 << rnd.randrange(64)
+        rows += [(i, f"{h:016x}", i % 3)] * (1 + (i % 40 == 0))  # some rows twice
+    df = spark.createDataFrame(rows, "i int, h string, k int")
+    a, b = L._sides(df)
+    for key in (False, True):
+        got = L.hamming_join(a, b, "h_a", "h_b", most, ["k_a"] if key else None, ["k_b"] if key else None)
+        bits = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
+        want = sorted((i, j, bits(x, y)) for i, x, k in rows if x for j, y, m in rows if y and (not key or (k == m is not None)) and bits(x, y) <= most)
+        assert sorted((r.i_a, r.i_b, r.distance) for r in got.collect()) == want
