@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding as a monoid: halves are encoded on their own and joined.
 
-A text is halved down to leaves of LEAF characters, which a library encodes. Two neighbours are
-joined by encoding a window around the seam again. The window grows, in doubling steps, until
+A text is halved down to leaves of LEAF characters at most, so that all but the shortest texts are
+joined from several; a library encodes the leaves. Two neighbours are joined by encoding a window around the seam again. The window grows, in doubling steps, until
 both its ends are sure boundaries of the split into pieces (a space after a non-space, or an end
 of the two halves); tokens outside cannot change then, so they are kept as they are.
 
-A piece longer than LEAF bytes (one that has no boundary inside) is halved by bytes. There the
-window grows token by token until the pairs of tokens over both its ends are stable, that is,
+A piece longer than LEAF bytes (one that has no boundary inside) is halved by bytes, its leaves are
+merged here (the library takes no bytes). There the window grows token by token until the pairs of tokens over both its ends are stable, that is,
 encoding the two together gives the same two. A sequence all of whose neighbouring pairs are
 stable is the encoding of the whole, so nothing outside the window can change.
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import _SYNC, table
 from .token_counts import PATTERN
 
-LEAF = 2048
+LEAF = 160
 
 
 class Encoder:
@@ -34,7 +35,7 @@ class Encoder:
         import tiktoken
 
         with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.ranks = ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.lib = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.find = regex.compile(pattern).findall
         self.leaf = leaf
@@ -51,18 +52,42 @@ class Encoder:
         if got is None:
             if len(self.stable_pairs) > 1_000_000:
                 self.stable_pairs.clear()
-            got = self.lib._encode_single_piece(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            got = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             self.stable_pairs[a, b] = got
         return got
 
+    def merged(self, raw: bytes) -> list[int]:
+        """Merges by rank, the leftmost of equals first, over a linked list of parts."""
+        n, ranks = len(raw), self.ranks
+        end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
+        waits = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(raw[i : i + 2])) is not None]
+        heapq.heapify(waits)
+        while waits:
+            _, i, to = heapq.heappop(waits)
+            j = end[i] and after[i]
+            if not j or j >= n or end[j] != to:  # one of the two has been merged since
+                continue
+            end[i], after[i], end[j] = to, after[j], 0
+            if after[i] < n:
+                before[after[i]] = i
+                self.wait(waits, raw, i, end[after[i]])
+            if before[i] >= 0:
+                self.wait(waits, raw, before[i], to)
+        return [ranks[raw[i : end[i]]] for i in range(n) if end[i]]
+
+    def wait(self, waits: list, raw: bytes, i: int, to: int) -> None:
+        rank = self.ranks.get(raw[i:to])
+        if rank is not None:
+            heapq.heappush(waits, (rank, i, to))
+
     def join_bytes(self, a: list[int], b: list[int]) -> list[int]:
         i = j = 1
         while True:
             i, j = min(i, len(a)), min(j, len(b))
             window = self.decode(a[len(a) - i :] + b[:j])
-            mid = self.lib._encode_single_piece(window) if len(window) <= 4 * self.leaf else None
-            if mid is None:  # it has grown past any leaf: halve it as well
-                mid = self.piece(window)
+            whole = i == len(a) and j == len(b)
+            # one that has grown past any leaf is halved as well, unless it is all there is
+            mid = self.merged(window) if whole or len(window) <= 4 * self.leaf else self.piece(window)
             left = i == len(a) or self.stable(a[len(a) - i - 1], mid[0])
             right = j == len(b) or self.stable(mid[-1], b[j])
             if left and right:
@@ -71,7 +96,7 @@ class Encoder:
 
     def piece(self, raw: bytes) -> list[int]:
         if len(raw) <= self.leaf:
-            return self.lib._encode_single_piece(raw)
+            return self.merged(raw)
         half = len(raw) // 2
         return self.join_bytes(self.piece(raw[:half]), self.piece(raw[half:]))
 
@@ -194,6 +219,8 @@ def round_trip(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
 
 
 def op6_bpe_round_trip(spark, sf_dir: str) -> DataFrame:
+    """round_trip of the whole documents table. Null and empty texts have no ids (the digests of
+    nothing); repeated rows, null ids and empty tables pass as they are."""
     import public_tokenizers
 
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

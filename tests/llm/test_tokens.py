@@ -84,9 +84,27 @@ def test_ordinary_texts_are_chunked_and_maps_are_read_once(counter, monkeypatch)
     assert len(made) == -(-len(text) // token_counts.CHUNK) and sum(made) == len(text)
 
 
-def test_tree_encoding_is_the_librarys():
-    e = bpe.Encoder(MULTI, leaf=11)
-    for t in texts(1500, 4):
+def test_pieces_merge_as_the_librarys():
+    e, rnd = bpe.Encoder(MULTI, leaf=23), random.Random(6)
+    for n in (0, 1, 2, 3, 10, 22, 23, 24, 50, 101, 1000, 4097):
+        for letters in ("a", "ab", "aei", "etaoinshr", "xq"):
+            w = "".join(rnd.choice(letters) for _ in range(n))
+            want = e.lib.encode_ordinary(w)
+            assert e.merged(w.encode()) == want and e.piece(w.encode()) == want
+
+
+def test_ordinary_texts_are_halved_and_joined(monkeypatch):
+    e, joins = bpe.Encoder(MULTI), []
+    own = e.join
+    monkeypatch.setattr(e, "join", lambda *a: joins.append(1) or own(*a))
+    text = "the cat sat on the mat, it's 12 o'clock. " * 25
+    assert e.encode(text) == e.lib.encode_ordinary(text) and len(joins) == 7
+
+
+@pytest.mark.parametrize("leaf", [3, 11, bpe.LEAF])
+def test_tree_encoding_is_the_librarys(leaf):
+    e = bpe.Encoder(MULTI, leaf=leaf)
+    for t in texts(800, 4):
         got = e.encode(t)
         assert got == e.lib.encode_ordinary(t)
         assert e.decode(got) == t.encode()
