@@ -54,10 +54,29 @@ def test_exact_top_k_on_the_table(spark, sf):
         assert found == [(r, int(ids[j]), int(s[j])) for r, j in enumerate(order, 1)]
 
 
+def test_the_cutoff_saves_reading():
+    """Lists are scored once, and only survivors' missing components are fetched."""
+    rnd = np.random.RandomState(5)
+    a, b = (np.floor(64 * rnd.randn(n, 32) / 5) for n in (40, 3000))
+    b *= np.where(np.arange(3000) % 3 == 0, 4, 1)[:, None]  # lengths differ, so lists end early
+    total = a @ b.T
+    low = np.sort(total, 1)[:, -60].astype(float)  # a bound from heads is below the 20th best
+    read = exact_topk.Read()
+    got = {(r, c): t for rows in exact_topk.Lists(b).resolve(a, low, read) for r, c, t in zip(*rows)}
+    assert {k: v for k, v in got.items() if v >= low[k[0]]} == {(r, c): total[r, c] for r, c in zip(*np.nonzero(total >= low[:, None]))}
+    everything = a.shape[0] * b.shape[0]
+    assert read.scored < 2 * everything * 0.95
+    assert read.collected < everything * 0.25
+    assert read.fetched <= read.collected * 16 and read.fetched < everything * 32 * 0.05
+    none = exact_topk.Read()
+    assert sum(len(r) for r, _, _ in exact_topk.Lists(b).resolve(a, np.full(40, -np.inf), none)) == everything and none.fetched == 0
+
+
 @pytest.mark.parametrize("blocks", [(2048, 8192), (3, 7)])
 def test_exact_top_k_with_ties_copies_and_odd_rows(spark, monkeypatch, scattered, blocks):
     monkeypatch.setattr(exact_topk, "QUERIES", blocks[0])
     monkeypatch.setattr(exact_topk, "CANDIDATES", blocks[1])
+    monkeypatch.setattr(exact_topk, "HEADS", blocks[1] // 4)
     rnd = np.random.RandomState(0)
     rows = [(i, [float(x) for x in rnd.randint(-1, 2, 3)]) for i in range(90)] + [(i, [1.0, 0.5, -1.0]) for i in range(90, 170)]
     odd = [(200, None), (201, [None, 1.0, 1.0]), (202, [float("nan"), 1.0, 1.0]), (220, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
