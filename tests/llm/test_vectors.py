@@ -117,6 +117,23 @@ def test_recall_against_brute_force(spark, sf, monkeypatch, scattered, blocks):
     assert recall(collected(learned_partitions.op3_learned_partitions(spark, sf)), rows) >= 0.9
 
 
+@pytest.mark.parametrize("part", [400, 60])
+def test_recall_with_parts_inside_parts(spark, monkeypatch, part):
+    """Leaves keep their size as the table grows, and a query still reads a part of it only."""
+    rnd = np.random.RandomState(part)
+    centres = rnd.randn(150, 16)
+    rows = [(i, (centres[rnd.randint(150)] + rnd.randn(16) * 0.15).tolist()) for i in range(6000)]
+    monkeypatch.setattr(learned_partitions, "PART", part)
+    monkeypatch.setattr(learned_partitions, "MOST_PARTS", 16)
+    monkeypatch.setattr(learned_partitions, "SAMPLE", 2000)
+    seen = []
+    own = learned_partitions.fit_inner
+    monkeypatch.setattr(learned_partitions, "fit_inner", lambda *a: seen.append(own(*a)) or seen[-1])
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert recall(collected(learned_partitions.nearest(df)), rows) >= 0.9
+    assert bool(seen[0]) == (part == 60)
+
+
 def test_clusters_need_few_probes():
     rnd = np.random.RandomState(1)
     centres = rnd.randn(16, 32) * 3
