@@ -40,6 +40,12 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this package wrote under the shared one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, changed where df has a column of that name (in any case) already."""
     taken = {c.lower() for c in df.columns}

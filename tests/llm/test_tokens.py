@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -119,12 +120,15 @@ def test_variable_length_round_trip():
         assert (binary_ids.decode_ranks(control, data, [n]) == x).all()
     docs = [(rnd.rand(n) * 70000).astype("<u4") for n in (1, 0, 4, 7, 2, 3, 8)]
     coded = [binary_ids.encode_ranks(x) for x in docs]
-    block = binary_ids.pack_block([len(x) for x in docs], b"".join(c for c, _ in coded), b"".join(d for _, d in coded))
-    lengths, ranks = binary_ids.unpack_block(block)
-    assert lengths.tolist() == [len(x) for x in docs] and (ranks == np.concatenate(docs)).all()
+    for ids in ([3, None, 5, 5, -1, 2**60, 0], list("abcdefé")):
+        block = binary_ids.pack_block(pa.array(ids), 77, np.array([len(x) for x in docs]), b"".join(c for c, _ in coded), b"".join(d for _, d in coded))
+        names, start, lengths, ranks = binary_ids.unpack_block(block)
+        assert names.to_pylist() == ids and start == 77
+        assert lengths.tolist() == [len(x) for x in docs] and (ranks == np.concatenate(docs)).all()
     assert (binary_ids.from_planes(binary_ids.planes(docs[3], 4), 4) == docs[3]).all()
-    with pytest.raises(ValueError):
-        binary_ids.unpack_block(b"\0" * 60)
+    for bad in (b"\0" * 90, b"", block[:-1]):
+        with pytest.raises(ValueError):
+            binary_ids.unpack_block(bad)
 
 
 def test_token_counts_on_odd_rows(odd, odd_rows, lib):
@@ -151,7 +155,7 @@ def test_binary_ids_on_odd_rows(spark, odd, odd_rows, lib, tmp_path):
     binary_ids.write_ids(odd, JSON, f"{tmp_path}/a")
     got = sorted(binary_ids.read_ids(spark, f"{tmp_path}/a").collect(), key=lambda r: r.start)
     own = lambda t: array("I", [*lib.encode(t or "", add_special_tokens=False).ids, 0]).tobytes()
-    rows = sorted((i if i is not None else -1, own(t)) for i, t, _ in odd_rows)
+    rows = sorted((i if i is not None else -1, own(t)) for i, t, _ in odd_rows)  # ids repeat with one text here
     start = 0
     for r, (i, raw) in zip(got, rows, strict=True):
         assert ((r.doc_id if r.doc_id is not None else -1), r.start, r.n_tokens, bytes(r.ids)) == (i, start, len(raw) // 4, raw)
@@ -160,6 +164,47 @@ def test_binary_ids_on_odd_rows(spark, odd, odd_rows, lib, tmp_path):
     assert binary_ids.read_ids(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_block_files_can_be_read_alone(spark, sf, tmp_path, lib):
+    """Without Spark or the index: the files' blocks hold doc_ids, starts and ids of all documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    binary_ids.write_ids(docs, JSON, f"{tmp_path}/a")
+    ranks = np.frombuffer((tmp_path / "a/ranks").read_bytes(), "<u4")
+    got = []
+    for f in (tmp_path / "a/blocks").iterdir():
+        raw = f.read_bytes() if not f.name.startswith(".") else b""
+        while raw:
+            size = binary_ids.SIZE + sum(np.frombuffer(raw[32:64], "<u8").tolist())
+            names, start, lengths, r = binary_ids.unpack_block(raw[:size])
+            for name, n, end in zip(names.to_pylist(), lengths.tolist(), np.cumsum(lengths).tolist()):
+                got.append((start + end - n, name, ranks[r[end - n : end]].tolist()))
+            raw = raw[size:]
+    at = 0
+    for (start, name, ids), d in zip(sorted(got), sorted(docs.collect(), key=lambda d: d.doc_id), strict=True):
+        assert (start, name, ids) == (at, d.doc_id, [*lib.encode(d.text or "", add_special_tokens=False).ids, 0])
+        at += len(ids)
+    counts = Bag(i for _, _, ids in got for i in ids)
+    assert [counts[i] for i in ranks.tolist()] == sorted(counts.values(), reverse=True)
+
+
+def test_registered_queries_against_the_libraries(spark, sf, lib):
+    """op6, op8 and op10 over a whole table."""
+    texts_ = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: lib.encode(t, add_special_tokens=False).ids for i, t in texts_.items()}
+    got = {r.doc_id: r for r in token_counts.op10_token_counts(spark, sf).collect()}
+    assert {i: (r.n_bytes, r.n_tokens, r.over_limit) for i, r in got.items()} == {i: (len(t.encode()), len(ids[i]), len(ids[i]) > 512) for i, t in texts_.items()}
+    at, got = 0, {r.doc_id: r for r in binary_ids.op8_binary_ids(spark, sf).collect()}
+    assert got.keys() == ids.keys()
+    for i in sorted(ids):
+        assert tuple(got[i]) == (i, at, len(ids[i]) + 1, zlib.crc32(array("I", [*ids[i], 0]).tobytes()))
+        at += len(ids[i]) + 1
+    e, sha = bpe.Encoder(MULTI), lambda b: hashlib.sha256(b).hexdigest()
+    got = {r.doc_id: r for r in bpe.op6_bpe_round_trip(spark, sf).collect()}
+    assert got.keys() == ids.keys()
+    for i, t in texts_.items():
+        own = e.lib.encode_ordinary(t)
+        assert tuple(got[i]) == (i, len(own), sha(",".join(map(str, own)).encode()), sha(t.encode()))
+
+
 def whole(pieces, capacity=1024, segments=256):
     """Each sequence is gapless, keeps its limits, and has no padding but at powers of two."""
     box, doc = defaultdict(list), defaultdict(list)
