@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthgraph.operators import aggregates as G
 from hearthgraph.operators import filters as B
 from hearthgraph.operators import history as H
 from hearthgraph.operators import linkage as L
+from hearthgraph.operators import tables as U
+from hearthgraph.sources.snapshots import stored
 
 #: The extended scorer: signal weights, and what a pair needs to match.
 EXT_WEIGHTS = {"full_postcode": 40.0, "outcode": 10.0, "coordinates": 40.0, "street": 20.0, "price": 15.0, "tfidf": 15.0, "gallery": 40.0, "embeddings": 25.0}
@@ -34,35 +38,131 @@ def match_score_ext(pairs: DataFrame, weights: dict | None = None, match_at: flo
     return L.match_score(pairs, EXT_SIGNALS, EXT_WEIGHTS | (weights or {}), match_at)
 
 
-def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None) -> DataFrame:
-    """Fate of each new listing: merged_into_anchor (with the earliest anchor of its group and the
-    price difference), absorbed into another new one, or genuinely_new."""
+def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None, as_of: Column | None = None, days: int = 30, retries: DataFrame | None = None) -> DataFrame:
+    """Fate of each new record, against the anchors first seen in the last `days` before as_of
+    (all, without one): genuinely_new (the first of a group without an anchor),
+    merged_into_anchor, or consumed_retry (a row of retries that is not new, whose stored row is to
+    go). With it the earliest anchor of its group, whether the group brings the anchor a source it
+    has not (the anchor is then due for analysis again), and what the lowest of its new prices
+    changes."""
+    if as_of is not None:
+        anchors = anchors.where(F.col("first_seen") >= as_of - F.make_dt_interval(F.lit(days)))
     both = new.withColumn("is_anchor", F.lit(False)).unionByName(anchors.withColumn("is_anchor", F.lit(True)))
-    groups = L.group_matches(L.qualifying_pairs(both, list(block), images), list(block))
+    both = L.with_sources(both)
+    groups = L.group_matches(L.qualifying_pairs(both, list(block), images))
     rows = both.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id"))
     order = F.struct("first_seen", "unique_id")
-    anchor = F.when(F.col("is_anchor"), order)
-    lead = rows.groupBy("group_id").agg(F.min_by("unique_id", anchor).alias("anchor_id"), F.min_by("price_pcm", anchor).alias("anchor_price"), F.min_by("unique_id", order).alias("first_id"))
-    out = rows.where("not is_anchor").join(lead, "group_id")
-    fate = F.when(F.col("anchor_id").isNotNull(), "merged_into_anchor").when(F.col("first_id") != F.col("unique_id"), "absorbed").otherwise("genuinely_new")
-    return out.select("unique_id", "group_id", "anchor_id", fate.alias("fate"), (F.col("price_pcm") - F.col("anchor_price")).alias("price_change"))
-
-
-def resolve_existing(listings: DataFrame, images: DataFrame | None = None) -> DataFrame:
-    """absorbed -> kept, for records of a table that describe the same home."""
-    golden = L.resolve_entities(listings, images=images)
-    kept = golden.select(F.col("group_id"), F.col("unique_id").alias("kept"), F.col("members"))
-    return kept.where("members > 1")
-
-
-def pipeline_run(raw: DataFrame, seen: DataFrame, criteria: B.Criteria, outcodes: DataFrame, images: DataFrame) -> dict[str, DataFrame]:
-    """The stages of a run, by name; each is one lazy plan over the one before."""
-    stages = {"scraped": G.first_rows(raw, ["unique_id"], ["first_seen"])}
-    stages["criteria"] = B.criteria_filter(stages["scraped"], criteria)
-    stages["location"] = B.location_filter(stages["criteria"], outcodes)
-    stages["new"] = B.filter_new(stages["location"], seen)
-    stages["gate"] = B.require_images(stages["new"], images)
-    return stages
+    anchor, fresh = F.when(F.col("is_anchor"), order), F.when(~F.col("is_anchor"), F.col("price_pcm"))
+    empty = F.array().cast("array<string>")
+    lead = rows.groupBy("group_id").agg(
+        F.min_by("unique_id", anchor).alias("anchor_id"),
+        F.min_by("price_pcm", anchor).alias("anchor_price"),
+        F.min_by("sources", anchor).alias("had"),
+        F.flatten(F.collect_list(F.when(~F.col("is_anchor"), F.col("sources")).otherwise(empty))).alias("brought"),
+        F.min(fresh).alias("lowest"),
+        F.min_by("unique_id", order).alias("first_id"),
+    )
+    brings = F.coalesce(F.size(F.array_except("brought", "had")) > 0, F.lit(False))
+    out = rows.where("not is_anchor").join(lead.withColumn("reanalyse", F.col("anchor_id").isNotNull() & brings), "group_id")
+    retry = F.lit(False)
+    if retries is not None:
+        out = out.join(retries.select("unique_id").distinct().withColumn("_retry", F.lit(True)), "unique_id", "left")
+        retry = F.coalesce("_retry", F.lit(False))
+    fresh_one = F.col("anchor_id").isNull() & (F.col("first_id") == F.col("unique_id"))
+    fate = F.when(fresh_one, "genuinely_new").when(retry, "consumed_retry").otherwise("merged_into_anchor")
+    change = F.when(F.col("reanalyse"), F.nullif(F.col("lowest") - F.col("anchor_price"), F.lit(0)))
+    return out.select("unique_id", "group_id", "anchor_id", fate.alias("fate"), "reanalyse", change.alias("price_change"))
+
+
+def resolve_existing(records: DataFrame, images: DataFrame | None = None, children: dict[str, tuple[DataFrame, str]] | None = None, unlinked: dict[str, tuple[DataFrame, str]] | None = None) -> dict[str, DataFrame]:
+    """A whole table resolved against itself: kept (the fused records), absorbed (absorbed, kept),
+    and the tables that hang on the records: children lose the rows of absorbed ids, those in
+    unlinked have them point to nothing."""
+    one = Window.partitionBy("unique_id").orderBy("first_seen")
+    rows = records.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    groups = stored(L.group_matches(L.qualifying_pairs(rows, ["outcode", "bedrooms"], images)), "groups")
+    rows = rows.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id"))
+    kept = L.fuse(rows, images)
+    absorbed = rows.join(groups.select("group_id").distinct(), "group_id", "left_semi").select(F.col("unique_id").alias("absorbed"), "group_id")
+    absorbed = absorbed.join(kept.select("group_id", F.col("unique_id").alias("kept")), "group_id").where("absorbed <> kept").select("absorbed", "kept")
+    cascade = U.delete_cascade(records, absorbed.select(F.col("absorbed").alias("unique_id")), "unique_id", children or {}, unlinked or {})
+    return {"kept": kept, "absorbed": absorbed} | {k: v for k, v in cascade.items() if k != "parent"}
+
+
+@dataclass(frozen=True)
+class Run:
+    """What a run works on. listings and golden are the stored tables; details has unique_id,
+    gallery and floorplan; commutes has id, mode and minutes."""
+
+    listings: DataFrame
+    golden: DataFrame
+    outcodes: DataFrame
+    images: DataFrame
+    details: DataFrame
+    commutes: DataFrame
+    criteria: B.Criteria
+    most_minutes: int
+    exempt: tuple[str, ...] = ("openrent",)
+    most_attempts: int = 3
+    as_of: Column | None = None
+
+
+def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
+    """A whole run: listings (the stored ones with the scraped upserted), price_changes (of known
+    records), fates (one row for each scraped record and retry), events (one for each stage that a
+    record passed or ended in), funnel (records that passed each stage), and saved (the new golden
+    records, waiting for analysis).
+
+    Stages: criteria, location, new (not yet promoted; retries join in here), enriched (details
+    with photos or a floor plan), commute, dedup (against recent records), gate (floor plan)."""
+    scraped = G.first_rows(raw, ["unique_id"], ["first_seen"])
+    keep = {"first_seen": "keep", "merged_id": "keep", "description": "coalesce_new", "latitude": "coalesce_new", "longitude": "coalesce_new", "postcode": "coalesce_new"}
+    listings = U.merge_upsert(run.listings, scraped.drop("merged_id") if "merged_id" in scraped.columns else scraped, ["unique_id"], {k: v for k, v in keep.items() if k in run.listings.columns})
+    flag = lambda df, name: df.select("unique_id").distinct().withColumn(name, F.lit(True))
+    marked = scraped.withColumn("retry", F.lit(False))
+    fits = B.criteria_filter(scraped, run.criteria)
+    placed = B.location_filter(scraped, run.outcodes)
+    fresh = B.filter_new(scraped, run.listings)
+    for df, name in ((fits, "_criteria"), (placed, "_location"), (fresh, "_new")):
+        marked = marked.join(flag(df, name), "unique_id", "left")
+    waiting = B.work_queue(run.golden, "unenriched", most=run.most_attempts)
+    again = waiting.join(scraped.select("unique_id"), "unique_id", "left_anti")
+    again = again.withColumn("retry", F.lit(True)).withColumns({c: F.lit(True) for c in ("_criteria", "_location", "_new")})
+    rows = marked.unionByName(again, allowMissingColumns=True).select(*marked.columns)
+    late = waiting.select("unique_id").withColumn("_late", F.lit(True))
+    rows = rows.join(late, "unique_id", "left").withColumn("retry", F.col("retry") | F.coalesce("_late", F.lit(False))).drop("_late")
+    has = (F.coalesce(F.size("gallery"), F.lit(0)) > 0) | F.col("floorplan").isNotNull()
+    rows = rows.join(run.details.select("unique_id", has.alias("_enriched"), F.col("floorplan").isNotNull().alias("_plan")), "unique_id", "left")
+    near = G.best_commute(run.commutes, run.most_minutes).select(F.col("id").alias("unique_id"), F.col("minutes").alias("commute_minutes"), "mode")
+    rows = rows.join(near, "unique_id", "left").withColumn("_commute", F.col("commute_minutes").isNotNull())
+    rows = stored(rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_criteria", "_location", "_new", "_enriched", "_commute", "_plan")}), "run")
+
+    upto = ["_criteria", "_location", "_new", "_enriched", "_commute"]
+    through = rows.where(B.every([F.col(c) for c in upto]))
+    cols = [c for c in run.golden.columns if c in rows.columns]
+    anchors = B.work_queue(run.golden.join(through.select("unique_id"), "unique_id", "left_anti"), "anchors")
+    fates = resolve_against_anchors(through.select(cols), anchors.select(cols), images=run.images, as_of=run.as_of, retries=through.where("retry"))
+    rows = rows.join(fates, "unique_id", "left")
+    allowed = F.col("_plan") | F.col("source").isin(*run.exempt)
+    end = F.lit(None).cast("string")
+    for c, name in reversed(list(zip(upto, ("rejected_criteria", "rejected_location", "seen", "unenriched", "too_far")))):
+        end = F.when(~F.col(c), name).otherwise(end)
+    fate = F.coalesce(end, F.when(F.col("fate") != "genuinely_new", F.col("fate")), F.when(allowed, "saved").otherwise("no_floorplan"))
+    rows = stored(rows.withColumn("fate", fate), "fates")
+    out = rows.select("unique_id", "source", "retry", "fate", "anchor_id", "reanalyse", "price_change", "commute_minutes")
+
+    stages = ["scraped", "criteria", "location", "new", "enriched", "commute", "dedup", "gate"]
+    ended = ["", "rejected_criteria", "rejected_location", "seen", "unenriched", "too_far", "merged_into_anchor", "no_floorplan"]
+    place = F.coalesce(F.when(F.col("fate") == "consumed_retry", 6), F.nullif(F.array_position(F.array(*map(F.lit, ended)), F.col("fate")) - 1, F.lit(-1)), F.lit(len(stages))).cast("int")
+    steps = out.withColumn("_end", place).select("unique_id", "source", "fate", "_end", F.explode(F.sequence(F.lit(0), F.least(place, F.lit(len(stages) - 1)))).alias("_i"))
+    passed = F.col("_i") < F.col("_end")
+    events = steps.select("unique_id", "source", F.element_at(F.array(*map(F.lit, stages)), F.col("_i") + 1).alias("stage"), F.when(passed, "passed").otherwise(F.col("fate")).alias("event_type"))
+    funnel = events.where("event_type = 'passed'").groupBy("stage").agg(F.count("*").alias("n"))
+
+    before = run.golden.select("unique_id", F.col("price_pcm").alias("old_price"))
+    changes = scraped.join(before, "unique_id").where("old_price <> price_pcm").select("unique_id", "old_price", F.col("price_pcm").alias("new_price"), (F.col("price_pcm") - F.col("old_price")).alias("change"))
+    saved = G.wrap_single(scraped.join(out.where("fate = 'saved'").select("unique_id"), "unique_id", "left_semi")).withColumn("notification_status", F.lit("pending_analysis"))
+    return {"listings": listings, "price_changes": changes, "fates": out, "events": events, "funnel": funnel, "saved": saved}
 
 
 def off_market_job(checked: DataFrame, golden: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from hearthgraph.functions import address as A
 from hearthgraph.functions import geo as G
+from hearthgraph.operators.graph import components
+from hearthgraph.sources.snapshots import stored
 
 # Weights and limits of the pair score.
 WEIGHTS = {"image_hash": 40.0, "full_postcode": 40.0, "coordinates": 40.0, "street": 20.0, "outcode": 10.0, "price": 15.0}
@@ -25,22 +27,33 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.withColumns({"outcode": A.extract_outcode(F.col("postcode")), "street": A.normalize_street_name(F.col("address")), "full_postcode": F.when(A.is_full_postcode(F.col("postcode")), A.normalize_postcode(F.col("postcode")))})
 
 
+def with_sources(df: DataFrame) -> DataFrame:
+    """df with sources: those of a golden record, else the one source of a listing."""
+    return df if "sources" in df.columns else df.withColumn("sources", F.array("source"))
+
+
+def strangers() -> Column:
+    """The two sides of a pair have no source in common."""
+    return ~F.arrays_overlap("sources_a", "sources_b")
+
+
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tuple(df.select(*(F.col(c).alias(f"{c}_{s}") for c in df.columns)) for s in "ab")
 
 
 def candidate_pairs(df: DataFrame, block: list[str], salts: int = 1) -> DataFrame:
-    """All pairs of a block across sources, as columns with _a and _b; a null key pairs with none.
+    """All pairs of a block whose sides share no source (sources of a golden record, else source),
+    as columns with _a and _b; a null key pairs with none.
 
     salts deals each block to that many tasks: one side by hash, the other copied to each."""
-    df = df.dropna(subset=block)
+    df = with_sources(df).dropna(subset=block)
     a, b = _sides(df)
     on = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block]
     if salts > 1:
         a = a.withColumn("_sa", F.pmod(F.xxhash64("unique_id_a"), F.lit(salts)))
         b = b.withColumn("_sb", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on.append(F.col("_sa") == F.col("_sb"))
-    pairs = a.join(b, [*on, F.col("unique_id_a") < F.col("unique_id_b"), F.col("source_a") != F.col("source_b")])
+    pairs = a.join(b, [*on, F.col("unique_id_a") < F.col("unique_id_b"), strangers()])
     return pairs.drop("_sa", "_sb")
 
 
@@ -180,14 +193,15 @@ def match_score(pairs: DataFrame, signals: dict | None = None, weights: dict | N
     return pairs.withColumns({"is_match": match, "tier": tier})
 
 
-def strong_pairs(df: DataFrame, block: list[str]) -> DataFrame:
+def strong_pairs(df: DataFrame, block: list[str], street: bool = False) -> DataFrame:
     """The pairs of candidate_pairs that can reach a match: outcode, street and price alone give
     45, so a match shares its full postcode, a photo, or a place within 100 m. Three selective
     joins in place of all pairs of a block; no match is lost. Photos are those in hashes (an
-    array), else the main one."""
-    df = df.dropna(subset=block)
+    array), else the main one. street adds the pairs of one street, for scores in which text
+    counts."""
+    df = with_sources(df).dropna(subset=block)
     a, b = _sides(df)
-    legal = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block] + [F.col("unique_id_a") < F.col("unique_id_b"), F.col("source_a") != F.col("source_b")]
+    legal = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block] + [F.col("unique_id_a") < F.col("unique_id_b"), strangers()]
     ok = legal[0]
     for x in legal[1:]:
         ok = ok & x
@@ -195,6 +209,8 @@ def strong_pairs(df: DataFrame, block: list[str]) -> DataFrame:
     near = proximity_join(a, b, 100.0).where(ok).drop("metres")
     cols = [c for c in a.columns] + [c for c in b.columns]
     found = post.select(cols).union(near.select(cols))
+    if street:
+        found = found.union(a.join(b, [F.col("street_a") == F.col("street_b"), F.col("street_a") != "", ok]).select(cols))
     if "hashes" in df.columns:
         x, y = (d.withColumn(f"_hash_{s}", F.explode(f"hashes_{s}")) for d, s in ((a, "a"), (b, "b")))
         hashed = hamming_join(x, y, "_hash_a", "_hash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
@@ -217,8 +233,8 @@ def rank_pairs(pairs: DataFrame, block: list[str]) -> DataFrame:
 
 
 def greedy_groups(pairs: list[tuple], most: int = GROUP_AT_MOST) -> dict[str, str]:
-    """pairs (a, b, source_a, source_b), best first -> member -> first member of its group. Two
-    grouped ones never merge; a group has at most `most` members and no source twice."""
+    """pairs (a, b, sources of a, sources of b), best first -> member -> first member of its group.
+    Two grouped ones never merge; a group has at most `most` members and no source twice."""
     group: dict[str, str] = {}
     members: dict[str, list[str]] = {}
     sources: dict[str, set] = {}
@@ -227,30 +243,75 @@ def greedy_groups(pairs: list[tuple], most: int = GROUP_AT_MOST) -> dict[str, st
             continue
         if a not in group and b not in group:
             group[a] = group[b] = a
-            members[a], sources[a] = [a, b], {sa, sb}
+            members[a], sources[a] = [a, b], {*sa, *sb}
             continue
         new, source, g = (b, sb, group[a]) if a in group else (a, sa, group[b])
-        if len(members[g]) < most and source not in sources[g]:
+        if len(members[g]) < most and sources[g].isdisjoint(source):
             group[new] = g
             members[g].append(new)
-            sources[g].add(source)
+            sources[g].update(source)
     return group
 
 
-def group_matches(pairs: DataFrame, block: list[str]) -> DataFrame:
-    """Qualifying pairs -> unique_id, group_id. A pair touches only its two ends' groups, so each
-    block is on its own; positions are first_seen, then unique_id."""
+ROUNDS_ABOVE = 100_000  # pairs of a component that one task may group
+
+
+def group_matches(pairs: DataFrame, rounds_above: int | None = None) -> DataFrame:
+    """Qualifying pairs -> unique_id, group_id: best score first, then positions (first_seen, then
+    unique_id). A pair touches only its two ends' groups, so each connected component of pairs is
+    on its own: small ones are tasks' groups, larger ones are grouped in rounds over the cluster."""
+    limit = ROUNDS_ABOVE if rounds_above is None else rounds_above
     pa_, pb = F.struct("first_seen_a", "unique_id_a"), F.struct("first_seen_b", "unique_id_b")
     swap = pb < pa_
-    sides = {"a": F.when(swap, F.col("unique_id_b")).otherwise(F.col("unique_id_a")), "b": F.when(swap, F.col("unique_id_a")).otherwise(F.col("unique_id_b")), "sa": F.when(swap, F.col("source_b")).otherwise(F.col("source_a")), "sb": F.when(swap, F.col("source_a")).otherwise(F.col("source_b")), "ta": F.least("first_seen_a", "first_seen_b"), "tb": F.greatest("first_seen_a", "first_seen_b")}
-    rows = pairs.select(F.concat_ws("|", *(F.col(f"{c}_a").cast("string") for c in block)).alias("block"), "score", *(c.alias(n) for n, c in sides.items()))
+    first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    sides = {"a": first("unique_id_a", "unique_id_b"), "b": first("unique_id_b", "unique_id_a"), "sa": first("sources_a", "sources_b"), "sb": first("sources_b", "sources_a"), "ta": F.least("first_seen_a", "first_seen_b"), "tb": F.greatest("first_seen_a", "first_seen_b")}
+    rows = stored(pairs.select("score", *(c.alias(n) for n, c in sides.items())), "qualifying")
+    rooted = rows.join(components(rows.select("a", "b")).withColumnRenamed("node", "a"), "a")
+    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    small = rooted.join(sizes.where(F.col("n") <= limit).select("root"), "root", "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "ta", "a", "tb", "b"], ascending=[False, True, True, True, True])
         found = greedy_groups(list(zip(pdf.a, pdf.b, pdf.sa, pdf.sb)))
         return pd.DataFrame({"unique_id": list(found), "group_id": list(found.values())}, dtype="object")
 
-    return rows.groupBy("block").applyInPandas(run, "unique_id string, group_id string")
+    out = small.groupBy("root").applyInPandas(run, "unique_id string, group_id string")
+    large = sizes.where(F.col("n") > limit).select("root")
+    return out if large.isEmpty() else out.union(_grouped_in_rounds(rooted.join(large, "root", "left_semi")))
+
+
+def _grouped_in_rounds(pairs: DataFrame) -> DataFrame:
+    """greedy_groups over the cluster. A pair that is the best of all living pairs at both its ends
+    (an end is a record, or the group it is in) is not touched by any earlier one, so all such
+    pairs are taken at once; pairs that can no longer be taken die. Each round is written."""
+    key = F.struct((-F.col("score")).alias("s"), "ta", "a", "tb", "b")
+    alive = stored(pairs.select("a", "b", "sa", "sb", key.alias("k")), "alive")
+    groups = None  # group_id, members, sources
+    while not alive.isEmpty():
+        if groups is not None:
+            for x in "ab":
+                own = groups.select(F.explode("members").alias(x), F.col("group_id").alias(f"g{x}"), F.size("members").alias(f"n{x}"), F.col("sources").alias(f"all_{x}"))
+                alive = alive.join(own, x, "left")
+            into_a = F.col("ga").isNotNull() & F.col("gb").isNull() & (F.col("na") < GROUP_AT_MOST) & ~F.arrays_overlap("all_a", "sb")
+            into_b = F.col("gb").isNotNull() & F.col("ga").isNull() & (F.col("nb") < GROUP_AT_MOST) & ~F.arrays_overlap("all_b", "sa")
+            alive = alive.where((F.col("ga").isNull() & F.col("gb").isNull()) | into_a | into_b)
+        else:
+            alive = alive.withColumns({"ga": F.lit(None).cast("string"), "gb": F.lit(None).cast("string")})
+        alive = stored(alive.select("a", "b", "sa", "sb", "k", "ga", "gb"), "alive")
+        ends = alive.withColumns({"ea": F.coalesce("ga", "a"), "eb": F.coalesce("gb", "b")})
+        best = ends.select(F.explode(F.array("ea", "eb")).alias("e"), "k").groupBy("e").agg(F.min("k").alias("best"))
+        taken = ends.join(best.select(F.col("e").alias("ea"), F.col("best").alias("ba")), "ea").join(best.select(F.col("e").alias("eb"), F.col("best").alias("bb")), "eb")
+        taken = taken.where((F.col("k") == F.col("ba")) & (F.col("k") == F.col("bb")))
+        new = taken.select(
+            F.coalesce("ga", "gb", "a").alias("group_id"),
+            F.when(F.col("ga").isNotNull(), F.array("b")).when(F.col("gb").isNotNull(), F.array("a")).otherwise(F.array("a", "b")).alias("members"),
+            F.when(F.col("ga").isNotNull(), F.col("sb")).when(F.col("gb").isNotNull(), F.col("sa")).otherwise(F.concat("sa", "sb")).alias("sources"),
+        )
+        both = new if groups is None else groups.unionByName(new)
+        # at most GROUP_AT_MOST members
+        groups = stored(both.groupBy("group_id").agg(F.flatten(F.collect_list("members")).alias("members"), F.flatten(F.collect_list("sources")).alias("sources")), "groups")
+        alive = alive.drop("ga", "gb").join(taken.select("a", "b"), ["a", "b"], "left_anti")
+    return groups.select(F.explode("members").alias("unique_id"), "group_id")
 
 
 def first_by(value: Column, *order: Column, where: Column | None = None) -> Column:
@@ -259,33 +320,66 @@ def first_by(value: Column, *order: Column, where: Column | None = None) -> Colu
     return F.min_by(value, key if where is None else F.when(where, key))
 
 
-def fuse(rows: DataFrame) -> DataFrame:
-    """Members (listing columns and group_id) -> one golden record for each group.
+# Which source's photos and floor plans are preferred, and whose floor area is trusted.
+PHOTO_PRIORITY = {"zoopla": 4, "rightmove": 3, "onthemarket": 2, "openrent": 1}
+AREA_TRUST = {"zoopla": 3, "onthemarket": 2, "rightmove": 1}
 
-    Identity is the earliest member's; the first full postcode and coordinates, the earliest
-    available place in `first_seen` order; sources in that order with the first URL of each;
-    the lowest and highest price; longest floor area by source priority."""
+
+def ranked(source: str, ranks: dict[str, int]) -> Column:
+    out = F.when(F.lit(False), 0)
+    for name, rank in ranks.items():
+        out = out.when(F.col(source) == name, rank)
+    return out.otherwise(0)
+
+
+def fuse(rows: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Members (listings or golden records, with group_id) -> one golden record for each group.
+
+    Identity is the earliest member's; the first full postcode and coordinates; sources in the
+    members' order with the first URL of each; of a source's descriptions the latest that is not
+    empty; the lowest and highest of the members' own lowest and highest prices; the floor area of
+    the most trusted source. With images (unique_id, image_id, source, url, image_type, phash):
+    the gallery, each URL once, in the members' order, without photos that look like a preferred
+    one, and the floor plan of the preferred source."""
     order = [F.col("first_seen"), F.col("unique_id")]
-    # Which source's floor area is trusted first.
-    trust = F.when(F.col("source") == "zoopla", 3).when(F.col("source") == "onthemarket", 2).when(F.col("source") == "rightmove", 1).otherwise(0)
     has_coord = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     full = A.is_full_postcode(F.col("postcode"))
-    first_urls = F.array_sort(F.collect_list(F.struct(*order, "source", "url")))
+    rows = with_sources(rows)
+    if "source_urls" not in rows.columns:
+        rows = rows.withColumn("source_urls", F.create_map("source", "url"))
+    if "descriptions" not in rows.columns:
+        text = F.col("description") if "description" in rows.columns else F.lit(None).cast("string")
+        rows = rows.withColumn("descriptions", F.when(F.trim(text) != "", F.create_map("source", text)))
+    lo, hi = (F.col(c) if c in rows.columns else F.col("price_pcm") for c in ("min_price", "max_price"))
+    pairs = F.transform("sources", lambda s: F.struct(s.alias("s"), F.try_element_at("source_urls", s).alias("v")))
+    texts = F.coalesce(F.transform(F.map_entries("descriptions"), lambda e: F.struct(e["key"].alias("s"), e["value"].alias("v"))), F.array().cast("array<struct<s:string,v:string>>"))
+    listed = F.array_sort(F.collect_list(F.struct(*order, pairs.alias("u"), texts.alias("d"))))  # at most GROUP_AT_MOST
     out = rows.groupBy("group_id").agg(
         *(first_by(F.col(c), *order).alias(c) for c in ("unique_id", "title", "price_pcm", "bedrooms", "address")),
         F.coalesce(first_by(F.col("postcode"), *order, where=full), first_by(F.col("postcode"), *order)).alias("postcode"),
         first_by(F.col("latitude"), *order, where=has_coord).alias("latitude"),
         first_by(F.col("longitude"), *order, where=has_coord).alias("longitude"),
-        F.max_by("floor_area_sqm", F.when(F.col("floor_area_sqm").isNotNull(), F.struct(trust.alias("t"), (-F.unix_timestamp("first_seen")).alias("s"), F.col("unique_id")))).alias("floor_area_sqm"),
-        F.min("price_pcm").alias("min_price"),
-        F.max("price_pcm").alias("max_price"),
+        F.max_by("floor_area_sqm", F.when(F.col("floor_area_sqm").isNotNull(), F.struct(ranked("source", AREA_TRUST).alias("t"), (-F.unix_timestamp("first_seen")).alias("s"), F.col("unique_id")))).alias("floor_area_sqm"),
+        F.min(lo).alias("min_price"),
+        F.max(hi).alias("max_price"),
         F.min("first_seen").alias("first_seen"),
         F.count("*").alias("members"),
-        first_urls.alias("_urls"),
+        listed.alias("_m"),
     )
-    sources = F.array_distinct(F.transform("_urls", lambda x: x["source"]))
-    urls = F.map_from_entries(F.transform(sources, lambda s: F.struct(s.alias("k"), F.filter("_urls", lambda x: x["source"] == s)[0]["url"].alias("v"))))
-    return out.withColumns({"sources": sources, "source_urls": urls}).drop("_urls")
+    urls, said = F.flatten(F.transform("_m", lambda m: m["u"])), F.flatten(F.transform("_m", lambda m: m["d"]))
+    named = lambda x: F.array_distinct(F.transform(x, lambda e: e["s"]))
+    pick = lambda x, at: F.map_from_entries(F.transform(named(x), lambda s: F.struct(s.alias("k"), F.element_at(F.filter(x, lambda e: e["s"] == s), at)["v"].alias("v"))))
+    out = out.withColumns({"sources": named(urls), "source_urls": pick(urls, 1), "descriptions": pick(said, -1)}).drop("_m")
+    if images is None:
+        return out
+    own = images.join(rows.select("unique_id", "group_id", "first_seen"), "unique_id").withColumn("priority", ranked("source", PHOTO_PRIORITY))
+    once = Window.partitionBy("group_id", "image_type", "url").orderBy("first_seen", "unique_id", "image_id")
+    own = own.withColumn("_n", F.row_number().over(once)).where("_n = 1")
+    gallery = own.where("image_type = 'gallery'").withColumn("place", F.struct("first_seen", "unique_id", "image_id"))
+    kept = perceptual_dedup(gallery.select("group_id", "place", "url", "phash", "priority"))
+    photos = kept.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", "url")))["url"].alias("images"))
+    plans = own.where("image_type = 'floorplan'").groupBy("group_id").agg(F.max_by("url", F.struct("priority", (-F.unix_timestamp("first_seen")).alias("t"), (-F.col("image_id")).alias("i"))).alias("floorplan"))
+    return out.join(photos, "group_id", "left").join(plans, "group_id", "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
 
 
 def with_hashes(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
@@ -300,18 +394,19 @@ def with_hashes(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
 
 def qualifying_pairs(df: DataFrame, block: list[str], images: DataFrame | None = None) -> DataFrame:
     """The scored pairs of listings that may be grouped: matches that the gallery veto leaves."""
-    slim = with_hashes(keyed(df), images).select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", "hashes")
+    slim = with_hashes(with_sources(keyed(df)), images).select("unique_id", "sources", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", "hashes")
     pairs = strong_pairs(slim, block).withColumn("gallery_matches", gallery_match_count(F.col("hashes_a"), F.col("hashes_b")))
     return gallery_veto(match_score(pairs))
 
 
 def resolve_entities(df: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None) -> DataFrame:
-    """Listings and their photos -> golden records: earliest row of each id, strong pairs, score,
-    gallery veto, grouping, fusion. Without images each listing has its main photo only."""
+    """Listings (or golden records) and their photos -> golden records: earliest row of each id,
+    strong pairs, score, gallery veto, grouping, fusion. Without images each has its main photo
+    only, and the result no galleries."""
     one = Window.partitionBy("unique_id").orderBy("first_seen", "url")
     df = df.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    groups = group_matches(qualifying_pairs(df, list(block), images), list(block))
-    return fuse(df.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id")))
+    groups = group_matches(qualifying_pairs(df, list(block), images))
+    return fuse(df.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id")), images)
 
 
 def with_photo(pairs: DataFrame) -> DataFrame:
@@ -334,22 +429,21 @@ def best_urls(results: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def perceptual_dedup(images: DataFrame) -> DataFrame:
-    """images (group_id, image_id, phash, priority): in each group, in order of priority and then
-    place, an image near a kept one is dropped. Groups are the photos of a few listings."""
+    """images (group_id, place, url, phash, priority) without those that look like another of their
+    group: of two alike the one of higher priority stays, the earlier place of equals. A photo that
+    has been dropped drops no further one. Groups are the photos of a few listings."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["priority", "image_id"], ascending=[False, True])
-        kept: list[int] = []
-        rows = []
-        for i, h in zip(pdf.image_id, pdf.phash):
-            v = int(h, 16) if h else None
-            if v is None or all((v ^ k).bit_count() > HASH_BITS for k in kept):
-                rows.append(i)
-                if v is not None:
-                    kept.append(v)
-        return pdf[pdf.image_id.isin(rows)][["group_id", "image_id"]]
-
-    return images.groupBy("group_id").applyInPandas(run, "group_id string, image_id long")
+        pdf = pdf.assign(at=[tuple(p.values()) if isinstance(p, dict) else p for p in pdf.place]).sort_values("at").drop(columns="at")
+        bits = [int(h, 16) if h else None for h in pdf.phash]
+        rank, stays = pdf.priority.tolist(), [True] * len(pdf)
+        for i, x in enumerate(bits):
+            later = (j for j in range(i + 1, len(bits)) if x is not None and bits[j] is not None and stays[j] and (x ^ bits[j]).bit_count() <= HASH_BITS)
+            while stays[i] and (j := next(later, None)) is not None:
+                stays[i if rank[j] > rank[i] else j] = False
+        return pdf[stays]
+
+    return images.groupBy("group_id").applyInPandas(run, images.schema)
 
 
 def token_ratio(kind: str) -> Callable[[Column, Column], Column]:

@@ -102,12 +102,17 @@ def evaluate_matcher(spark, sf):
 @query()
 def resolve_against_anchors(spark, sf):
     r = T.listings(spark, sf)
-    return W.resolve_against_anchors(r.where("k >= 2"), r.where("k < 2"), images=T.images(spark, sf))
+    new = r.where("k >= 2")
+    return W.resolve_against_anchors(new, r.where("k < 2"), images=T.images(spark, sf), as_of=F.lit("2025-03-01").cast("timestamp"), retries=new.where("attempts > 1"))
 
 
 @query()
 def resolve_existing(spark, sf):
-    return W.resolve_existing(T.listings(spark, sf), T.images(spark, sf))
+    im = T.images(spark, sf)
+    out = W.resolve_existing(T.listings(spark, sf), im, children={"images": (im, "unique_id")})
+    left = out["images"].groupBy("unique_id").agg(F.count("*").alias("images"))
+    pairs = out["absorbed"].groupBy(F.col("kept").alias("unique_id")).agg(F.array_join(F.array_sort(F.collect_list("absorbed")), ",").alias("absorbed"))  # at most three
+    return out["kept"].select("unique_id", "members").join(pairs, "unique_id", "left").join(left, "unique_id", "left")
 
 
 _OUT = "nullif(regexp_extract(upper(trim(postcode)), '^([A-Z]{1,2}\\d{1,2}[A-Z]?)', 1), '')"
@@ -117,15 +122,35 @@ _N = "(item % 4 > 0 OR merged_id IS NULL)"
 _I = "(image_url IS NOT NULL OR unique_id IN (SELECT unique_id FROM images WHERE image_type IN ('gallery', 'floorplan')))"
 
 
-@query(f"SELECT 'scraped' AS stage, count(*) AS n FROM listings UNION ALL SELECT 'criteria', count(*) FROM listings WHERE {_C} UNION ALL SELECT 'location', count(*) FROM listings WHERE {_C} AND {_L} UNION ALL SELECT 'new', count(*) FROM listings WHERE {_C} AND {_L} AND {_N} UNION ALL SELECT 'gate', count(*) FROM listings WHERE {_C} AND {_L} AND {_N} AND {_I}")
-def pipeline_run(spark, sf):
+_ENR = "item % 5 <> 1"
+_NEAR = "((item * 7 + k) % 60 <= 45 OR (item * 11 + k) % 70 <= 45)"
+
+
+def _run(spark, sf):
     r = T.listings(spark, sf)
-    stages = W.pipeline_run(r, r.where("item % 4 = 0"), B.Criteria(950, 1700, 0, 2), spark.createDataFrame([("E5",), ("E8",), ("N1",), ("N16",)], "outcode string"), T.images(spark, sf))
-    out = None
-    for name, df in stages.items():
-        one = df.agg(F.lit(name).alias("stage"), F.count("*").alias("n"))
-        out = one if out is None else out.union(one)
-    return out
+    details = r.select("unique_id", F.when(F.expr(_ENR), F.array("url")).otherwise(F.array().cast("array<string>")).alias("gallery"), F.when(F.expr(f"{_ENR} and item % 2 = 0"), F.col("url")).alias("floorplan"))
+    times = [r.selectExpr("unique_id as id", f"'{mode}' as mode", f"cast((item * {x} + k) % {y} as int) as minutes") for mode, x, y in (("bike", 7, 60), ("transit", 11, 70))]
+    golden = r.where("item % 4 = 0 and k = 0")
+    run = W.Run(r.where("item % 4 = 0"), golden, spark.createDataFrame([("E5",), ("E8",), ("N1",), ("N16",)], "outcode string"), T.images(spark, sf), details, times[0].union(times[1]), B.Criteria(950, 1700, 0, 2), 45)
+    return W.pipeline_run(r.where("k > 0"), run)
+
+
+@query(f"""SELECT unique_id, retry, CASE WHEN retry AND k = 0 THEN CASE WHEN NOT {_ENR} THEN 'unenriched' WHEN NOT {_NEAR} THEN 'too_far' ELSE 'dedup' END WHEN NOT ({_C}) THEN 'rejected_criteria' WHEN NOT {_L} THEN 'rejected_location' WHEN NOT {_N} THEN 'seen' WHEN NOT {_ENR} THEN 'unenriched' WHEN NOT {_NEAR} THEN 'too_far' ELSE 'dedup' END AS reached
+ FROM (SELECT *, k = 0 AS retry FROM listings WHERE k > 0 OR (item % 4 = 0 AND enrichment_status = 'pending' AND attempts < 3))""")
+def pipeline_run(spark, sf):
+    fates = _run(spark, sf)["fates"]
+    early = F.col("fate").isin("rejected_criteria", "rejected_location", "seen", "unenriched", "too_far")
+    return fates.select("unique_id", "retry", F.when(early, F.col("fate")).otherwise("dedup").alias("reached"))
+
+
+@query(f"SELECT unique_id, price_pcm, merged_id FROM listings WHERE item % 4 = 0 UNION ALL SELECT unique_id, price_pcm, NULL FROM listings WHERE item % 4 > 0 AND k > 0")
+def pipeline_upsert(spark, sf):
+    return _run(spark, sf)["listings"].select("unique_id", "price_pcm", "merged_id")
+
+
+@query()
+def pipeline_events(spark, sf):
+    return _run(spark, sf)["events"].groupBy("stage", "event_type", "source").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT id, g AND NOT w AS off, a AND w AS returned, CASE WHEN g THEN r END AS reason FROM (SELECT item AS id, bool_and(s IN ('removed', 'let_agreed')) AS g, bool_or(s = 'active') AS a, bool_or(item % 8 = 0) AS w, min_by(s, k) FILTER (s IN ('removed', 'let_agreed')) AS r FROM

@@ -117,7 +117,7 @@ def token_ratios(spark, sf):
 @query()
 def resolve_entities(spark, sf):
     g = L.resolve_entities(T.listings(spark, sf), images=T.images(spark, sf))
-    return g.select("group_id", "unique_id", "price_pcm", "bedrooms", "postcode", "members", "min_price", "max_price", F.array_join("sources", ",").alias("sources"), F.to_json("source_urls").alias("source_urls"))
+    return g.select("group_id", F.size("images").alias("images"), "floorplan", F.size("descriptions").alias("descriptions"), "unique_id", "price_pcm", "bedrooms", "postcode", "members", "min_price", "max_price", F.array_join("sources", ",").alias("sources"), F.to_json("source_urls").alias("source_urls"))
 
 
 @query("""SELECT 'g' || CAST(item AS VARCHAR) AS group_id, min_by(unique_id, k) AS unique_id, min_by(price_pcm, k) AS price_pcm, COALESCE(min_by(postcode, k) FILTER (regexp_matches(postcode, ' ')), min_by(postcode, k)) AS postcode, round(min_by(latitude, k) FILTER (latitude IS NOT NULL), 6) AS latitude,
@@ -130,8 +130,8 @@ def fuse(spark, sf):
 @query()
 def perceptual_dedup(spark, sf):
     im = T.images(spark, sf).where("image_type = 'gallery'")
-    priority = F.when(F.col("source") == "zoopla", 4).when(F.col("source") == "rightmove", 3).when(F.col("source") == "onthemarket", 2).otherwise(1)
-    return L.perceptual_dedup(im.select(F.floor(F.col("image_id") / 16).cast("string").alias("group_id"), "image_id", "phash", priority.alias("priority")))
+    kept = L.perceptual_dedup(im.select(F.floor(F.col("image_id") / 16).cast("string").alias("group_id"), F.col("image_id").alias("place"), "url", "phash", L.ranked("source", L.PHOTO_PRIORITY).alias("priority")))
+    return kept.select("group_id", F.col("place").alias("image_id"), "url")
 
 
 @query("""SELECT result, anchor FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY result) AS m FROM (SELECT *, row_number() OVER (PARTITION BY result ORDER BY anchor) AS n FROM

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -18,3 +18,10 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(root, uuid.uuid4().hex)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again: cuts the lineage, survives lost executors."""
+    path = f"{scratch_dir(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from hearthgraph.operators import jobs as W
 from hearthgraph.operators import linkage as L
 
 LISTING = "unique_id string, source string, url string, title string, price_pcm int, bedrooms int, address string, postcode string, latitude double, longitude double, first_seen timestamp, phash string, floor_area_sqm double"
-IMAGE = "unique_id string, image_id long, image_type string, phash string"
+IMAGE = "unique_id string, image_id long, image_type string, phash string, source string, url string"
 RND = random.Random(5)
 P = [f"{RND.getrandbits(64):016x}" for _ in range(12)]  # no two of them near
 
@@ -35,14 +35,16 @@ HOMES = {
 def homes(spark):
     rows = [(u, u[0], f"https://{u}", "x", p, 1, a, c, None, None, None, h, None) for u, (p, a, c, h, _) in HOMES.items()]
     df = spark.createDataFrame(rows, LISTING).withColumn("first_seen", F.lit("2025-01-01").cast("timestamp"))
-    photos = [(u, i, "gallery", h) for u, v in HOMES.items() for i, h in enumerate(v[4])]
-    return df, spark.createDataFrame([*photos, ("a:3", 9, "floorplan", P[0]), ("a:3", 10, "gallery", None)], IMAGE)
+    photos = [(u, i, "gallery", h, u[0], f"{u}-{i}") for u, v in HOMES.items() for i, h in enumerate(v[4])]
+    return df, spark.createDataFrame([*photos, ("a:3", 9, "floorplan", P[0], "a", "plan"), ("a:3", 10, "gallery", None, "a", "x")], IMAGE)
 
 
 def test_shared_photos_merge_and_strange_ones_part(homes):
     df, images = homes
     assert {r.group_id: r.members for r in L.resolve_entities(df, images=images).collect()} == {"a:1": 2, "a:2": 1, "b:2": 1, "a:3": 2, "a:4": 1, "b:4": 1}
-    assert {r.kept for r in W.resolve_existing(df, images).collect()} == {"a:1", "a:3"}
+    assert {(r.absorbed, r.kept) for r in W.resolve_existing(df, images)["absorbed"].collect()} == {("b:1", "a:1"), ("b:3", "a:3")}
+    left = W.resolve_existing(df, images, {"images": (images, "unique_id")})["images"]
+    assert {r.unique_id for r in left.collect()} == {"a:1", "a:2", "a:3", "b:2"}
     fates = W.resolve_against_anchors(df.where("source = 'b'"), df.where("source = 'a'"), images=images).collect()
     assert {r.unique_id: r.anchor_id for r in fates} == {"b:1": "a:1", "b:2": None, "b:3": "a:3", "b:4": None}
 

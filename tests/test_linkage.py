@@ -144,3 +144,64 @@ def test_hamming_join_is_brute_force(spark, most):
         bits = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
         want = sorted((i, j, bits(x, y)) for i, x, k in rows if x for j, y, m in rows if y and (not key or (k == m is not None)) and bits(x, y) <= most)
         assert sorted((r.i_a, r.i_b, r.distance) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("rounds_above", [0, 15, 10**6])
+def test_grouping_is_the_greedy_rule(spark, rounds_above):
+    """By component in tasks, in rounds over the cluster, and both: the model's groups."""
+    rnd = random.Random(9)
+    ids = [(f"{s}{i}", s, i % 7) for s in "abcde" for i in range(24)]
+    rows = {}
+    for _ in range(150):
+        x, y = sorted(rnd.sample(ids, 2), key=lambda r: (r[2], r[0]))
+        if x[1] != y[1] and abs(int(x[0][1:]) - int(y[0][1:])) < 4:
+            rows[x[0], y[0]] = (float(rnd.choice([60, 70, 80])), x, y)
+    model = sorted(rows.values(), key=lambda r: (-r[0], r[1][2], r[1][0], r[2][2], r[2][0]))
+    want = L.greedy_groups([(x[0], y[0], {x[1]}, {y[1]}) for _, x, y in model])
+    flat = [(y[0], [y[1]], y[2], x[0], [x[1]], x[2], s) if rnd.random() < 0.5 else (x[0], [x[1]], x[2], y[0], [y[1]], y[2], s) for s, x, y in model]
+    df = spark.createDataFrame(flat, "unique_id_a string, sources_a array<string>, first_seen_a int, unique_id_b string, sources_b array<string>, first_seen_b int, score double")
+    assert {r.unique_id: r.group_id for r in L.group_matches(df, rounds_above).collect()} == want and len(want) > 40
+
+
+def test_source_sets_keep_anchors_apart(spark):
+    rows = [("g:1", "a", ["a", "b"], "E8", 1), ("b:2", "b", ["b"], "E8", 1), ("c:3", "c", ["c"], "E8", 1)]
+    df = spark.createDataFrame(rows, "unique_id string, source string, sources array<string>, outcode string, bedrooms int")
+    assert {(r.unique_id_a, r.unique_id_b) for r in L.candidate_pairs(df, ["outcode", "bedrooms"]).collect()} == {("c:3", "g:1"), ("b:2", "c:3")}
+
+
+def test_dropped_photos_drop_no_more(spark):
+    near = lambda h, *bits: f"{h ^ sum(1 << b for b in bits):016x}"
+    h = 0x1234567890ABCDEF
+    rows = [("g", 1, "u1", near(h), 1), ("g", 2, "u2", near(h, *range(8)), 1), ("g", 3, "u3", near(h, *range(20, 28)), 2), ("g", 4, "u4", None, 1), ("g", 5, "u5", near(h, *range(20, 28)), 2), ("h", 1, "u1", near(h), 1)]
+    df = spark.createDataFrame(rows, "group_id string, place int, url string, phash string, priority int")
+    # 1 drops 2 and falls to 3, which drops 5
+    assert {(r.group_id, r.place) for r in L.perceptual_dedup(df).collect()} == {("g", 3), ("g", 4), ("h", 1)}
+
+
+def test_fusion_of_golden_records(spark):
+    rows = [("x", "a:1", "a", ["a", "b"], {"a": "ua", "b": "ub"}, {"a": "old a", "b": "old b"}, 10, 20, 1), ("x", "c:1", "c", ["c", "b"], {"c": "uc", "b": "other"}, {"b": "new b"}, 5, 12, 2)]
+    df = spark.createDataFrame(rows, "group_id string, unique_id string, source string, sources array<string>, source_urls map<string,string>, descriptions map<string,string>, min_price int, max_price int, t int")
+    df = df.withColumns({c: F.lit(None).cast(k) for c, k in {"title": "string", "bedrooms": "int", "address": "string", "postcode": "string", "latitude": "double", "longitude": "double", "floor_area_sqm": "double"}.items()}).withColumns({"price_pcm": F.lit(11), "first_seen": F.timestamp_seconds("t")})
+    photos = spark.createDataFrame([("a:1", 1, "a", "p1", "gallery", "0" * 16), ("c:1", 2, "c", "p1", "gallery", "0" * 16), ("c:1", 3, "c", "p3", "gallery", "f" * 16), ("c:1", 4, "zoopla", "plan z", "floorplan", None), ("a:1", 5, "openrent", "plan o", "floorplan", None)], "unique_id string, image_id long, source string, url string, image_type string, phash string")
+    g = L.fuse(df, photos).first()
+    assert (g.sources, g.source_urls, g.descriptions) == (["a", "b", "c"], {"a": "ua", "b": "ub", "c": "uc"}, {"a": "old a", "b": "new b"})
+    assert (g.min_price, g.max_price, g.images, g.floorplan, g.unique_id) == (5, 20, ["p1", "p3"], "plan z", "a:1")
+
+
+def test_every_record_of_a_run_has_one_fate(spark, sf):
+    from hearthgraph.plans import q_jobs
+
+    out = q_jobs._run(spark, sf.replace("sf0.001", "sf0.01"))
+    fates = {r.unique_id: r for r in out["fates"].collect()}
+    assert len(fates) == out["fates"].count()
+    kinds = {r.fate for r in fates.values()}
+    assert {"rejected_criteria", "rejected_location", "seen", "unenriched", "too_far", "saved"} <= kinds
+    events = defaultdict(list)
+    for r in out["events"].collect():
+        events[r.unique_id].append((r.stage, r.event_type))
+    assert events.keys() == fates.keys()
+    for u, es in events.items():
+        ends = [e for _, e in es if e != "passed"]
+        assert ends == ([] if fates[u].fate == "saved" else [fates[u].fate])
+    assert {r.unique_id for r in out["saved"].collect()} <= {u for u, r in fates.items() if r.fate == "saved"}
+    assert {r.stage: r.n for r in out["funnel"].collect()}["scraped"] == len(fates)
