@@ -87,6 +87,11 @@ def token_cost(calls: DataFrame) -> DataFrame:
     return calls.groupBy("run_id").agg(*total).withColumn("cost", cost)
 
 
-def largest_variant(images: DataFrame) -> DataFrame:
-    """For each photo (key) the variant of most pixels, the first of equals."""
-    return images.groupBy("unique_id", "photo").agg(F.max_by("url", F.struct((F.col("width") * F.col("height")).alias("px"), (-F.col("image_id")).alias("at"))).alias("url"), F.max(F.col("width") * F.col("height")).alias("pixels"))
+def largest_variant(images: DataFrame, n: int | None = None) -> DataFrame:
+    """For each photo (key) the variant of most pixels, the first of equals; with n, the n largest
+    photos of each listing."""
+    out = images.groupBy("unique_id", "photo").agg(F.max_by("url", F.struct((F.col("width") * F.col("height")).alias("px"), (-F.col("image_id")).alias("at"))).alias("url"), F.max(F.col("width") * F.col("height")).alias("pixels"))
+    if n is None:
+        return out
+    w = Window.partitionBy("unique_id").orderBy(F.desc("pixels"), "photo")
+    return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")

@@ -80,13 +80,21 @@ QUEUES = {
     "pending_analysis": "notification_status = 'pending_analysis'",
     "unenriched": "enrichment_status = 'pending' and attempts < {most}",
     "anchors": "first_seen >= timestamp'{since}' and coalesce(enrichment_status, 'enriched') <> 'pending'",
+    "reanalysis": "reanalysis_requested_at is not null",
+    "missing_commute": "commute_minutes is null and latitude is not null and longitude is not null",
+    "missing_ward": "ward is null and latitude is not null and longitude is not null",
 }
 
 
-def work_queue(df: DataFrame, kind: str, without: DataFrame | None = None, most: int = 3, since: str = "1970-01-01") -> DataFrame:
-    """Rows of a queue; without: ids to leave out."""
+def work_queue(df: DataFrame, kind: str, without: DataFrame | None = None, most: int = 3, since: str = "1970-01-01", outcode: str | None = None) -> DataFrame:
+    """Rows of a queue, the longest waiting first; without: ids to leave out; outcode: only full
+    postcodes of it."""
     found = df.where(QUEUES[kind].format(most=most, since=since))
-    return found.join(without.select("unique_id").distinct(), "unique_id", "left_anti") if without is not None else found
+    if outcode is not None:
+        found = found.where(F.upper("postcode").startswith(outcode.upper() + " "))
+    if without is not None:
+        found = found.join(without.select("unique_id").distinct(), "unique_id", "left_anti")
+    return found.orderBy("reanalysis_requested_at" if kind == "reanalysis" else "first_seen", "unique_id")
 
 
 def transition(df: DataFrame, guard: Column, changes: dict[str, Column]) -> DataFrame:
@@ -95,9 +103,60 @@ def transition(df: DataFrame, guard: Column, changes: dict[str, Column]) -> Data
     return df.withColumns({c: F.when(hit, new).otherwise(F.col(c)) for c, new in changes.items()} | {"changed": hit})
 
 
+def mark_enriched(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records that waited for enrichment (and are in ids) join the normal flow."""
+    hit = _named(df, ids)
+    return transition(hit, F.col("_in") & (F.col("notification_status") == "pending_enrichment"), {"enrichment_status": F.lit("enriched"), "notification_status": F.lit("pending")}).drop("_in")
+
+
+def expire_unenriched(df: DataFrame, most: int = 3) -> DataFrame:
+    return transition(df, (F.col("enrichment_status") == "pending") & (F.col("attempts") >= most), {"enrichment_status": F.lit("failed")})
+
+
+def complete_analysis(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Analysed (or passed over) records are due for a notice; the attempt counts."""
+    hit = _named(df, ids)
+    return transition(hit, F.col("_in") & (F.col("notification_status") == "pending_analysis"), {"notification_status": F.lit("pending"), "analysis_attempts": F.coalesce("analysis_attempts", F.lit(0)) + 1}).drop("_in")
+
+
+def reset_failed(df: DataFrame, analyses: DataFrame, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Records whose analysis gave no rating wait for it again (their analyses go), unless they
+    have been tried `most` times: df with changed and exhausted, and the analyses left."""
+    failed = analyses.where("overall_rating is null").select("unique_id").distinct()
+    rows = _named(df, failed).withColumn("_failed", F.col("_in") & (F.col("notification_status") != "pending_analysis"))
+    tried = F.coalesce("analysis_attempts", F.lit(0))
+    rows = rows.withColumn("exhausted", F.col("_failed") & (tried >= most))
+    out = transition(rows, F.col("_failed") & (tried < most), {"notification_status": F.lit("pending_analysis")}).drop("_in", "_failed")
+    return out, analyses.join(out.where("changed").select("unique_id"), "unique_id", "left_anti")
+
+
+def notified(df: DataFrame, results: DataFrame) -> DataFrame:
+    """results (unique_id, ok): sent, or failed and to be tried again."""
+    rows = df.join(results.select("unique_id", "ok"), "unique_id", "left")
+    return transition(rows, F.col("ok").isNotNull(), {"notification_status": F.when(F.col("ok"), "sent").otherwise("failed")}).drop("ok")
+
+
+def request_reanalysis(analyses: DataFrame, records: DataFrame, at: Column, ids: DataFrame | None = None, outcodes: list[str] | None = None) -> DataFrame:
+    """Mark the analyses of the ids, of full postcodes of the outcodes, or (without either) of all
+    records; asking again moves the time."""
+    chosen = records if ids is None else records.join(ids.select("unique_id").distinct(), "unique_id", "left_semi")
+    if outcodes:
+        chosen = outcode_prefix_filter(chosen, outcodes)
+    return transition(_named(analyses, chosen), F.col("_in"), {"reanalysis_requested_at": at}).drop("_in")
+
+
+def complete_reanalysis(analyses: DataFrame, ids: DataFrame) -> DataFrame:
+    return transition(_named(analyses, ids), F.col("_in") & F.col("reanalysis_requested_at").isNotNull(), {"reanalysis_requested_at": F.lit(None).cast("timestamp")}).drop("_in")
+
+
+def _named(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """df with _in: whether its id is among ids."""
+    own = ids.select("unique_id").distinct().withColumn("_in", F.lit(True))
+    return df.join(own, "unique_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+
+
 def outcode_prefix_filter(df: DataFrame, outcodes: list[str]) -> DataFrame:
-    """Full postcodes of the outcodes; a bare outcode does not match. One equi-join key, so a long
-    list costs no more than a short one."""
+    """Full postcodes of the outcodes (a list that a caller writes); a bare outcode does not match."""
     return df.where(F.upper("postcode").contains(" ") & F.split(F.upper("postcode"), " ")[0].isin([o.upper() for o in outcodes]))
 
 

@@ -51,12 +51,18 @@ def off_market_intervals(log: DataFrame, key: str, order: list[str], off: Column
     return rows.where("_off").select(key, F.col(ts).alias("off_at"), "back_at", F.col(reason).alias("reason"))
 
 
-def early_stop(pages: DataFrame, key: list[str], page: str, known: Column) -> DataFrame:
-    """Rows of the pages before the first one whose ids are all known; a failed page (failed) is
-    left out and stops nothing."""
-    per = pages.where("not failed").groupBy(*key, page).agg(F.bool_and(known).alias("_old"))
-    stop = per.where("_old").groupBy(*key).agg(F.min(page).alias("_stop"))
-    return pages.where("not failed").join(stop, key, "left").where(F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))).drop("_stop")
+def early_stop(pages: DataFrame, rows: DataFrame, key: list[str], page: str, item: str, known: Column) -> DataFrame:
+    """The new rows that reading page after page gives. pages (key, page, failed); rows (key, page,
+    item, ...). Reading ends before the first page that is empty, whose items are all known, or
+    that has no item that earlier pages have not; a failed page is passed over. An item counts on
+    its first page only."""
+    read = pages.where("not failed").select(*key, page).distinct()
+    first = Window.partitionBy(*key, item)
+    own = rows.join(read, [*key, page], "left_semi").withColumns({"_known": known, "_first": F.min(page).over(first)})
+    per = read.join(own.groupBy(*key, page).agg(F.bool_and("_known").alias("_old"), F.bool_or(F.col("_first") == F.col(page)).alias("_fresh")), [*key, page], "left")
+    stop = per.where("_old is null or _old or not _fresh").groupBy(*key).agg(F.min(page).alias("_stop"))
+    kept = own.join(stop, key, "left").where((F.col("_stop").isNull() | (F.col(page) < F.col("_stop"))) & (F.col("_first") == F.col(page)))
+    return kept.drop("_stop", "_known", "_first")
 
 
 def run_durations(runs: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from hearthgraph.operators import aggregates as G
 from hearthgraph.operators import filters as B
 from hearthgraph.operators import history as H
+from hearthgraph.operators import joins as J
 from hearthgraph.operators import linkage as L
+from hearthgraph.operators import metrics as M
+from hearthgraph.operators import scoring as S
 from hearthgraph.operators import tables as U
 from hearthgraph.sources.snapshots import stored
 
@@ -165,19 +168,52 @@ def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
     return {"listings": listings, "price_changes": changes, "fates": out, "events": events, "funnel": funnel, "saved": saved}
 
 
-def off_market_job(checked: DataFrame, golden: DataFrame) -> DataFrame:
-    """checked (golden_id, pos, status) and golden (golden_id, is_off_market) -> what changed."""
-    checks = checked.join(golden, "golden_id").select(F.col("golden_id").alias("id"), "pos", "status", F.col("is_off_market").alias("was_off"))
-    return G.derive_off_market(checks).where("off or returned")
+def check_list(golden: DataFrame, listings: DataFrame) -> DataFrame:
+    """What to look at for each record, as golden_id, pos, source, url: its listings (by source),
+    then the sources that only its source_urls name, then its own URL if it has neither."""
+    own = listings.where("merged_id is not null").select(F.col("merged_id").alias("golden_id"), "source", "url", F.lit(1).alias("way")).join(golden.select("golden_id"), "golden_id", "left_semi")
+    named = golden.select("golden_id", F.explode(F.map_entries("source_urls")).alias("e")).select("golden_id", F.col("e.key").alias("source"), F.col("e.value").alias("url"), F.lit(2).alias("way")).where("url <> ''")
+    rest = golden.select("golden_id", "source", "url", F.lit(3).alias("way"))
+    first = G.first_rows(own.union(named), ["golden_id", "source"], ["way", "url"])
+    alone = rest.join(first.select("golden_id").distinct(), "golden_id", "left_anti")
+    w = Window.partitionBy("golden_id").orderBy("way", "source")
+    return first.union(alone).withColumn("pos", F.row_number().over(w)).select("golden_id", "pos", "source", "url")
+
+
+def off_market_job(golden: DataFrame, listings: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """responses (url, status) of what check_list names -> the records that changed (id, off,
+    returned, reason), and the listings with is_off_market and the reason as last seen. What was
+    not looked at is unknown."""
+    checked = check_list(golden, listings).join(responses.select("url", "status"), "url", "left").withColumn("status", F.coalesce("status", F.lit("unknown")))
+    checks = checked.join(golden.select("golden_id", "is_off_market"), "golden_id").select(F.col("golden_id").alias("id"), "pos", "status", F.col("is_off_market").alias("was_off"))
+    last = responses.where("status <> 'unknown'").select("url", (F.col("status") != "active").alias("_off"), "status")
+    rows = listings.join(last, "url", "left").withColumns({"is_off_market": F.coalesce("_off", "is_off_market"), "off_market_reason": F.when(F.col("_off"), F.col("status"))})
+    return G.derive_off_market(checks).where("off or returned"), rows.drop("_off", "status")
 
 
 def price_change_job(obs: DataFrame, analyses: DataFrame, key: str = "entity") -> DataFrame:
-    """Latest change of each listing with its analysis: the adjusted rating no longer holds, the
-    rule's is made anew from average, and the listing is due for a notice again."""
+    """analyses (key, average, value, adjusted, told, and what fit_score reads) of the listings
+    whose price changed, as rows to upsert: the rule's rating for the latest price, no adjusted
+    rating, the fit that follows, and the listing due for a notice again; with the change."""
     last = H.price_changes(obs, key).groupBy(key).agg(F.max_by(F.struct("old_price", "new_price", "change"), F.struct("ts", "obs_id")).alias("c")).select(key, "c.*")
-    pct = (F.col("new_price") - F.col("average")) / F.col("average") * 100
-    rating = F.when(pct <= -10, "excellent").when(pct <= 0, "good").when(pct <= 10, "fair").otherwise("poor")
-    return last.join(analyses, key).withColumns({"value": rating, "adjusted": F.lit(None).cast("string"), "told": F.lit(False)})
+    rows = S.merge_analysis(last.join(analyses, key), F.lit(True), F.col("new_price"), F.col("average"))
+    return rows.withColumn("told", F.lit(False))
+
+
+def evaluate_matcher(pairs: DataFrame, labels: DataFrame, signals: list[str], low: int = 0, high: int = 160, step: int = 5) -> dict[str, DataFrame]:
+    """Scored pairs (pair_id, score, is_match, s_<signal>) against sure labels (pair_id, label):
+    metrics, signals (how often each fires in true and false matches), sweep (metrics at each
+    threshold), errors (wrong pairs), and missing (labels without a pair)."""
+    known, missing = J.labels_join(labels, pairs)
+    known = stored(known.withColumn("truth", F.col("label") == "match"), "labelled")
+    truth = F.col("truth")
+    return {
+        "metrics": M.confusion(known, F.col("is_match"), truth),
+        "signals": M.signal_firing(known, [f"s_{x}" for x in signals], F.col("is_match"), truth),
+        "sweep": M.threshold_sweep(known, truth, low, high, step),
+        "errors": M.errors(known, F.col("is_match"), truth).select("pair_id", "score", "kind"),
+        "missing": missing,
+    }
 
 
 def false_merge_audit(images: DataFrame, least: int = 3) -> DataFrame:

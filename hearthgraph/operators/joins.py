@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from hearthgraph.functions import address as A
 from hearthgraph.functions import geo as G
@@ -46,10 +50,22 @@ def micro_area_text_match(df: DataFrame, micro: DataFrame) -> DataFrame:
     return both.groupBy("unique_id").agg(F.max_by("name", F.struct("_s", -F.col("pos"))).alias("by_text"))
 
 
-def area_context(df: DataFrame, boroughs: DataFrame, trends: DataFrame, benchmarks: DataFrame) -> DataFrame:
-    """Outcode -> borough -> trend, and (outcode, bedrooms) -> benchmark. Small reference tables,
-    which Spark broadcasts by their size."""
-    return df.join(boroughs, "outcode", "left").join(trends, "borough", "left").join(benchmarks, ["outcode", "bedrooms"], "left")
+#: The reference tables of an area, and what each is keyed by.
+AREA_KEYS = {"boroughs": ["outcode"], "trends": ["borough"], "tax": ["borough"], "noise": ["borough"], "benchmarks": ["outcode", "bedrooms"], "crime": ["outcode"], "hosting": ["outcode"], "scene": ["outcode"], "acoustics": ["property_type"]}
+
+
+def area_context(df: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """df (outcode, bedrooms, property_type) with the columns of each reference table in dims, by
+    AREA_KEYS: borough by outcode; rent trend, council tax and noise enforcement by borough; rent
+    benchmarks, crime, hosting tolerance and creative scene by outcode; acoustics by property type.
+    A key that a table has not gives nulls. The tables are small; Spark broadcasts them by size."""
+    unknown = set(dims) - set(AREA_KEYS)
+    if unknown:
+        raise ValueError(f"no reference tables {sorted(unknown)}")
+    for name, keys in AREA_KEYS.items():  # boroughs come first: other tables are keyed by them
+        if name in dims:
+            df = df.join(dims[name], keys, "left")
+    return df
 
 
 def nearest_reference(df: DataFrame, ref: DataFrame, metres: float) -> DataFrame:
@@ -143,24 +159,47 @@ def labels_join(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     return sure.join(pairs, "pair_id"), sure.join(pairs.select("pair_id"), "pair_id", "left_anti")
 
 
-def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, stop_share: float = 1.0) -> DataFrame:
+def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest: int = 20) -> DataFrame:
     """docs (id, text) and pairs (id_a, id_b) -> similarity over words and word pairs.
 
-    Weights are log(1 + tf) free: counts times ln((1+n)/(1+df)) + 1, of the `terms` most frequent
-    terms, each text of length one. Only the texts that pairs name are compared, term by term."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: F.char_length(x) > 1)
-    rows = docs.select("id", words.alias("w")).where(F.size("w") > 0)
+    Texts of fewer than `shortest` characters, and missing ones, give 0. If one text begins with
+    the other, it is 1. Else both are cut to the length of the shorter, since portals cut texts.
+    Weights: counts times ln((1+n)/(1+df)) + 1 over the whole texts of docs, of the `terms` most
+    frequent terms; each side of length one. A pair is one row through two joins by id; the
+    products are taken batch by batch from the two lists of words."""
+    words = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.char_length(x) > 1)
+    rows = docs.select("id", words("text").alias("w")).where(F.size("w") > 0)
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     grams = rows.select("id", F.explode(F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))).alias("t"))
     tf = grams.groupBy("id", "t").agg(F.count("*").alias("tf"))
-    n = docs.agg(F.count("*").alias("n"))
-    df = tf.groupBy("t").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "t").limit(terms)
-    idf = df.crossJoin(F.broadcast(n)).select("t", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))  # `terms` rows at most
-    w = tf.join(F.broadcast(idf), "t").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = w.join(norm, "id").select("id", "t", (F.col("w") / F.col("norm")).alias("u"))
-    a = pairs.join(unit.select(F.col("id").alias("id_a"), "t", F.col("u").alias("ua")), "id_a")
-    b = unit.select(F.col("id").alias("id_b"), "t", F.col("u").alias("ub"))
-    dots = a.join(b, ["id_b", "t"]).groupBy("id_a", "id_b").agg(F.sum(F.col("ua") * F.col("ub")).alias("similarity"))
-    return pairs.join(dots, ["id_a", "id_b"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    n = docs.count()
+    top = tf.groupBy("t").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "t").limit(terms)
+    idf = {r.t: math.log((1.0 + n) / (1.0 + r.df)) + 1 for r in top.collect()}  # `terms` rows
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
+
+    def vector(own: Sequence[str]) -> tuple[dict[str, float], float]:
+        w = shared.value
+        counts = Counter(t for t in [*own, *map(" ".join, zip(own, own[1:]))] if t in w)
+        x = {t: c * w[t] for t, c in counts.items()}
+        return x, math.sqrt(sum(v * v for v in x.values()))
+
+    @pandas_udf("double")
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(a, b):
+            (x, nx), (y, ny) = vector(list(p)), vector(list(q))
+            out.append(sum(v * y.get(t, 0.0) for t, v in x.items()) / (nx * ny) if nx and ny else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    texts = lambda s: docs.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"_t{s}"))
+    both = pairs.join(texts("a"), "id_a", "left").join(texts("b"), "id_b", "left")
+    size = lambda s: F.coalesce(F.char_length(f"_t{s}"), F.lit(0))
+    both = both.withColumn("_n", F.least(size("a"), size("b")))
+    cut = [F.substring(f"_t{s}", F.lit(1), F.col("_n")) for s in "ab"]
+    empty = F.array().cast("array<string>")
+    compared = (F.col("_n") >= shortest) & (F.lower(cut[0]) != F.lower(cut[1]))
+    both = both.withColumn("_cos", cosine(*(F.when(compared, words(c)).otherwise(empty) for c in cut)))
+    same = (F.col("_n") >= shortest) & (F.lower(cut[0]) == F.lower(cut[1]))
+    out = F.when(same, 1.0).when(F.col("_n") >= shortest, F.col("_cos")).otherwise(0.0)
+    return both.withColumn("similarity", out).select(*pairs.columns, "similarity")
 

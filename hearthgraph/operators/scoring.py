@@ -6,8 +6,14 @@ for each dimension; users may pass tables of their own.
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # The fields of an analysis document that rules and searches read: column -> path.
 FIELDS = {
@@ -225,10 +231,79 @@ def tri_state(c: Column) -> Column:
     return F.when(low.isin("true", "yes"), "yes").when(low.isin("false", "no"), "no").otherwise("unknown")
 
 
-def clean_json(doc: Column) -> Column:
-    """Trailing commas and control characters taken out; null if it still cannot be read."""
-    fixed = F.regexp_replace(F.regexp_replace(doc, r"[\x00-\x1f]", " "), r",\s*([}\]])", "$1")
-    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+def severity(c: Column) -> Column:
+    """A missing severity, and one outside the vocabulary, is none."""
+    return F.when(c.isin("minor", "moderate", "serious", "none"), c).otherwise("none")
+
+
+def mend_json(text: Column) -> Column:
+    """Control characters (but tab and line ends) and trailing commas taken out."""
+    plain = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    return F.regexp_replace(plain, r",\s*([}\]])", "$1")
+
+
+def _tidy(value):
+    """Texts that hold an object or a list are read, texts trimmed, empty list items dropped."""
+    if isinstance(value, dict):
+        return {k: _tidy(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [x for x in map(_tidy, value) if not (isinstance(x, str) and x in ("", ","))]
+    if not isinstance(value, str):
+        return value
+    text = value.strip()
+    if text[:1] + text[-1:] in ("{}", "[]"):
+        for t in (text, re.sub(r",\s*([}\]])", r"\1", text)):
+            try:
+                return _tidy(json.loads(t))
+            except ValueError:
+                continue
+    return text
+
+
+@pandas_udf(StringType())
+def _tidied(docs: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps(_tidy(json.loads(d)), ensure_ascii=False, separators=(",", ":")) if d else None for d in docs], dtype="object")
+
+
+def clean_documents(df: DataFrame, doc: str = "doc") -> DataFrame:
+    """df with the document, mended if it cannot be read as it is (what JSON text inside it holds
+    becomes part of it, junk list items go), and rejected, true where it cannot be read even then;
+    it is null there, as where it was null."""
+    fixed = F.when(F.try_parse_json(F.col(doc)).isNotNull(), F.col(doc)).otherwise(mend_json(F.col(doc)))
+    usable = F.try_parse_json(fixed).isNotNull()
+    out = df.withColumn("_fixed", F.when(usable, fixed)).withColumn("rejected", F.col(doc).isNotNull() & ~F.coalesce(usable, F.lit(False)))
+    return out.withColumn(doc, _tidied("_fixed")).drop("_fixed")
+
+
+# The tags that an analysis may give.
+HIGHLIGHTS = (
+    "Gas hob", "Induction hob", "Dishwasher included", "Washing machine", "Modern kitchen", "Modern bathroom", "Two bathrooms", "Ensuite bathroom", "Excellent natural light", "Good natural light",
+    "Floor-to-ceiling windows", "High ceilings", "Spacious living room", "Open-plan layout", "Built-in wardrobes", "Good storage", "Private balcony", "Private garden", "Private terrace", "Shared garden",
+    "Communal gardens", "Roof terrace", "Excellent condition", "Recently refurbished", "Period features", "Double glazing", "On-site gym", "Concierge", "Bike storage", "Parking included",
+    "Pets allowed", "Bills included", "Canal views", "Park views", "Ultrafast broadband (FTTP)", "Dedicated office room", "Separate work area", "Great hosting layout",
+)
+LOWLIGHTS = (
+    "No dishwasher", "No washing machine", "Dated kitchen", "Electric hob", "Compact living room", "Small living room", "Small bedroom", "Compact bedroom", "Poor storage", "No built-in wardrobes",
+    "No storage", "Dated bathroom", "No outdoor space", "No interior photos", "No bathroom photos", "Missing key photos", "Potential traffic noise", "New-build acoustics", "Service charge unstated",
+    "Balcony cracking", "Needs updating", "Basic broadband only", "No work-life separation", "Poor hosting layout",
+)
+
+
+def known_tags(tags: Column, vocab: tuple[str, ...] = HIGHLIGHTS) -> Column:
+    """A JSON array's items that are in the vocabulary, in order."""
+    return F.filter(clean_tags(tags), lambda x: x.isin(*vocab))
+
+
+def one_line(text: Column) -> Column:
+    """A summary that came wrapped in an object: its only value, or the one named one_line."""
+    values = F.from_json(text, "map<string,string>")
+    only = F.when(F.size(values) == 1, F.element_at(F.map_values(values), 1)).otherwise(F.try_element_at(values, F.lit("one_line")))
+    return F.when(F.trim(text).startswith("{"), F.coalesce(only, text)).otherwise(text)
+
+
+def to_bool(c: Column) -> Column:
+    """A text that stands for a truth value; anything missing or unknown is false."""
+    return F.coalesce(F.lower(F.trim(c)).isin("true", "yes", "1"), F.lit(False))
 
 
 def denormalise(df: DataFrame) -> DataFrame:
@@ -237,12 +312,17 @@ def denormalise(df: DataFrame) -> DataFrame:
     return df.withColumns({"has_outdoor_space": outdoor, "red_flag_count": F.coalesce(F.col("red_flags").cast("int"), F.lit(0)), "epc_rating": F.upper("epc")})
 
 
+def rule_rating(price: Column, average: Column) -> Column:
+    pct = (price - average) / average * 100
+    return F.when(pct <= -10, "excellent").when(pct <= 0, "good").when(pct <= 10, "fair").when(pct.isNotNull(), "poor")
+
+
 def merge_analysis(df: DataFrame, changed: Column, price: Column, average: Column) -> DataFrame:
     """The rule's rating beside the adjusted one; where the price changed the rule is applied anew
-    and the adjusted rating, which was made for the old price, is dropped."""
-    pct = (price - average) / average * 100
-    rating = F.when(pct <= -10, "excellent").when(pct <= 0, "good").when(pct <= 10, "fair").when(pct.isNotNull(), "poor")
-    return df.withColumns({"value": F.when(changed, rating).otherwise(F.col("value")), "adjusted": F.when(~changed, F.col("adjusted"))})
+    and the adjusted rating, which was made for the old price, is dropped. fit and tier follow the
+    ratings (df as fit_score takes it)."""
+    out = df.withColumns({"value": F.when(changed, rule_rating(price, average)).otherwise(F.col("value")), "adjusted": F.when(~changed, F.col("adjusted"))})
+    return fit_score(out)
 
 
 def clean_tags(c: Column) -> Column:

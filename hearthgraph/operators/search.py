@@ -90,5 +90,8 @@ def search_page(df: DataFrame, f: PropertyFilter, sort: str, page: int, per: int
     return search_filter(df, f).orderBy(*order_by(sort)).offset((page - 1) * per).limit(per)
 
 
-def hardest_pairs(pairs: DataFrame, at: float, n: int) -> DataFrame:
-    return pairs.orderBy(F.abs(F.col("score") - at), "pair_id").limit(n)
+def hardest_pairs(pairs: DataFrame, at: float, n: int, by: str = "boundary") -> DataFrame:
+    """The n pairs nearest to the threshold (boundary), of the highest score (high), or the lowest
+    (low)."""
+    order = {"boundary": F.abs(F.col("score") - at), "high": F.desc("score"), "low": F.asc("score")}[by]
+    return pairs.orderBy(order, "pair_id").limit(n)

@@ -6,6 +6,8 @@ publish() writes it under a new version and only then names that version as the
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -87,19 +89,53 @@ def dedupe_json_array(c: Column) -> Column:
 
 
 def rebuild_golden(rows: DataFrame) -> DataFrame:
-    """Listings of each merged_id: sources by last_seen, the last URL of each, lowest and highest price."""
-    per = rows.where("merged_id is not null").groupBy("merged_id", "source").agg(F.max_by("url", F.struct("last_seen", "unique_id")).alias("url"), F.min("last_seen").alias("at"), F.min("price_pcm").alias("lo"), F.max("price_pcm").alias("hi"), F.count("*").alias("n"))
-    out = per.groupBy("merged_id").agg(F.array_sort(F.collect_list(F.struct("at", "source", "url"))).alias("x"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"), F.sum("n").alias("n"))
-    return out.select("merged_id", F.col("x.source").alias("sources"), F.map_from_entries(F.transform("x", lambda s: F.struct(s["source"], s["url"]))).alias("source_urls"), "min_price", "max_price", "n")
-
-
-def backfill_listings(golden: DataFrame) -> DataFrame:
-    """golden (unique_id, source, url, urls_json) -> a listing row for each source: its own first,
-    then those that only the JSON names."""
-    own = golden.select("unique_id", "source", "url", F.lit(1).alias("phase"))
-    other = golden.select("unique_id", F.explode(F.from_json("urls_json", "map<string,string>")).alias("source", "url"), F.lit(2).alias("phase"))
-    w = Window.partitionBy("unique_id", "source").orderBy("phase")
-    return own.union(other).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """Listings of each merged_id: sources by last_seen, of each the last URL and the last
+    description that is not empty, lowest and highest price."""
+    at = F.struct("last_seen", "unique_id")
+    text = F.max_by("description", F.when(F.trim("description") != "", at))
+    per = rows.where("merged_id is not null").groupBy("merged_id", "source").agg(F.max_by("url", at).alias("url"), text.alias("text"), F.min("last_seen").alias("at"), F.min("price_pcm").alias("lo"), F.max("price_pcm").alias("hi"), F.count("*").alias("n"))
+    # a source is one row, so a record's list is as short as the list of sources
+    out = per.groupBy("merged_id").agg(F.array_sort(F.collect_list(F.struct("at", "source", "url", "text"))).alias("x"), F.min("lo").alias("min_price"), F.max("hi").alias("max_price"), F.sum("n").alias("n"))
+    named = lambda c, x: F.map_from_entries(F.transform(x, lambda s: F.struct(s["source"], s[c])))
+    return out.select("merged_id", F.col("x.source").alias("sources"), named("url", F.col("x")).alias("source_urls"), named("text", F.filter("x", lambda s: s["text"].isNotNull())).alias("descriptions"), "min_price", "max_price", "n")
+
+
+def rows_to_golden(golden: DataFrame, listings: DataFrame) -> DataFrame:
+    """golden (unique_id, price_pcm, min_price, max_price and JSON columns sources_json,
+    source_urls_json, descriptions_json) with sources, source_urls, descriptions and prices rebuilt
+    from the listings that point to it, or read from its own columns where none does."""
+    own = rebuild_golden(listings).select(F.col("merged_id").alias("unique_id"), *(F.col(c).alias(f"_{c}") for c in ("sources", "source_urls", "descriptions", "min_price", "max_price")))
+    texts = "map<string,string>"
+    read = decode_json(golden.select("*", *(F.col(f"{c}_json").alias(c) for c in ("sources", "source_urls", "descriptions"))), {"sources": "array<string>", "source_urls": texts, "descriptions": texts})
+    out = read.join(own, "unique_id", "left")
+    prices = {c: F.coalesce(f"_{c}", c, "price_pcm") for c in ("min_price", "max_price")}
+    lists = {c: F.coalesce(f"_{c}", c) for c in ("sources", "source_urls", "descriptions")}
+    return out.withColumns(prices | lists).select(*golden.columns, "sources", "source_urls", "descriptions")
+
+
+def backfill_listings(golden: DataFrame, aliases: DataFrame, listings: DataFrame | None = None) -> DataFrame:
+    """golden (unique_id, source, url, sources_json, urls_json) and aliases (unique_id, source,
+    anchor_id) -> the listing rows (unique_id, source, url, merged_id, phase) that are not in
+    listings yet: each record's own, then those of its aliases (with the record's URL where the
+    JSON names none for the source), then the sources that only the JSON names with a URL, under
+    source:url. Of equal ids the first phase counts."""
+    urls = F.from_json("urls_json", "map<string,string>")
+    own = golden.select("unique_id", "source", "url", F.col("unique_id").alias("merged_id"), F.lit(1).alias("phase"))
+    anchor = golden.select(F.col("unique_id").alias("anchor_id"), F.col("url").alias("_url"), urls.alias("_urls"))
+    second = aliases.join(anchor, "anchor_id").select("unique_id", "source", F.coalesce(F.try_element_at("_urls", F.col("source")), "_url").alias("url"), F.col("anchor_id").alias("merged_id"), F.lit(2).alias("phase"))
+    many = golden.withColumn("_s", F.from_json("sources_json", "array<string>")).where(F.size("_s") > 1)
+    third = many.select(F.col("unique_id").alias("merged_id"), F.explode(F.array_distinct("_s")).alias("s"), F.col("source").alias("_own"), urls.alias("_urls")).where("s <> _own")
+    third = third.withColumn("url", F.try_element_at("_urls", F.col("s"))).where("url <> ''").select(F.concat_ws(":", "s", "url").alias("unique_id"), F.col("s").alias("source"), "url", "merged_id", F.lit(3).alias("phase"))
+    w = Window.partitionBy("unique_id").orderBy("phase", "merged_id")
+    out = own.union(second).union(third).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return out if listings is None else out.join(listings.select("unique_id"), "unique_id", "left_anti")
+
+
+def orphans(images: DataFrame, files: DataFrame, records: DataFrame, key: str = "cache_name") -> tuple[DataFrame, DataFrame]:
+    """files (folder, key): those that no image names, and the folders that no record has."""
+    lost = files.distinct().join(images.select(key).distinct(), key, "left_anti")
+    folders = files.select("folder").distinct().join(records.select(F.col("unique_id").alias("folder")), "folder", "left_anti")
+    return lost, folders
 
 
 def image_audit(images: DataFrame, files: DataFrame, key: str = "cache_name") -> DataFrame:
@@ -127,6 +163,13 @@ def stale(df: DataFrame, column: str, version: int) -> DataFrame:
     return df.where(F.col(column).isNull() | (F.col(column) != version))
 
 
+def recompute_stale(df: DataFrame, column: str, version: int, score: Callable[[DataFrame], DataFrame], key: str = "unique_id") -> DataFrame:
+    """The next snapshot of df: rows of another version with their scores anew (score: rows ->
+    key and the new columns), and that version; others as they are."""
+    new = score(stale(df, column, version)).withColumn(column, F.lit(version))
+    return merge_upsert(df, new, [key], {})
+
+
 def publish(df: DataFrame, root: str, version: int) -> None:
     """Write a snapshot; readers follow the newest version that was finished (its _SUCCESS)."""
     df.write.mode("overwrite").parquet(f"{root}/version={version:010d}")

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from hearthgraph.operators import filters as B
 from hearthgraph.operators import jobs as W
 from hearthgraph.operators import linkage as L
-from hearthgraph.operators import metrics as M
 from hearthgraph.operators import pages as P
-from hearthgraph.plans.q_linkage import _KEYED, _PAIRS, _SCORED, _scored, _slim
+from hearthgraph.plans.q_linkage import _KEYED, _PAIRS, _SCORED, _slim
 from hearthgraph.plans.registry import query
 from hearthgraph.sources import testdata as T
 from hearthgraph.sources.snapshots import scratch_dir
@@ -92,13 +91,6 @@ def match_score_ext(spark, sf):
     return found.select(F.col("unique_id_a").alias("id_a"), F.col("unique_id_b").alias("id_b"), F.round("score", 4).alias("score"))
 
 
-@query("SELECT count(*) FILTER (split_part(id_a, ':', 2) = split_part(id_b, ':', 2)) AS tp, count(*) FILTER (split_part(id_a, ':', 2) <> split_part(id_b, ':', 2)) AS fp FROM scored WHERE score >= 60 AND signals >= 2", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)
-def evaluate_matcher(spark, sf):
-    item = lambda c: F.split(c, ":")[1]
-    pairs = _scored(spark, sf)
-    return M.confusion(pairs, F.col("is_match"), item("unique_id_a") == item("unique_id_b")).select("tp", "fp")
-
-
 @query()
 def resolve_against_anchors(spark, sf):
     r = T.listings(spark, sf)
@@ -153,23 +145,6 @@ def pipeline_events(spark, sf):
     return _run(spark, sf)["events"].groupBy("stage", "event_type", "source").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, g AND NOT w AS off, a AND w AS returned, CASE WHEN g THEN r END AS reason FROM (SELECT item AS id, bool_and(s IN ('removed', 'let_agreed')) AS g, bool_or(s = 'active') AS a, bool_or(item % 8 = 0) AS w, min_by(s, k) FILTER (s IN ('removed', 'let_agreed')) AS r FROM
- (SELECT item, k, CASE CAST((item + k * (item % 3)) % 3 AS INT) WHEN 0 THEN 'active' WHEN 1 THEN 'removed' ELSE 'let_agreed' END AS s FROM listings) GROUP BY 1) WHERE (g AND NOT w) OR (a AND w)""")
-def off_market_job(spark, sf):
-    r = T.listings(spark, sf)
-    status = "case cast((item + k * (item % 3)) % 3 as int) when 0 then 404 when 1 then 404 else 200 end"
-    pages = r.selectExpr("item as golden_id", "k as pos", "'zoopla' as source", "url", f"{status.replace('when 0 then 404', 'when 0 then 200')} as status_code", "case cast((item + k * (item % 3)) % 3 as int) when 2 then 'now let agreed' else 'welcome' end as html", "false as challenged")
-    golden = r.groupBy(F.col("item").alias("golden_id")).agg(F.first("is_off_market").alias("is_off_market"))
-    return W.off_market_job(P.page_status(pages), golden)
-
-
-@query("""SELECT c.entity, new_price, change, CASE WHEN p <= -10 THEN 'excellent' WHEN p <= 0 THEN 'good' WHEN p <= 10 THEN 'fair' ELSE 'poor' END AS value, NULL::VARCHAR AS adjusted FROM (SELECT entity, new_price, change, (new_price - CAST(floor(p_retailprice) AS INT)) * 100e0 / CAST(floor(p_retailprice) AS INT) AS p FROM
- (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, obs_id DESC) AS n FROM (SELECT entity, ts, obs_id, price AS new_price, price - old AS change, old FROM (SELECT *, lag(price) OVER (PARTITION BY entity ORDER BY ts, obs_id) AS old FROM obs) WHERE old <> price)) x JOIN part ON p_partkey = entity WHERE n = 1) c""")
-def price_change_job(spark, sf):
-    a = T.read(spark, sf, "part").selectExpr("p_partkey as entity", "cast(floor(p_retailprice) as int) as average", "'good' as value", "'excellent' as adjusted")
-    return W.price_change_job(T.observations(spark, sf), a).select("entity", "new_price", "change", "value", "adjusted")
-
-
 _G = "SELECT CAST(image_id // 16 AS VARCHAR) AS group_id, source, phash FROM images WHERE image_type = 'gallery'"
 _HB = "bit_count(xor(CAST('0x' || substr(a.phash, 1, 8) AS BIGINT), CAST('0x' || substr(b.phash, 1, 8) AS BIGINT))) + bit_count(xor(CAST('0x' || substr(a.phash, 9, 8) AS BIGINT), CAST('0x' || substr(b.phash, 9, 8) AS BIGINT)))"
 
@@ -227,4 +202,3 @@ def stream_upsert(spark, sf):
 def stream_breaker(spark, sf):
     e = _stream(spark, sf, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
     return R.drain(R.breaker(e, "user_id", 2, 86_400), scratch_dir(spark))
-

@@ -41,15 +41,6 @@ def micro_areas(spark, sf):
     return J.micro_area_lookup(r, wards, north.union(south)).select("unique_id", "micro_area")
 
 
-@query("SELECT l.unique_id, CASE WHEN l.area LIKE 'E%' THEN 'hackney' END AS borough, CASE WHEN l.area LIKE 'E%' THEN 4.5 END::DOUBLE AS yoy, b.median FROM listings l LEFT JOIN (SELECT area, bedrooms, max(price_pcm) AS median FROM listings WHERE bedrooms > 0 GROUP BY 1, 2) b ON l.area = b.area AND l.bedrooms = b.bedrooms")
-def area_context(spark, sf):
-    r = T.listings(spark, sf).withColumnRenamed("area", "outcode")
-    boroughs = r.where("outcode like 'E%'").select("outcode", F.lit("hackney").alias("borough")).distinct()
-    trends = spark.createDataFrame([("hackney", 4.5)], "borough string, yoy double")
-    marks = r.where("bedrooms > 0").groupBy("outcode", "bedrooms").agg(F.max("price_pcm").alias("median"))
-    return J.area_context(r, boroughs, trends, marks).select("unique_id", "borough", "yoy", "median")
-
-
 _REF = "SELECT 'p' || CAST(p_partkey AS VARCHAR) AS label, 51.5 + (p_partkey % 97) * 0.003 AS la, -0.05 + (p_partkey % 89) * 0.003 AS lo FROM part WHERE p_partkey % 3 = 0"
 _RH = "pow(sin((radians(la) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(la)) * pow(sin(radians(lo - longitude) / 2), 2)"
 
@@ -123,13 +114,20 @@ def labels_join(spark, sf):
     return hit.select("label").union(missed.select(F.lit("unmatched"))).groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p.a AS id_a, p.b AS id_b, round(COALESCE(s.d, 0), 6) AS similarity FROM (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id + 1 IN (SELECT doc_id FROM documents)) p LEFT JOIN (SELECT x.id AS a, y.id AS b, sum(x.u * y.u) AS d FROM unit x JOIN unit y ON x.t = y.t AND y.id = x.id + 1 GROUP BY 1, 2) s ON p.a = s.a AND p.b = s.b""",
- words="SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1) AS w FROM documents",
- grams="SELECT id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS t FROM words",
+_SPLIT = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1)"
+_GRAMS = "unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS t"
+
+
+@query("SELECT p.id_a, p.id_b, CASE WHEN p.n < 20 THEN 0 WHEN lower(p.ca) = lower(p.cb) THEN 1 ELSE COALESCE(round(d.dot / (x.norm * y.norm), 6), 0) END AS similarity FROM pairs p LEFT JOIN norms x ON p.id_a = x.id_a AND x.s = 0 LEFT JOIN norms y ON p.id_a = y.id_a AND y.s = 1 LEFT JOIN dots d ON p.id_a = d.id_a",
+ words=f"SELECT doc_id AS id, {_SPLIT.format('text')} AS w FROM documents",
+ grams=f"SELECT id, {_GRAMS} FROM words",
  tf="SELECT id, t, count(*) AS tf FROM grams GROUP BY 1, 2",
  idf="SELECT t, ln((1e0 + (SELECT count(*) FROM documents)) / (1e0 + df)) + 1 AS idf FROM (SELECT t, count(*) AS df, sum(tf) AS n FROM tf GROUP BY 1 ORDER BY n DESC, t LIMIT 5000)",
- wt="SELECT tf.id, tf.t, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.t = idf.t",
- unit="SELECT id, t, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM wt")
+ pairs="SELECT id_a, id_b, n, substr(ta, 1, n) AS ca, substr(tb, 1, n) AS cb FROM (SELECT a.doc_id AS id_a, b.doc_id AS id_b, a.text AS ta, b.text AS tb, COALESCE(least(length(a.text), length(b.text)), 0) AS n FROM documents a JOIN documents b ON a.doc_id + 1 = b.doc_id)",
+ sides=f"SELECT id_a, 0 AS s, {_SPLIT.format('ca')} AS w FROM pairs UNION ALL SELECT id_a, 1, {_SPLIT.format('cb')} FROM pairs",
+ weights=f"SELECT id_a, s, g.t, count(*) * any_value(idf) AS w FROM (SELECT id_a, s, {_GRAMS} FROM sides) g JOIN idf ON g.t = idf.t GROUP BY 1, 2, 3",
+ norms="SELECT id_a, s, sqrt(sum(w * w)) AS norm FROM weights GROUP BY 1, 2",
+ dots="SELECT a.id_a, sum(a.w * b.w) AS dot FROM weights a JOIN weights b ON a.id_a = b.id_a AND a.t = b.t AND a.s = 0 AND b.s = 1 GROUP BY 1")
 def tfidf_cosine(spark, sf):
     docs = T.read(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     ids = docs.select("id")
@@ -190,12 +188,6 @@ def off_market_intervals(spark, sf):
 _PG = "SELECT l_orderkey, l_suppkey % 4 AS src, l_orderkey // 40 AS page, l_partkey % 3 < 2 AS known, (l_orderkey // 40) % 11 = 5 AS failed FROM lineitem"
 
 
-@query(f"SELECT p.src, p.page, count(*) AS n FROM ({_PG}) p LEFT JOIN (SELECT src, min(page) AS stop FROM (SELECT src, page FROM ({_PG}) WHERE NOT failed GROUP BY 1, 2 HAVING bool_and(known)) GROUP BY 1) s ON p.src = s.src WHERE NOT failed AND (stop IS NULL OR p.page < stop) GROUP BY 1, 2")
-def early_stop(spark, sf):
-    p = T.read(spark, sf, "lineitem").selectExpr("l_suppkey % 4 as src", "l_orderkey div 40 as page", "l_partkey % 3 < 2 as known", "(l_orderkey div 40) % 11 = 5 as failed")
-    return H.early_stop(p, ["src"], "page", F.col("known")).groupBy("src", "page").agg(F.count("*").alias("n"))
-
-
 _RUNS = "SELECT o_custkey AS run_id, min(o_orderdate) AS a, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE max(o_orderdate) END AS b FROM orders GROUP BY 1"
 
 
@@ -307,11 +299,6 @@ def budget_cap(spark, sf):
     return G.budget_cap(T.listings(spark, sf).withColumn("retry", F.col("item") % 2), 75, ["retry", "first_seen", "unique_id"]).select("unique_id", "deferred")
 
 
-@query("SELECT unique_id, image_id % 2 AS photo, max_by(url, CAST(width AS BIGINT) * height * 100 - image_id % 16) AS url, max(width * height) AS pixels FROM images GROUP BY 1, 2")
-def largest_variant(spark, sf):
-    return G.largest_variant(T.images(spark, sf).withColumn("photo", F.col("image_id") % 2))
-
-
 @query("SELECT DISTINCT item FROM listings WHERE item NOT IN (SELECT item FROM listings WHERE k = 0)")
 def absorbed_ids(spark, sf):
     r = T.listings(spark, sf).select("item", "k")

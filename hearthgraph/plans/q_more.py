@@ -43,12 +43,6 @@ def missing_image_stats(spark, sf):
     return seen.groupBy("image_type").agg(F.count("*").alias("images"), F.count_if(F.col("f").isNull()).alias("missing"), F.countDistinct(F.when(F.col("f").isNull(), F.col("unique_id"))).alias("listings"))
 
 
-@query(f"SELECT key FROM (SELECT DISTINCT {_KEY} AS key FROM images WHERE image_id % 5 <> 0) WHERE key NOT IN (SELECT {_KEY} FROM images WHERE (image_id // 16) % 7 <> 0)")
-def orphan_files(spark, sf):
-    im, files = _files(spark, sf)
-    return files.distinct().join(im.where("(image_id div 16) % 7 <> 0"), "cache_name", "left_anti").select(F.col("cache_name").alias("key"))
-
-
 @query("""SELECT b.unique_id, b.price_pcm, b.bedrooms, b.overall_rating, array_to_string(list_filter(CAST(json_extract(doc, '$.highlights') AS VARCHAR[]), lambda x: trim(x) <> '' AND trim(x) <> ','), '|') AS highlights, round_even(COALESCE(b.floor_area_sqm, CAST(b.total AS DOUBLE)), 1) AS area_sqm, CASE WHEN b.floor_area_sqm IS NULL AND b.total IS NOT NULL THEN 'estimated' END AS area_source, COALESCE(b.image_url, f.url) AS photo, c.change AS last_change
  FROM base b LEFT JOIN (SELECT unique_id, url, row_number() OVER (PARTITION BY unique_id ORDER BY image_id) AS n FROM images WHERE image_type = 'gallery' AND lower(url) NOT LIKE '%epc%') f ON b.unique_id = f.unique_id AND f.n = 1 LEFT JOIN (SELECT entity, change, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, obs_id DESC) AS n FROM chg) c ON c.entity = b.item AND c.n = 1 WHERE b.analysed""", **_CTE, chg=_CH)
 def card_projection(spark, sf):
@@ -79,12 +73,6 @@ def denormalise_analysis(spark, sf):
     return S.denormalise(S.unpack(T.analyses(spark, sf)).drop("has_outdoor_space")).select("unique_id", "has_outdoor_space", "red_flag_count", "epc_rating")
 
 
-@query("""SELECT unique_id, CASE WHEN item % 3 = 0 THEN CASE WHEN p <= -10 THEN 'excellent' WHEN p <= 0 THEN 'good' WHEN p <= 10 THEN 'fair' ELSE 'poor' END ELSE value END AS value, CASE WHEN item % 3 > 0 THEN adjusted END AS adjusted FROM (SELECT *, (price_pcm - 1300) * 100e0 / 1300 AS p FROM base WHERE analysed)""", **_CTE)
-def merge_analysis(spark, sf):
-    b = base(spark, sf).where("analysed")
-    return S.merge_analysis(b, F.col("item") % 3 == 0, F.col("price_pcm"), F.lit(1300)).select("unique_id", "value", "adjusted")
-
-
 @query("SELECT unique_id, CASE WHEN item % 4 = 0 AND merged_id IS NOT NULL THEN NULL ELSE merged_id END AS merged_id FROM listings")
 def unlink(spark, sf):
     r = T.listings(spark, sf)

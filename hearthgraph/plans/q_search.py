@@ -93,18 +93,6 @@ def negotiation(spark, sf):
     return S.negotiation(r, F.to_date(F.lit("2025-01-15"))).select("unique_id", "w_days", "w_drops", "w_benchmark", "w_trend", "net", "strength")
 
 
-@query("SELECT unique_id, CASE WHEN hob IN ('gas', 'electric') THEN hob ELSE 'unknown' END AS hob, CASE WHEN airy IN ('true') THEN 'yes' WHEN airy = 'false' THEN 'no' ELSE 'unknown' END AS airy, balcony = 'true' OR garden = 'true' OR terrace = 'true' OR shared_garden = 'true' AS outdoor, epc, CAST(red_flags AS INT) AS red_flag_count FROM unpacked", unpacked=_UNPACKED)
-def coerce_enums(spark, sf):
-    u = S.unpack(T.analyses(spark, sf))
-    return u.select("unique_id", S.coerce_enum(F.col("hob"), ["gas", "electric"], "unknown").alias("hob"), S.tri_state(F.col("airy")).alias("airy"), F.expr(S._OUTDOOR).alias("outdoor"), "epc", F.col("red_flags").cast("int").alias("red_flag_count"))
-
-
-@query("SELECT unique_id, item % 3 < 2 AS readable FROM listings")
-def clean_json_doc(spark, sf):
-    doc = F.when(F.col("item") % 3 == 0, F.concat(F.lit('{"a": [1, 2,], "b": "'), "source", F.lit('",}'))).when(F.col("item") % 3 == 1, F.lit('{"a": 1}')).otherwise(F.lit("{broken"))
-    return T.listings(spark, sf).select("unique_id", S.clean_json(doc).isNotNull().alias("readable"))
-
-
 _VIS = "COALESCE(enrichment_status, 'enriched') <> 'pending' AND notification_status NOT IN ('pending_analysis', 'dropped') AND (overall_rating IS NOT NULL OR NOT analysed) AND (image_url IS NOT NULL OR has_gallery)"
 _FILTERS = [
     (Q.PropertyFilter(min_price=1000, max_price=1600, bedrooms=2), "price_pcm BETWEEN 1000 AND 1600 AND bedrooms = 2 AND NOT is_off_market"),
@@ -187,13 +175,6 @@ def threshold_sweep(spark, sf):
     return M.threshold_sweep(_pairs(spark, sf), F.col("truth")).select("threshold", "tp", "fp", "tn", "fn", F.round("f05", 6).alias("f05"))
 
 
-@query("SELECT label, count(*) AS n FROM (SELECT doc_id, max_by(CASE WHEN quality = 1 THEN 'match' ELSE 'no_match' END || f, f) AS label FROM (SELECT *, 1 AS f FROM labels UNION ALL SELECT *, 2 FROM labels WHERE doc_id % 3 = 0) GROUP BY 1) GROUP BY 1")
-def import_labels(spark, sf):
-    lab = T.read(spark, sf, "labels").selectExpr("doc_id as pair_id", "case when quality = 1 then 'match' else 'no_match' end as label")
-    rows = lab.selectExpr("pair_id", "label || '1' as label", "1 as file").union(lab.where("pair_id % 3 = 0").selectExpr("pair_id", "label || '2'", "2"))
-    return M.import_labels(rows).groupBy("label").agg(F.count("*").alias("n"))
-
-
 _REG = "SELECT CASE WHEN item % 9 = 0 THEN NULL ELSE floor_area_sqm + item % 23 - 11 END AS p, floor_area_sqm AS t FROM listings"
 
 
@@ -202,15 +183,3 @@ def regression_metrics(spark, sf):
     r = T.listings(spark, sf).selectExpr("case when item % 9 = 0 then null else floor_area_sqm + item % 23 - 11 end as p", "floor_area_sqm as t")
     out = M.regression(r, "p", "t")
     return out.select(*(F.round(c, 6).alias(c) if c not in ("skipped", "median_ae") else c for c in out.columns))
-
-
-@query("SELECT count(*) AS n, round(avg(CAST(x = y AS INT)), 6) AS exact, round(avg(CAST(abs(x - y) <= 1 AS INT)), 6) AS within_one FROM (SELECT list_position(['poor', 'awkward', 'good', 'excellent'], layout) AS x, list_position(['poor', 'awkward', 'good', 'excellent'], CASE CAST(CAST(living AS INT) % 5 AS INT) WHEN 0 THEN 'poor' WHEN 1 THEN 'awkward' WHEN 2 THEN 'good' WHEN 3 THEN 'excellent' ELSE 'unknown' END) AS y FROM unpacked) WHERE x > 0 AND y > 0", unpacked=_UNPACKED)
-def agreement_metrics(spark, sf):
-    u = S.unpack(T.analyses(spark, sf)).withColumn("guess", F.element_at(F.array(*map(F.lit, ("poor", "awkward", "good", "excellent", "unknown"))), F.col("living").cast("int") % 5 + 1))
-    out = M.agreement(u, "layout", "guess", ["poor", "awkward", "good", "excellent"])
-    return out.select("n", F.round("exact", 6).alias("exact"), F.round("within_one", 6).alias("within_one"))
-
-
-@query(f"SELECT pair_id, score FROM ({_PAIR}) ORDER BY abs(score - 60), pair_id LIMIT 30")
-def hardest_pairs(spark, sf):
-    return Q.hardest_pairs(_pairs(spark, sf), 60.0, 30).select("pair_id", "score")

@@ -121,27 +121,6 @@ def dedupe_json_array(spark, sf):
     return T.listings(spark, sf).select("unique_id", U.dedupe_json_array(doc).alias("tags"))
 
 
-@query("SELECT merged_id, string_agg(source, ',' ORDER BY last_seen, source) AS sources, max_by(url, last_seen) AS last_url, min(price_pcm) AS min_price, max(price_pcm) AS max_price, count(*) AS n FROM listings WHERE merged_id IS NOT NULL GROUP BY 1")
-def rebuild_golden(spark, sf):
-    g = U.rebuild_golden(T.listings(spark, sf))
-    return g.select("merged_id", F.array_join("sources", ",").alias("sources"), F.element_at("source_urls", F.element_at("sources", -1)).alias("last_url"), "min_price", "max_price", "n")
-
-
-@query("""SELECT g.item AS unique_id, COALESCE(string_agg(l.source, ',' ORDER BY l.k), 'json') AS sources, COALESCE(min(l.price_pcm), max(g.p)) AS min_price FROM (SELECT item, max(price_pcm) AS p FROM listings GROUP BY 1) g LEFT JOIN (SELECT * FROM listings WHERE item % 5 > 0) l ON g.item = l.item GROUP BY 1""")
-def rows_to_golden(spark, sf):
-    r = T.listings(spark, sf)
-    golden = r.groupBy("item").agg(F.max("price_pcm").alias("p"), F.lit('["json"]').alias("sources_json"))
-    live = r.where("item % 5 > 0").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("k", "source")))["source"].alias("s"), F.min("price_pcm").alias("lo"))
-    return golden.join(live, "item", "left").select(F.col("item").alias("unique_id"), F.array_join(F.coalesce("s", F.from_json("sources_json", "array<string>")), ",").alias("sources"), F.coalesce("lo", "p").alias("min_price"))
-
-
-@query("SELECT item AS unique_id, source, url, CAST(min(phase) AS INT) AS phase FROM (SELECT item, source, url, CASE WHEN k = min(k) OVER (PARTITION BY item) THEN 1 ELSE 2 END AS phase FROM listings) GROUP BY 1, 2, 3")
-def backfill_listings(spark, sf):
-    r = T.listings(spark, sf)
-    golden = r.groupBy("item").agg(F.min_by("source", "k").alias("source"), F.min_by("url", "k").alias("url"), F.to_json(F.map_from_entries(F.collect_list(F.struct("source", "url")))).alias("urls_json"))
-    return U.backfill_listings(golden.withColumnRenamed("item", "unique_id"))
-
-
 @query(f"""SELECT unique_id, count(*) AS images, CAST(sum(CASE WHEN image_type = 'gallery' AND f IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_gallery, CAST(sum(CASE WHEN image_type = 'floorplan' AND f IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_floorplan, count(f) = 0 AS loses_all
  FROM (SELECT i.*, c.key AS f FROM (SELECT *, {_KEY} AS key FROM images) i LEFT JOIN (SELECT DISTINCT {_KEY} AS key FROM images WHERE image_id % 5 <> 0) c ON i.key = c.key) GROUP BY 1""")
 def image_audit(spark, sf):
@@ -154,11 +133,6 @@ def gallery_coverage(spark, sf):
     return U.gallery_coverage(*_files(spark, sf), cap=3)
 
 
-@query("SELECT unique_id FROM analyses WHERE fit_version IS NULL OR fit_version <> 2")
-def recompute_stale(spark, sf):
-    return U.stale(T.analyses(spark, sf), "fit_version", 2).select("unique_id")
-
-
 @query(f"SELECT {_SHOWN} FROM listings WHERE price_pcm BETWEEN 950 AND 1400 AND bedrooms BETWEEN 1 AND 2")
 def criteria_filter(spark, sf):
     return _shown(B.criteria_filter(T.listings(spark, sf), B.Criteria(950, 1400, 1, 2)))
@@ -205,20 +179,6 @@ def require_images(spark, sf):
     return B.require_images(T.listings(spark, sf), T.images(spark, sf)).select("unique_id")
 
 
-@query("SELECT 'unsent' AS queue, unique_id FROM listings WHERE notification_status IN ('pending', 'failed') UNION ALL SELECT 'unenriched', unique_id FROM listings WHERE enrichment_status = 'pending' AND attempts < 3 UNION ALL SELECT 'pending_analysis', unique_id FROM listings WHERE notification_status = 'pending_analysis' AND item % 3 > 0 UNION ALL SELECT 'anchors', unique_id FROM listings WHERE first_seen >= TIMESTAMP '2025-03-01' AND COALESCE(enrichment_status, 'enriched') <> 'pending'")
-def work_queue(spark, sf):
-    r = T.listings(spark, sf)
-    parts = [("unsent", B.work_queue(r, "unsent")), ("unenriched", B.work_queue(r, "unenriched")), ("pending_analysis", B.work_queue(r, "pending_analysis", r.where("item % 3 = 0"))), ("anchors", B.work_queue(r, "anchors", since="2025-03-01"))]
-    out = [d.select(F.lit(n).alias("queue"), "unique_id") for n, d in parts]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
-
-
-@query("SELECT unique_id, CASE WHEN enrichment_status = 'pending' AND attempts >= 2 THEN 'failed' ELSE enrichment_status END AS enrichment_status, CASE WHEN enrichment_status = 'pending' AND attempts >= 2 THEN attempts + 1 ELSE attempts END AS attempts, enrichment_status = 'pending' AND attempts >= 2 AS changed FROM listings")
-def transition(spark, sf):
-    out = B.transition(T.listings(spark, sf), (F.col("enrichment_status") == "pending") & (F.col("attempts") >= 2), {"enrichment_status": F.lit("failed"), "attempts": F.col("attempts") + 1})
-    return out.select("unique_id", "enrichment_status", "attempts", "changed")
-
-
 @query("SELECT unique_id FROM listings WHERE upper(postcode) LIKE 'E8 %' OR upper(postcode) LIKE 'N16 %'")
 def outcode_prefix_filter(spark, sf):
     return B.outcode_prefix_filter(T.listings(spark, sf), ["e8", "N16"]).select("unique_id")
@@ -253,4 +213,3 @@ def union_with_anchors(spark, sf):
 def source_sets(spark, sf):
     z = F.array(F.lit("zoopla"))
     return _gold(spark, sf).select("item", F.array_join(F.array_except("sources", z), ",").alias("fresh"), F.arrays_overlap("sources", z).alias("overlaps"))
-

@@ -19,6 +19,13 @@ def load_snapshots(spark: SparkSession, paths: list[str], schema: str, key: str
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_file", "_at", "_n")
 
 
+def cached_files(spark: SparkSession, root: str) -> DataFrame:
+    """folder and cache_name of each file under root/<folder>/; only paths are read. In folder
+    names the colon of an id is written as an underscore."""
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.split("path", "/").alias("p"))
+    return paths.select(F.replace(F.element_at("p", -2), F.lit("_"), F.lit(":")).alias("folder"), F.element_at("p", -1).alias("cache_name"))
+
+
 def load_dim(df: DataFrame, column: str, outer: str, inner: str, value: str, kind: str = "int") -> DataFrame:
     """A nested JSON dictionary {outer: {inner: value}} -> rows."""
     rows = df.select(F.explode(F.from_json(column, f"map<string,map<string,{kind}>>")).alias(outer, "_m"))
