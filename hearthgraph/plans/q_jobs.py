@@ -17,47 +17,81 @@ from hearthgraph.streaming import streams as R
 
 def _pages(spark, sf):
     """A detail page for each listing, in its source's form."""
-    r = T.listings(spark, sf).where("k > 0")
+    r = T.listings(spark, sf)
     price = F.concat(F.lit("£"), F.format_number("price_pcm", 0), F.lit(" pcm"))
     place = F.concat_ws(", ", F.lit("Hackney"), "postcode")
     img = lambda i: F.concat(F.lit("https://img.example/"), F.col("source_id"), F.lit(f"-{i}.jpg"))
     urls = [img(1), F.concat(F.lit("https://img.example/epc-"), F.col("source_id"), F.lit(".png")), img(2), F.lit("https://youtu.be/abc"), F.lit("https://img.example/a.pdf")]
-    plan = F.when(F.col("item") % 2 == 0, F.concat(F.lit("https://img.example/plan-"), F.col("source_id"), F.lit(".gif")))
+    plan = F.when(F.col("item") % 2 == 0, F.concat(F.lit("https://img.example/floorplan-"), F.col("source_id"), F.lit(".gif")))
     named = lambda k: F.array(*[F.struct(u.alias(k)) for u in urls])
-    right = F.to_json(F.struct(F.struct(F.col("item").alias("id"), F.struct(F.col("title").alias("description")).alias("text"), F.struct(price.alias("primaryPrice")).alias("prices"), "bedrooms", F.struct(place.alias("displayAddress")).alias("address"), F.struct("latitude", "longitude").alias("location"), named("url").alias("images"), F.array(F.struct(plan.alias("url"))).alias("floorplans")).alias("propertyData")))
-    zoo = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("item").alias("listingId"), F.col("title").alias("detailedDescription"), F.struct(price.alias("label")).alias("pricing"), F.struct(F.col("bedrooms").alias("numBedrooms")).alias("counts"), place.alias("address"), F.struct(F.struct("latitude", "longitude").alias("coordinates")).alias("location"), named("original").alias("propertyMedia"), plan.alias("floorPlan")).alias("listing")).alias("pageProps")).alias("props")))
-    otm = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("item").alias("id"), F.col("title").alias("description"), price.alias("price"), "bedrooms", place.alias("displayAddress"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("location"), named("largeUrl").alias("images"), plan.alias("floorplan")).alias("property")).alias("initialReduxState")).alias("props")))
-    html = F.when(F.col("source") == "rightmove", F.concat(F.lit("<html><script>window.PAGE_MODEL = "), right, F.lit("</script></html>"))).otherwise(F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.when(F.col("source") == "zoopla", zoo).otherwise(otm), F.lit("</script></html>")))
+    feats, size = F.array(F.col("area"), F.lit("Lift")), (F.col("item") * 7 % 6000).cast("int")
+    sizings = F.array(F.struct(F.lit("sqm").alias("unit"), F.lit(50).alias("minimumSize"), F.lit(50).alias("maximumSize")), F.struct(F.lit("sqft").alias("unit"), size.alias("minimumSize"), F.lit(0).alias("maximumSize")))
+    right = F.to_json(F.struct(F.struct(F.col("item").alias("id"), F.struct(F.col("title").alias("description")).alias("text"), F.struct(price.alias("primaryPrice")).alias("prices"), "bedrooms", F.struct(place.alias("displayAddress")).alias("address"), F.struct("latitude", "longitude").alias("location"), named("url").alias("images"), F.array(F.struct(plan.alias("url"))).alias("floorplans"), feats.alias("keyFeatures"), sizings.alias("sizings")).alias("propertyData")))
+    zoo = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("item").alias("listingId"), F.col("title").alias("detailedDescription"), F.struct(price.alias("label")).alias("pricing"), F.struct(F.col("bedrooms").alias("numBedrooms")).alias("counts"), place.alias("address"), F.struct(F.struct("latitude", "longitude").alias("coordinates")).alias("location"), named("original").alias("propertyMedia"), plan.alias("floorPlan"), F.struct(feats.alias("bullets")).alias("features"), size.alias("sizeSqft")).alias("listing")).alias("pageProps")).alias("props")))
+    otm = F.to_json(F.struct(F.struct(F.struct(F.struct(F.col("item").alias("id"), F.col("title").alias("description"), price.alias("price"), "bedrooms", place.alias("displayAddress"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lon")).alias("location"), named("largeUrl").alias("images"), plan.alias("floorplan"), F.array("area").alias("keyFeatures"), F.array(F.struct(F.lit("Lift").alias("feature"))).alias("features"), size.alias("minimumAreaSqFt")).alias("property")).alias("initialReduxState")).alias("props")))
+    link = lambda u: F.concat(F.lit('<a href="'), u, F.lit('" class="a lightbox_item">x</a>'))
+    rent = F.concat(F.lit('<div class="page description"><p>'), "title", F.lit("</p> </div>"), *[link(u) for u in urls], F.coalesce(F.concat(F.lit('<a href="//imagescdn.openrent.co.uk/floorplan-'), F.when(plan.isNotNull(), F.col("source_id")), F.lit('.gif">')), F.lit("")), F.lit('<ul class="features"><li> '), "area", F.lit("</li><li><b>Lift</b></li><li></li></ul>"))
+    next_ = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), F.when(F.col("source") == "zoopla", zoo).otherwise(otm), F.lit("</script></html>"))
+    html = F.when(F.col("source") == "rightmove", F.concat(F.lit("<html><script>window.PAGE_MODEL = "), right, F.lit("</script></html>"))).when(F.col("source") == "openrent", rent).otherwise(next_)
     return r.select("unique_id", "source", "url", html.alias("html"))
 
 
-@query("""SELECT unique_id, CAST(item AS VARCHAR) AS id, title AS description, price_pcm AS price, bedrooms AS beds, postcode, round(latitude, 6)::DOUBLE AS latitude, CASE WHEN item % 2 = 0 THEN 'https://img.example/plan-' || source_id || '.gif' END AS floorplan, 'https://img.example/' || source_id || '-1.jpg https://img.example/' || source_id || '-2.jpg' AS gallery FROM listings WHERE k > 0""")
+_O = "source = 'openrent'"
+
+
+@query(f"""SELECT unique_id, CASE WHEN NOT {_O} THEN CAST(item AS VARCHAR) END AS id, title AS description, CASE WHEN NOT {_O} THEN price_pcm END AS price, CASE WHEN NOT {_O} THEN bedrooms END AS beds, CASE WHEN NOT {_O} THEN postcode END AS postcode, CASE WHEN NOT {_O} THEN round(latitude, 6)::DOUBLE END AS latitude,
+ CASE WHEN item % 2 = 0 THEN 'https://' || CASE WHEN {_O} THEN 'imagescdn.openrent.co.uk' ELSE 'img.example' END || '/floorplan-' || source_id || '.gif' END AS floorplan, 'https://img.example/' || source_id || '-1.jpg https://img.example/' || source_id || '-2.jpg' AS gallery, area || '|Lift' AS features, CASE WHEN NOT {_O} AND item * 7 % 6000 BETWEEN 100 AND 5000 THEN round_even(CAST(item * 7 % 6000 AS DOUBLE) * 0.092903e0, 1) END AS area_sqm FROM listings""")
 def details_from_pages(spark, sf):
     d = P.details_from_pages(_pages(spark, sf))
-    return d.select("unique_id", "id", "description", "price", "beds", "postcode", F.round("latitude", 6).alias("latitude"), "floorplan", F.array_join("gallery", " ").alias("gallery"))
+    return d.select("unique_id", "id", "description", "price", "beds", "postcode", F.round("latitude", 6).alias("latitude"), "floorplan", F.array_join("gallery", " ").alias("gallery"), F.array_join("features", "|").alias("features"), F.col("floor_area_sqm").alias("area_sqm"))
 
 
-@query("SELECT source, count(*) AS pages, count(*) AS found FROM listings WHERE k > 0 GROUP BY 1")
+@query("SELECT source, count(*) AS pages, CASE WHEN source = 'openrent' THEN 0 ELSE count(*) END AS found FROM listings GROUP BY 1")
 def embedded_json(spark, sf):
     return P.embedded_json(_pages(spark, sf)).groupBy("source").agg(F.count("*").alias("pages"), F.count("state").alias("found"))
 
 
 def _search_pages(spark, sf):
-    r = T.listings(spark, sf).where("k = 0 and latitude is not null").groupBy("area", F.floor(F.col("item") / 20).alias("page")).agg(F.array_sort(F.collect_list(F.struct("item", "price_pcm", "bedrooms", "latitude", "longitude"))).alias("x"))
-    part = lambda name, c: F.concat(F.lit(f"var {name} = ["), F.array_join(F.transform("x", lambda s: s[c].cast("string")), ", "), F.lit("];\n"))
+    """Search pages of each source, some twenty listings on each; every listing is on one page, and
+    those of every fifth number on a second one too."""
+    r = T.listings(spark, sf)
+    r = r.withColumn("page", F.explode(F.when(F.col("item") % 5 == 0, F.array(F.floor(F.col("item") / 20), F.lit(10**6) + F.floor(F.col("item") / 80))).otherwise(F.array(F.floor(F.col("item") / 20)))))
+    money = lambda n, unit: F.concat(F.lit("£"), F.format_number(n, 0), F.lit(f" {unit}"))
+    place = F.concat_ws(", ", F.lit("Hackney"), "postcode")
+    js = lambda v: F.coalesce(v.cast("string"), F.lit("null"))
+    weekly = F.col("item") % 3 == 0
+    zoo = F.to_json(F.struct(F.col("item").alias("listingId"), F.struct(F.concat(F.lit("/to-rent/"), "source_id").alias("detail")).alias("listingUris"), F.when(~weekly, F.col("price_pcm").cast("double")).alias("priceUnformatted"), F.when(weekly, money(F.lit(400), "pw")).otherwise(money("price_pcm", "pcm")).alias("price"), F.array(F.struct(F.lit("bed").alias("iconId"), F.col("bedrooms").alias("content"))).alias("features"), "title", place.alias("address"), F.struct(F.concat(F.lit("//img.example/"), "source_id").alias("src")).alias("image"), F.struct(F.col("latitude").alias("lat"), F.col("longitude").alias("lng")).alias("pos")))
+    otm = F.concat(F.lit('{"details-url":"/details/'), "source_id", F.lit('/","short-price":"'), money("price_pcm", "pcm"), F.lit('","bedrooms":'), js(F.col("bedrooms")), F.lit(',"property-title":"'), "title", F.lit('","address":"'), place, F.lit('","cover-image":{"webp":"https://img.example/'), "source_id", F.lit('"},"location":{"lat":'), js(F.col("latitude")), F.lit(',"lon":'), js(F.col("longitude")), F.lit("}}"))
+    right = F.concat(F.lit('<div data-testid="propertyCard-1"><a class="x" href="/properties/'), "source_id", F.lit('#/?channel=RES">y</a><h2>'), "title", F.lit('</h2><address class="a"> '), place, F.lit('</address><span class="P_bedroomsCount__1">'), F.col("bedrooms").cast("string"), F.lit('</span><div data-testid="property-price"><div class="PropertyPrice_price__1">'), money("price_pcm", "pcm"), F.lit('</div></div><img src="https://img.example/'), "source_id", F.lit('"></div>'))
+    card = F.when(F.col("source") == "zoopla", zoo).when(F.col("source") == "onthemarket", otm).when(F.col("source") == "rightmove", right)
+    rows = r.groupBy("source", "page").agg(F.array_sort(F.collect_list(F.struct("item", "price_pcm", "bedrooms", "latitude", "longitude", card.alias("card")))).alias("x"))
+    part = lambda name, c: F.concat(F.lit(f"var {name} = ["), F.array_join(F.transform("x", lambda s: js(s[c])), ", "), F.lit("];\n"))
     cols = {"id": "item", "price": "price_pcm", "beds": "bedrooms", "latitude": "latitude", "longitude": "longitude"}
-    return r.select(F.concat_ws("/", "area", "page").alias("url"), F.lit("openrent").alias("source"), F.concat(F.lit("<script>"), *[part(P.ARRAYS[k], c) for k, c in cols.items()], F.lit("</script>")).alias("html"))
+    rent = F.concat(F.lit("<script>"), *[part(P.ARRAYS[k], c) for k, c in cols.items()], F.lit("</script>"))
+    cards = F.array_join(F.transform("x", lambda s: s["card"]), ",")
+    quoted = F.to_json(F.array(F.concat(F.lit('5:["$","$L1",null,{"regularListingsFormatted":['), cards, F.lit('],"more":1}]'))))
+    inner = F.expr("substring(q, 2, length(q) - 2)")
+    rows = rows.withColumn("q", quoted)
+    push = F.concat(F.lit('<script>self.__next_f.push([1,"0:null"])</script><script>self.__next_f.push([1,'), inner, F.lit("])</script>"))
+    state = F.concat(F.lit('<script id="__NEXT_DATA__">{"props":{"initialReduxState":{"results":{"list":['), cards, F.lit("]}}}}</script>"))
+    html = F.when(F.col("source") == "zoopla", push).when(F.col("source") == "onthemarket", state).when(F.col("source") == "rightmove", F.concat(F.lit("<html>"), F.array_join(F.transform("x", lambda s: s["card"]), ""), F.lit("</html>"))).otherwise(rent)
+    return rows.select("source", F.concat_ws("/", "source", F.lpad(F.col("page").cast("string"), 9, "0")).alias("url"), html.alias("html"))
+
+
+@query(f"""SELECT source, CAST(item AS VARCHAR) AS id, CASE source WHEN 'openrent' THEN 'https://www.openrent.co.uk/' WHEN 'zoopla' THEN 'https://www.zoopla.co.uk/to-rent/' WHEN 'rightmove' THEN 'https://www.rightmove.co.uk/properties/' ELSE 'https://www.onthemarket.com/details/' END || item || CASE source WHEN 'onthemarket' THEN '/' ELSE '' END AS url,
+ CASE WHEN source = 'zoopla' AND item % 3 = 0 THEN 1733 ELSE price_pcm END AS price, bedrooms AS beds, CASE WHEN NOT {_O} THEN postcode END AS postcode, CASE WHEN source <> 'rightmove' THEN round(latitude, 6)::DOUBLE END AS latitude, CASE WHEN NOT {_O} THEN 'https://img.example/' || item END AS image_url FROM listings WHERE {_O} OR item % 10 <> 0""")
+def listings_from_pages(spark, sf):
+    return P.listings_from_pages(_search_pages(spark, sf)).select("source", "id", "url", "price", "beds", "postcode", F.round("latitude", 6).alias("latitude"), "image_url")
 
 
-@query("SELECT CAST(item AS VARCHAR) AS id, price_pcm AS price, bedrooms AS beds, round(latitude, 6)::DOUBLE AS latitude FROM listings WHERE k = 0 AND latitude IS NOT NULL")
-def listings_from_pages(spark, sf):
-    return P.listings_from_arrays(_search_pages(spark, sf)).select("id", "price", "beds", F.round("latitude", 6).alias("latitude"))
+_PAGED = "SELECT source, item // 20 AS page, item FROM listings UNION ALL SELECT source, 1000000 + item // 80, item FROM listings WHERE item % 5 = 0"
 
 
-@query("SELECT 'openrent' AS source, count(DISTINCT area || '/' || CAST(item // 20 AS VARCHAR)) AS containers, count(*) AS parsed, false AS layout_changed FROM listings WHERE k = 0 AND latitude IS NOT NULL")
+@query(f"SELECT p.source, count(DISTINCT p.page) AS containers, CASE p.source WHEN 'zoopla' THEN 0 ELSE any_value(l.n) END AS parsed, p.source = 'zoopla' AS layout_changed FROM ({_PAGED}) p JOIN (SELECT source, count(*) AS n FROM listings WHERE {_O} OR item % 10 <> 0 GROUP BY 1) l ON p.source = l.source GROUP BY 1")
 def parse_health(spark, sf):
     pages = _search_pages(spark, sf)
-    return P.parse_health(pages, P.listings_from_arrays(pages).withColumn("source", F.lit("openrent")), "PROPERTYIDS")
+    changed = pages.withColumn("html", F.when(F.col("source") == "zoopla", F.replace("html", F.lit("listingId"), F.lit("key"))).otherwise(F.col("html")))
+    return P.parse_health(changed, P.listings_from_pages(changed))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS body FROM pages")
