@@ -48,11 +48,9 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     gaps = F.split(text, pattern, -1)
     both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("k")))
 
-    # runs of RUN matches: the place of each run first, then the spans inside it, so that no list
-    # grows match by match over a whole text
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(both), F.lit(1)), F.lit(RUN)), lambda i: F.slice(both, i, RUN))
     wide = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["g"] + x["n"])
-    place = F.aggregate(runs, F.array(F.lit(0)), lambda at, run: F.concat(at, F.array(F.element_at(at, -1) + wide(run))))
+    # a list of one element names a value, which is then computed once
+    named = lambda value, use: F.transform(F.array(value), use)[0]
 
     def inside(run, at):
         def step(acc, x):
@@ -63,7 +61,16 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
 
         return F.aggregate(run, F.struct(at.alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
 
-    spans = F.flatten(F.zip_with(runs, F.slice(place, 1, F.size(runs)), inside))
+    # runs of RUN matches: the place of each run first, then the spans inside it, so that no list
+    # grows match by match over a whole text
+    def spans_of(found):
+        return named(F.transform(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1)), F.lit(RUN)), lambda i: F.slice(found, i, RUN)), placed)
+
+    def placed(runs):
+        place = F.aggregate(runs, F.array(F.lit(0)), lambda at, run: F.concat(at, F.array(F.element_at(at, -1) + wide(run))))
+        return F.flatten(F.zip_with(runs, F.slice(place, 1, F.size(runs)), inside))
+
+    spans = named(both, spans_of)
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
 
 

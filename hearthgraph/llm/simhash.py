@@ -208,15 +208,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     All columns of docs stay. Components are of rows, so different texts under one doc_id, or
     under none, stand each for its own component."""
-    digest = F.md5(F.col("text").cast("binary"))
-    id_, h, kept_id, kept_h = unused(docs, "_id", "_h", "_kept_id", "_kept_h")
-    rows = docs.select("doc_id", digest.alias("h"), fingerprint_udf(F.col("text")).alias("fp"))
-    fps = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("least")), "distinct")
+    (row,) = unused(docs, "_row")
+    text = F.col("text").cast("binary")
+    named = F.when(F.col("doc_id").isNull(), "?").otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))
+    # one key for id and text, never null: the join and the last step share one shuffle
+    docs_ = docs.withColumn(row, F.md5(F.concat(named.cast("binary"), F.lit("|").cast("binary"), F.coalesce(F.md5(text), F.lit("")).cast("binary"))))
+    rows = docs_.select("doc_id", F.md5(text).alias("h"), F.col(row).alias("row"), fingerprint_udf(F.col("text")).alias("fp"))
+    fps = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h", "row")).alias("least")), "distinct")
     roots = components(links(fps)).withColumnRenamed("node", "fp")
     rooted = fps.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias(kept_id), F.col("k.h").alias(kept_h))
-    kept = docs.withColumns({id_: F.col("doc_id"), h: digest}).join(best, F.col(id_).eqNullSafe(F.col(kept_id)) & F.col(h).eqNullSafe(F.col(kept_h)), "left_semi")
-    return kept.dropDuplicates([id_, h]).select(docs.columns)
+    best = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.row").alias(row))
+    return docs_.join(best, row, "left_semi").dropDuplicates([row]).select(docs.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
