@@ -42,7 +42,7 @@ from .quality import labelled_sample
 TOXIC, CLEAN = 2048, 8192  # labelled texts of each kind that the grammar is fitted on, at most
 THRESHOLD = 0.3
 STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that may stand for a family of forms
-KEEP = 100_000  # words whose kind a worker keeps; when full it starts again, which bounds memory
+KEEP = 60_000  # words whose kind a worker keeps; when full it starts again, which bounds memory
 
 THREATS = frozenset("kill hurt destroy burn beat shoot stab strangle murder töte töten schlage tuer tuerai frapper matar mataré golpear".split())
 TARGETS = frozenset("you your yours u they them he she him her du dich dir euch ihr sie tu toi vous ton votre usted tú ti ustedes te".split())

@@ -45,3 +45,24 @@ def test_run_is_the_stages_in_turn(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.columns[:3] == ["doc_id", "start", "length"]
     whole(got.collect())
+
+
+def test_stages_on_odd_rows(spark, odd, odd_rows, tmp_path):
+    """Nulls, repeated ids with one and with several texts, columns of clashing names, no rows."""
+    labels = spark.createDataFrame([(1, 1, 0), (4, 1, 0), (7, 0, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    more = [(3, t) for t in ("a b c d e f", "g h i j k l")] + [(5, "a b c d e f")]
+    extra = spark.createDataFrame(more, "doc_id long, text string")
+    for docs, n in ((odd.unionByName(extra, allowMissingColumns=True), len(odd_rows) + 3), (odd.limit(0), 0)):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            got = stage(spark, docs, str(tmp_path))
+            rows = got.collect()
+            if k in (0, 1, 3):
+                assert got.columns == docs.columns and len(rows) <= n and (n == 0 or rows)
+            elif k == 2:
+                assert got.columns == docs.columns
+                if n:  # whole repeated rows and copies under other ids go, other texts of an id stay
+                    assert sorted((r.doc_id, r.text) for r in rows if r.doc_id == 3 and r.text) == sorted(more[:2])
+                    assert len(rows) == 8
+            else:
+                assert "sequence_id" in got.columns and sum(r.length for r in rows if r.doc_id == 2) == (1 if n else 0)
