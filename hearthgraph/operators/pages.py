@@ -44,7 +44,7 @@ CARD = {
 }
 SITES = {"openrent": "https://www.openrent.co.uk", "rightmove": "https://www.rightmove.co.uk", "zoopla": "https://www.zoopla.co.uk", "onthemarket": "https://www.onthemarket.com"}
 MARKERS = {"openrent": "PROPERTYIDS", "rightmove": "propertyCard", "zoopla": "regularListingsFormatted", "onthemarket": "initialReduxState"}
-SQM_PER_SQFT, SQFT_LIMITS = 0.092903, (100, 5000)
+SQM_PER_SQFT, SQFT_LIMITS = 0.0929, (100, 5000)
 CHALLENGE = "checking your browser|cloudflare|just a moment|ray id|enable javascript and cookies"
 REMOVED = {
     "rightmove": "(?i)property has been removed|no longer available|no longer on the market",

@@ -40,7 +40,7 @@ _O = "source = 'openrent'"
 
 
 @query(f"""SELECT unique_id, CASE WHEN NOT {_O} THEN CAST(item AS VARCHAR) END AS id, title AS description, CASE WHEN NOT {_O} THEN price_pcm END AS price, CASE WHEN NOT {_O} THEN bedrooms END AS beds, CASE WHEN NOT {_O} THEN postcode END AS postcode, CASE WHEN NOT {_O} THEN round(latitude, 6)::DOUBLE END AS latitude,
- CASE WHEN item % 2 = 0 THEN 'https://' || CASE WHEN {_O} THEN 'imagescdn.openrent.co.uk' ELSE 'img.example' END || '/floorplan-' || source_id || '.gif' END AS floorplan, 'https://img.example/' || source_id || '-1.jpg https://img.example/' || source_id || '-2.jpg' AS gallery, area || '|Lift' AS features, CASE WHEN NOT {_O} AND item * 7 % 6000 BETWEEN 100 AND 5000 THEN round_even(CAST(item * 7 % 6000 AS DOUBLE) * 0.092903e0, 1) END AS area_sqm FROM listings""")
+ CASE WHEN item % 2 = 0 THEN 'https://' || CASE WHEN {_O} THEN 'imagescdn.openrent.co.uk' ELSE 'img.example' END || '/floorplan-' || source_id || '.gif' END AS floorplan, 'https://img.example/' || source_id || '-1.jpg https://img.example/' || source_id || '-2.jpg' AS gallery, area || '|Lift' AS features, CASE WHEN NOT {_O} AND item * 7 % 6000 BETWEEN 100 AND 5000 THEN round_even(CAST(item * 7 % 6000 AS DOUBLE) * 0.0929e0, 1) END AS area_sqm FROM listings""")
 def details_from_pages(spark, sf):
     d = P.details_from_pages(_pages(spark, sf))
     return d.select("unique_id", "id", "description", "price", "beds", "postcode", F.round("latitude", 6).alias("latitude"), "floorplan", F.array_join("gallery", " ").alias("gallery"), F.array_join("features", "|").alias("features"), F.col("floor_area_sqm").alias("area_sqm"))
