@@ -170,14 +170,33 @@ def recompute_stale(df: DataFrame, column: str, version: int, score: Callable[[D
     return merge_upsert(df, new, [key], {})
 
 
-def publish(df: DataFrame, root: str, version: int) -> None:
-    """Write a snapshot; readers follow the newest version that was finished (its _SUCCESS)."""
+def publish(df: DataFrame, root: str, version: int, note: str = "") -> None:
+    """Write a snapshot; readers follow the newest version that was finished (its _SUCCESS). The
+    note (who wrote it) is written before, beside it."""
+    spark = df.sparkSession
+    if note:
+        spark.createDataFrame([(note,)], "note string").coalesce(1).write.mode("overwrite").parquet(f"{root}/_notes/{version}")
     df.write.mode("overwrite").parquet(f"{root}/version={version:010d}")
 
 
+def note(spark: SparkSession, root: str, version: int) -> str | None:
+    """The note of a version, if it has one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/_notes/{version}/_SUCCESS")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(f"{root}/_notes/{version}").first().note
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The finished versions under root, in order; none where there is no such folder."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    fs = new(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(new(root)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(new(root))]
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(new(f"{root}/{n}/_SUCCESS")))
+
+
 def current(spark: SparkSession, root: str) -> DataFrame:
     """The newest finished snapshot under root."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().toString() for s in fs.listStatus(path) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{s.getPath().toString()}/_SUCCESS")))
-    return spark.read.parquet(names[-1])
+    return spark.read.parquet(f"{root}/version={versions(spark, root)[-1]:010d}")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,43 +13,53 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from hearthgraph.operators import tables as U
 
 
-def upsert_into(root: str, key: list[str], policy: dict[str, str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge a batch into the newest snapshot under root and publish the next.
+def upsert_into(root: str, key: list[str], policy: dict[str, str], order: list[str], stream: str = "stream") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge a batch into the newest finished snapshot under root and publish the
+    next; of a key's rows in a batch the last in `order` counts, and with a policy columns follow
+    it. Where no snapshot stands yet, the batch begins the table.
 
-    A batch that is run again writes the version of its number again, from the version before, so
-    repeating it changes nothing."""
+    The stream's batch number is part of a snapshot's name: a batch that is run again finds its
+    own snapshot (finished) and does nothing, so repeating it changes nothing; a stream begun anew
+    over a table goes on from what stands there."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = batch.groupBy(*key).agg(*(F.max_by(c, F.struct(*order)).alias(c) for c in batch.columns if c not in key))
-        if number == 0:
-            U.publish(last.select(batch.columns), root, 1)
+        last = batch.groupBy(*key).agg(*(F.max_by(c, F.struct(*order)).alias(c) for c in batch.columns if c not in key)).select(batch.columns)
+        done = U.versions(spark, root)
+        if done and U.note(spark, root, done[-1]) == f"{stream}:{number}":
             return
-        before = spark.read.parquet(f"{root}/version={number:010d}")
-        U.publish(U.merge_upsert(before, last, key, policy), root, number + 1)
+        new = U.merge_upsert(U.current(spark, root), last, key, policy) if done else last
+        U.publish(new, root, (done[-1] if done else 0) + 1, f"{stream}:{number}")
 
     return merge
 
 
 def price_changes(obs: DataFrame, key: str = "entity", delay: str = "365 days") -> DataFrame:
     """A row for each change of price. State of a key: its last time and price; rows not later
-    than that (late or repeated) change nothing."""
+    than that (late or repeated) change nothing. A key that gives no observation for `delay` of
+    event time is forgotten, so that state follows the living keys."""
+    spec = [key, "obs_id", "old_price", "new_price", "change"]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, last = state.get if state.exists else (None, None)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "obs_id"]).itertuples():
-            now = (int(r.ts.value), int(r.obs_id))
-            if at is not None and now <= tuple(at):
-                continue
-            if last is not None and last != r.price:
-                rows.append((k[0], int(r.obs_id), int(last), int(r.price), int(r.price - last)))
-            at, last = now, int(r.price)
-        if last is not None:
-            state.update((list(at), last))
-        yield pd.DataFrame(rows, columns=[key, "obs_id", "old_price", "new_price", "change"])
-
-    return obs.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} long, obs_id long, old_price int, new_price int, change int", "at array<long>, last int", "append", GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        own = pd.concat([b[["ts", "obs_id", "price"]] for b in batches]).sort_values(["ts", "obs_id"])
+        at, ids, prices = own.ts.astype("datetime64[ns]").astype("int64").to_numpy(), own.obs_id.to_numpy("int64"), own.price.to_numpy("int64")
+        before = None
+        if state.exists:
+            (t, i), before = state.get
+            later = (at > t) | ((at == t) & (ids > i))
+            at, ids, prices = at[later], ids[later], prices[later]
+        if len(at):
+            old = np.concatenate([[prices[0] if before is None else before], prices[:-1]])
+            moved = old != prices
+            state.update(([int(at[-1]), int(ids[-1])], int(prices[-1])))
+            state.setTimeoutTimestamp(max(int(at[-1]) // 1_000_000 + forget, state.getCurrentWatermarkMs() + 1))
+            yield pd.DataFrame(dict(zip(spec, ([k[0]] * int(moved.sum()), ids[moved], old[moved], prices[moved], (prices - old)[moved]))))
+
+    forget = int(pd.Timedelta(delay) / pd.Timedelta("1ms"))
+    return obs.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} long, obs_id long, old_price int, new_price int, change int", "at array<long>, last int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def seen_filter(listings: DataFrame, seen: DataFrame, key: str = "unique_id", ts: str = "first_seen", delay: str = "1 hour") -> DataFrame:
@@ -57,14 +68,19 @@ def seen_filter(listings: DataFrame, seen: DataFrame, key: str = "unique_id", ts
     return fresh.join(seen.where("merged_id is not null").select(key).distinct(), key, "left_anti")
 
 
-def breaker(events: DataFrame, key: str, k: int, cooldown_s: int) -> DataFrame:
+def breaker(events: DataFrame, key: str, k: int, cooldown_s: int, delay: str = "365 days") -> DataFrame:
     """key, event_id, state: closed, open (skipped) or half_open (a try after the cooldown). State
-    of a key: failures in a row, and when it opened."""
+    of a key: failures in a row, and when it opened. A key that is silent for `delay` of event time
+    is forgotten, and closed when it comes again."""
+    forget = int(pd.Timedelta(delay) / pd.Timedelta("1ms"))
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         streak, opened = state.get if state.exists else (0, -1)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+        rows, own = [], pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        for r in own.itertuples():  # what an event is depends on the one before it
             t = int(r.ts.value // 10**9)
             if opened >= 0 and t - opened < cooldown_s:
                 rows.append((name[0], int(r.event_id), "open"))
@@ -76,24 +92,33 @@ def breaker(events: DataFrame, key: str, k: int, cooldown_s: int) -> DataFrame:
             else:
                 streak, opened = 0, -1
         state.update((streak, opened))
+        state.setTimeoutTimestamp(max(int(own.ts.iloc[-1].value) // 1_000_000 + forget, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=[key, "event_id", "state"])
 
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, state string", "streak int, opened long", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, state string", "streak int, opened long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def funnel(events: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:
-    """Counts of each stage in tumbling or sliding windows of event time."""
+    """Counts of each stage in tumbling or sliding windows of event time. In append mode a window
+    comes out once, when the watermark has passed its end, and its state goes."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
     out = events.withWatermark("ts", delay).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, key: str, gap: str, delay: str) -> DataFrame:
-    """Stretches of a key's events with no gap as long as `gap`."""
+    """Stretches of a key's events with no gap as long as `gap`; in append mode each comes out when
+    the watermark has passed its end."""
     out = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def close_with(df: DataFrame, ts: str, at: str) -> DataFrame:
+    """A stream's rows of one last moment, in the columns of df (all else null): what a watermark
+    needs to pass everything before it when a stream ends."""
+    return df.withColumns({c: (F.lit(at).cast("timestamp") if c == ts else F.lit(None).cast(k)) for c, k in df.dtypes})
+
+
 def drain(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and give what it put out: all batches, or for complete
     output the last one."""
