@@ -257,7 +257,10 @@ def nearest(df: DataFrame, k: int = 20, every: int = 20, vec_id: str = "vec_id",
     if not total:
         return answers(spark_rows(df, "q string, score double, ids array<long>"), query_rows, k)
     top = fit_top(all_, total, k)
-    wide = lambda v: np.stack([np.pad(x, (0, max(map(len, v)) - len(x))) for x in v])
+
+    def wide(v: pd.Series) -> np.ndarray:
+        d = max(map(len, v))
+        return np.stack([x if len(x) == d else np.pad(x, (0, d - len(x))) for x in v])
 
     @pandas_udf(IntegerType())
     def part_of(v: pd.Series) -> pd.Series:
