@@ -57,6 +57,7 @@ def normalize_street_name(c: Column) -> Column:
     return F.regexp_replace(c, r"^\d+[a-z]?\s+", "")
 
 
+# The patterns here and in normalize_street_name decide what is found.
 def address_numbers(c: Column) -> Column:
     """Flat numbers and a leading house number, as a set."""
     low = F.lower(c)

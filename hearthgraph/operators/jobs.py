@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthgraph.functions import address as A
+from hearthgraph.functions import text as X
 from hearthgraph.operators import aggregates as G
 from hearthgraph.operators import filters as B
 from hearthgraph.operators import history as H
@@ -17,28 +20,56 @@ from hearthgraph.operators import scoring as S
 from hearthgraph.operators import tables as U
 from hearthgraph.sources.snapshots import stored
 
-#: The extended scorer: signal weights, and what a pair needs to match.
-EXT_WEIGHTS = {"full_postcode": 40.0, "outcode": 10.0, "coordinates": 40.0, "street": 20.0, "price": 15.0, "tfidf": 15.0, "gallery": 40.0, "embeddings": 25.0}
+# The extended scorer's weights, thresholds below which a similarity does not count,
+# and what a pair needs to match. Signals of weight 0 are there for other weights to be tried.
+EXT_WEIGHTS = {
+    "full_postcode": 40.0, "outcode": 10.0, "coordinates": 40.0, "street": 20.0, "price": 15.0, "tfidf": 15.0, "gallery": 40.0, "embeddings": 25.0,
+    "fuzzy_address": 0.0, "address_number": 0.0, "title": 0.0, "semantic": 0.0, "features": 0.0,
+}
+EXT_LEAST = {"tfidf": 0.5, "embeddings": 0.75, "fuzzy_address": 0.75, "title": 0.70, "semantic": 0.60, "features": 0.50}
 EXT_MATCH_AT = 70.0
-
-
-def _optional(name: str, least: float = 0.0) -> Column:
-    return F.when(F.col(name) >= least, F.col(name)).otherwise(0.0)
-
-
-EXT_SIGNALS = {k: L.SIGNALS[k] for k in ("full_postcode", "outcode", "coordinates", "street", "price")} | {
-    "tfidf": lambda: _optional("tfidf", 0.5),
-    "gallery": lambda: F.when(F.col("gallery_matches") >= 3, 1.0).when(F.col("gallery_matches") == 2, 0.85).when(F.col("gallery_matches") == 1, 0.5).otherwise(0.0),
-    "embeddings": lambda: _optional("embedding_similarity", 0.75),
-}
-
-
-def match_score_ext(pairs: DataFrame, weights: dict | None = None, match_at: float = EXT_MATCH_AT) -> DataFrame:
-    """match_score with the extended signals; signals whose column is absent do not fire."""
-    for c in ("tfidf", "embedding_similarity", "gallery_matches"):
+#: Signal -> the column of pairs that it reads.
+EXT_COLUMNS = {"tfidf": "tfidf", "embeddings": "embedding_similarity", "fuzzy_address": "fuzzy_address", "title": "title_similarity", "semantic": "semantic_similarity", "features": "feature_overlap"}
+
+
+def _reaches(name: str, least: dict[str, float]) -> Callable[[], Column]:
+    c = EXT_COLUMNS[name]
+    return lambda: F.when(F.col(c) >= least[name], F.col(c)).otherwise(0.0)
+
+
+def ext_signals(least: dict[str, float] | None = None) -> dict[str, Callable[[], Column]]:
+    """The thirteen signals. Photos: 0.5, 0.85 and 1 for one, two and more alike. Numbers in the
+    addresses: 1 if one is shared, -1 if both have some and none is (another flat)."""
+    limits = EXT_LEAST | (least or {})
+    n = F.col
+    return {k: L.SIGNALS[k] for k in ("full_postcode", "outcode", "coordinates", "street", "price")} | {k: _reaches(k, limits) for k in EXT_COLUMNS} | {
+        "gallery": lambda: F.when(n("gallery_matches") >= 3, 1.0).when(n("gallery_matches") == 2, 0.85).when(n("gallery_matches") == 1, 0.5).otherwise(0.0),
+        "address_number": lambda: F.coalesce(n("address_number"), F.lit(0.0)),
+    }
+
+
+def text_signals(pairs: DataFrame) -> DataFrame:
+    """pairs (address, title and description, _a and _b) with what the extended scorer reads of
+    texts: fuzzy_address, address_number, title_similarity and feature_overlap."""
+    both = lambda f, c: (f(F.col(f"{c}_a")), f(F.col(f"{c}_b")))
+    x, y = both(A.address_numbers, "address")
+    number = F.when((F.size(x) > 0) & (F.size(y) > 0), F.when(F.arrays_overlap(x, y), 1.0).otherwise(-1.0))
+    return pairs.withColumns({
+        "address_number": number,
+        "fuzzy_address": L.token_ratio("sort")(*both(lambda c: F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "), "address")),
+        "title_similarity": L.token_ratio("set")(*both(X.clean_title, "title")),
+        "feature_overlap": X.jaccard(*both(X.feature_set, "description")),
+    })
+
+
+def match_score_ext(pairs: DataFrame, weights: dict | None = None, match_at: float = EXT_MATCH_AT, least: dict | None = None) -> DataFrame:
+    """match_score with the extended signals, weights and thresholds (those given replace the usual
+    ones); signals whose column is absent do not fire. Pairs that can match without a shared
+    postcode, photo or place share their street: strong_pairs(..., street=True) finds them all."""
+    for c in (*EXT_COLUMNS.values(), "gallery_matches", "address_number"):
         if c not in pairs.columns:
             pairs = pairs.withColumn(c, F.lit(0.0))
-    return L.match_score(pairs, EXT_SIGNALS, EXT_WEIGHTS | (weights or {}), match_at)
+    return L.match_score(pairs, ext_signals(least), EXT_WEIGHTS | (weights or {}), match_at)
 
 
 def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str, ...] = ("outcode", "bedrooms"), images: DataFrame | None = None, as_of: Column | None = None, days: int = 30, retries: DataFrame | None = None) -> DataFrame:

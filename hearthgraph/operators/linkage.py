@@ -447,20 +447,22 @@ def perceptual_dedup(images: DataFrame) -> DataFrame:
 
 
 def token_ratio(kind: str) -> Callable[[Column, Column], Column]:
-    """token_sort or token_set similarity of two texts (share of common subsequence), 0 to 1."""
+    """token_sort or token_set similarity of two texts (share of common subsequence), 0 to 1. The
+    length of the longest common subsequence is taken with a bit for each place of the left text."""
     from pyspark.sql.functions import pandas_udf
     from pyspark.sql.types import DoubleType
 
     def common(a: str, b: str) -> float:
         if not a and not b:
             return 1.0
-        last = [0] * (len(b) + 1)
-        for x in a:
-            row = [0]
-            for j, y in enumerate(b):
-                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
-            last = row
-        return 2 * last[-1] / (len(a) + len(b))
+        places: dict[str, int] = {}
+        for i, x in enumerate(a):
+            places[x] = places.get(x, 0) | 1 << i
+        full = free = (1 << len(a)) - 1
+        for y in b:
+            hit = free & places.get(y, 0)
+            free = (free + hit | free - hit) & full
+        return 2 * (len(a) - free.bit_count()) / (len(a) + len(b))
 
     def one(a: str | None, b: str | None) -> float:
         p, q = sorted((a or "").lower().split()), sorted((b or "").lower().split())

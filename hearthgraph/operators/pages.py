@@ -44,7 +44,6 @@ CARD = {
 }
 SITES = {"openrent": "https://www.openrent.co.uk", "rightmove": "https://www.rightmove.co.uk", "zoopla": "https://www.zoopla.co.uk", "onthemarket": "https://www.onthemarket.com"}
 MARKERS = {"openrent": "PROPERTYIDS", "rightmove": "propertyCard", "zoopla": "regularListingsFormatted", "onthemarket": "initialReduxState"}
-SQM_PER_SQFT, SQFT_LIMITS = 0.0929, (100, 5000)
 CHALLENGE = "checking your browser|cloudflare|just a moment|ray id|enable javascript and cookies"
 REMOVED = {
     "rightmove": "(?i)property has been removed|no longer available|no longer on the market",
@@ -111,19 +110,18 @@ def details_from_pages(pages: DataFrame, gallery: int = 10) -> DataFrame:
     lists = {s: F.filter(F.concat(*[F.coalesce(texts(p), F.array().cast("array<string>")) for p in paths]), lambda x: x != "") for s, paths in FEATURES.items()}
     features = by_source(lists | {"openrent": F.filter(items, lambda x: x != "")})
     sizings = F.from_json(F.get_json_object("state", "$.propertyData.sizings"), "array<struct<unit:string,minimumSize:double,maximumSize:double>>")
-    legal = lambda x: F.when(x.between(*SQFT_LIMITS), x)
-    sizes = F.transform(F.filter(sizings, lambda z: z["unit"] == "sqft"), lambda z: legal(F.coalesce(F.nullif(z["maximumSize"], F.lit(0.0)), z["minimumSize"])))
-    sqft = by_source({
+    sizes = F.transform(F.filter(sizings, lambda z: z["unit"] == "sqft"), lambda z: X.sqft_to_sqm(F.coalesce(F.nullif(z["maximumSize"], F.lit(0.0)), z["minimumSize"])))
+    area = by_source({
         "rightmove": F.get(F.filter(sizes, lambda x: x.isNotNull()), F.lit(0)),
-        "zoopla": legal(F.regexp_extract("state", r'"sizeSqft"\s*:\s*(\d+)', 1).try_cast("double")),
-        "onthemarket": legal(F.get_json_object("state", "$.props.initialReduxState.property.minimumAreaSqFt").try_cast("double")),
+        "zoopla": X.sqft_to_sqm(F.regexp_extract("state", r'"sizeSqft"\s*:\s*(\d+)', 1).try_cast("double")),
+        "onthemarket": X.sqft_to_sqm(F.get_json_object("state", "$.props.initialReduxState.property.minimumAreaSqFt").try_cast("double")),
     })
     rows = rows.withColumns({"description": F.when(open_, F.nullif(plain(some("description")), F.lit(""))).otherwise(F.col("description")), "floorplan": F.when(open_, whole(some("floorplan"))).otherwise(F.col("floorplan"))})
     ok = lambda u: ~X.is_epc_url(u) & ~X.is_video_url(u) & X.is_image_url(u) & ~F.coalesce(u == F.col("floorplan"), F.lit(False))
     return rows.withColumns({
         "gallery": F.slice(F.filter(urls, ok), 1, gallery),
         "features": F.when(F.size(features) > 0, features),
-        "floor_area_sqm": F.bround(sqft * SQM_PER_SQFT, 1),
+        "floor_area_sqm": area,
         "price": X.extract_price(F.col("price")),
         "beds": F.col("beds").cast("int"),
         "postcode": A.extract_postcode(F.col("postcode")),

@@ -32,8 +32,15 @@ FIELDS = {
 
 def unpack(df: DataFrame, doc: str = "doc") -> DataFrame:
     """One text column for each field; a missing or null field is null. An unreadable document
-    gives nulls. json_tuple and get_json_object read the text; only fields in use are computed."""
-    return df.withColumns({name: F.get_json_object(doc, f"$.{path}") for name, path in FIELDS.items()})
+    gives nulls. The document is parsed once, against a schema of the fields in use (Spark prunes
+    the others); numbers, truth values and lists come as their JSON text."""
+    parts: dict[str, list[str]] = {}
+    for path in FIELDS.values():
+        head, _, leaf = path.partition(".")
+        parts.setdefault(head, []).append(leaf)
+    schema = ", ".join(f"{head} struct<{', '.join(f'{x}: string' for x in leaves)}>" if leaves != [""] else f"{head} string" for head, leaves in parts.items())
+    df = df.withColumn("_fields", F.from_json(doc, schema))
+    return df.withColumns({name: F.col(f"_fields.{path}") for name, path in FIELDS.items()}).drop("_fields")
 
 
 def _known(c: str) -> str:

@@ -120,10 +120,16 @@ def _split(select: str) -> list[str]:
     return ["page_id", f"{_SRC} AS source", "CASE page_id % 13 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END AS status_code", f"{_NOTE} AS html", select.split(" AS html, ")[1].rsplit(", page_id % 23", 1)[0], "page_id % 23 = 0 AS challenged"]
 
 
-@query("SELECT id_a, id_b, round(score - s_image_hash + CASE WHEN s_image_hash > 0 THEN 20 ELSE 0 END, 4) AS score FROM scored WHERE score >= 70 AND signals >= 2", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)
+_NUMS = r"list_filter(list_concat(regexp_extract_all(lower({0}.address), '(?:flat|unit|apt|apartment)\s*(\d+[a-z]?)', 1), [regexp_extract(lower({0}.address), '^(\d+[a-z]?)\s+\w', 1)]), lambda x: x <> '')"
+
+
+@query(f"""SELECT id_a, id_b, round(total, 4) AS score, number FROM (SELECT s.id_a, s.id_b, number, s.score + 10 * number AS total, s.signals + CAST(number > 0 AS INT) AS n FROM scored s JOIN (SELECT a.unique_id AS id_a, b.unique_id AS id_b, CASE WHEN len({_NUMS.format('a')}) = 0 OR len({_NUMS.format('b')}) = 0 THEN 0e0 WHEN list_has_any({_NUMS.format('a')}, {_NUMS.format('b')}) THEN 1e0 ELSE -1e0 END AS number
+ FROM listings a JOIN listings b ON a.bedrooms = b.bedrooms AND a.unique_id < b.unique_id) x ON s.id_a = x.id_a AND s.id_b = x.id_b) WHERE total >= 70 AND n >= 2""", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)
 def match_score_ext(spark, sf):
-    found = W.match_score_ext(L.with_photo(L.strong_pairs(_slim(spark, sf), ["outcode", "bedrooms"]))).where("is_match")
-    return found.select(F.col("unique_id_a").alias("id_a"), F.col("unique_id_b").alias("id_b"), F.round("score", 4).alias("score"))
+    rows = _slim(spark, sf).join(T.listings(spark, sf).select("unique_id", "address", "title", "description"), "unique_id")
+    pairs = W.text_signals(L.with_photo(L.strong_pairs(rows, ["outcode", "bedrooms"], street=True)))
+    found = W.match_score_ext(pairs, {"address_number": 10.0}).where("is_match")
+    return found.select(F.col("unique_id_a").alias("id_a"), F.col("unique_id_b").alias("id_b"), F.round("score", 4).alias("score"), F.coalesce("address_number", F.lit(0.0)).alias("number"))
 
 
 @query()

@@ -205,3 +205,28 @@ def test_every_record_of_a_run_has_one_fate(spark, sf):
         assert ends == ([] if fates[u].fate == "saved" else [fates[u].fate])
     assert {r.unique_id for r in out["saved"].collect()} <= {u for u, r in fates.items() if r.fate == "saved"}
     assert {r.stage: r.n for r in out["funnel"].collect()}["scraped"] == len(fates)
+
+
+def test_extended_scorer_signal_by_signal(spark):
+    from hearthgraph.operators import jobs as W
+
+    texts = {"address": ("Flat 2, 10 Mare Street", "Flat 3, 10 Mare St"), "title": ("2 bed flat, balcony", "2 bed balcony flat"), "description": ("A bright flat with balcony and gas hob", "Balcony, gas hob, lift")}
+    base = {"outcode": "E8", "street": "mare street", "full_postcode": None, "bedrooms": 2, "price_pcm": 1000, "latitude": None, "longitude": None}
+    row = {f"{k}_{s}": v for k, v in base.items() for s in "ab"} | {f"{k}_{s}": v[i] for k, v in texts.items() for i, s in enumerate("ab")} | {"tfidf": 0.6, "embedding_similarity": 0.8, "gallery_matches": 2, "semantic_similarity": 0.5}
+    kinds = {"bedrooms": "int", "price_pcm": "int", "latitude": "double", "longitude": "double", "gallery_matches": "int", "tfidf": "double", "embedding_similarity": "double", "semantic_similarity": "double"}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kinds.get(c.removesuffix('_a').removesuffix('_b'), 'string')}" for c in row))
+    got = W.match_score_ext(W.text_signals(df)).first()
+    assert got.score == pytest.approx(10 + 20 + 15 + 15 * 0.6 + 25 * 0.8 + 40 * 0.85) and got.signal_count == 6 and got.is_match
+    assert got.address_number == -1.0 and got.title_similarity == 1.0 and 0.75 < got.fuzzy_address < 1
+    tried = W.match_score_ext(W.text_signals(df), {"address_number": 60.0, "semantic": 10.0}).first()
+    assert tried.score == pytest.approx(got.score - 60) and tried.signal_count == 6 and tried.s_semantic == 0
+    assert W.match_score_ext(W.text_signals(df), {"semantic": 10.0}, least={"semantic": 0.4}).first().s_semantic == pytest.approx(5)
+
+
+def test_street_pairs_lose_no_extended_match(spark, sf):
+    rows = L.keyed(T.listings(spark, sf)).select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "phash")
+    from hearthgraph.operators import jobs as W
+
+    score = lambda p: {(r.unique_id_a, r.unique_id_b) for r in W.match_score_ext(L.with_photo(p).withColumns({"tfidf": F.lit(1.0), "embedding_similarity": F.lit(1.0)})).where("is_match").collect()}
+    block = ["outcode", "bedrooms"]
+    assert score(L.strong_pairs(rows, block, street=True)) == score(L.candidate_pairs(rows, block))
