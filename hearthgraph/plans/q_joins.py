@@ -45,12 +45,12 @@ _REF = "SELECT 'p' || CAST(p_partkey AS VARCHAR) AS label, 51.5 + (p_partkey % 9
 _RH = "pow(sin((radians(la) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians(la)) * pow(sin(radians(lo - longitude) / 2), 2)"
 
 
-@query(f"SELECT unique_id, round(min(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h))), 2) AS metres FROM (SELECT l.unique_id, {_RH} AS h FROM (SELECT * FROM listings WHERE item % 10 = 0 AND latitude IS NOT NULL) l, ({_REF}) r) GROUP BY 1")
+@query(f"SELECT unique_id, round(min(2 * 6371000.0 * atan2(sqrt(h), sqrt(1 - h))), 2) AS metres FROM (SELECT l.unique_id, {_RH} AS h FROM (SELECT * FROM listings WHERE latitude IS NOT NULL) l, ({_REF}) r) GROUP BY 1")
 def nearest_reference(spark, sf):
     from hearthgraph.functions.geo import haversine_m
 
     ref = T.read(spark, sf, "part").where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "51.5 + (p_partkey % 97) * 0.003 as latitude", "-0.05 + (p_partkey % 89) * 0.003 as longitude", "cast(null as string) as postcode")
-    rows = T.listings(spark, sf).where("item % 10 = 0 and latitude is not null").select("unique_id", "postcode", "latitude", "longitude")
+    rows = T.listings(spark, sf).where("latitude is not null").select("unique_id", "postcode", "latitude", "longitude")
     out = J.nearest_reference(rows, ref, 500.0).join(ref.select("label", F.col("latitude").alias("la"), F.col("longitude").alias("lo")), "label")
     return out.select("unique_id", F.round(haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")), 2).alias("metres"))
 
