@@ -197,6 +197,8 @@ def pack(
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """pack for the whole documents table, without prompts and loss limit; nulls, empty and long
+    texts, repeated rows and empty tables as stated there."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
