@@ -83,7 +83,7 @@ def resolve_against_anchors(new: DataFrame, anchors: DataFrame, block: tuple[str
         anchors = anchors.where(F.col("first_seen") >= as_of - F.make_dt_interval(F.lit(days)))
     both = new.withColumn("is_anchor", F.lit(False)).unionByName(anchors.withColumn("is_anchor", F.lit(True)))
     both = L.with_sources(both)
-    groups = L.group_matches(L.qualifying_pairs(both, list(block), images))
+    groups = L.group_matches(L.qualifying_pairs(both, list(block), images), list(block))
     rows = both.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id"))
     order = F.struct("first_seen", "unique_id")
     anchor, fresh = F.when(F.col("is_anchor"), order), F.when(~F.col("is_anchor"), F.col("price_pcm"))
@@ -114,7 +114,7 @@ def resolve_existing(records: DataFrame, images: DataFrame | None = None, childr
     unlinked have them point to nothing."""
     one = Window.partitionBy("unique_id").orderBy("first_seen")
     rows = records.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    groups = stored(L.group_matches(L.qualifying_pairs(rows, ["outcode", "bedrooms"], images)), "groups")
+    groups = stored(L.group_matches(L.qualifying_pairs(rows, ["outcode", "bedrooms"], images), ["outcode", "bedrooms"]), "groups")
     rows = rows.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id"))
     kept = L.fuse(rows, images)
     absorbed = rows.join(groups.select("group_id").distinct(), "group_id", "left_semi").select(F.col("unique_id").alias("absorbed"), "group_id")

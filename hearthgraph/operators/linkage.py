@@ -256,26 +256,35 @@ def greedy_groups(pairs: list[tuple], most: int = GROUP_AT_MOST) -> dict[str, st
 ROUNDS_ABOVE = 100_000  # pairs of a component that one task may group
 
 
-def group_matches(pairs: DataFrame, rounds_above: int | None = None) -> DataFrame:
+def group_matches(pairs: DataFrame, block: list[str] | None = None, rounds_above: int | None = None) -> DataFrame:
     """Qualifying pairs -> unique_id, group_id: best score first, then positions (first_seen, then
-    unique_id). A pair touches only its two ends' groups, so each connected component of pairs is
-    on its own: small ones are tasks' groups, larger ones are grouped in rounds over the cluster."""
+    unique_id). A pair touches only its two ends' groups, so each set of pairs that shares no
+    record with another is on its own: a block with few pairs, else each connected component of
+    pairs is a task's group; components of more pairs are grouped in rounds over the cluster."""
     limit = ROUNDS_ABOVE if rounds_above is None else rounds_above
     pa_, pb = F.struct("first_seen_a", "unique_id_a"), F.struct("first_seen_b", "unique_id_b")
     swap = pb < pa_
     first = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     sides = {"a": first("unique_id_a", "unique_id_b"), "b": first("unique_id_b", "unique_id_a"), "sa": first("sources_a", "sources_b"), "sb": first("sources_b", "sources_a"), "ta": F.least("first_seen_a", "first_seen_b"), "tb": F.greatest("first_seen_a", "first_seen_b")}
-    rows = stored(pairs.select("score", *(c.alias(n) for n, c in sides.items())), "qualifying")
-    rooted = rows.join(components(rows.select("a", "b")).withColumnRenamed("node", "a"), "a")
-    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
-    small = rooted.join(sizes.where(F.col("n") <= limit).select("root"), "root", "left_semi")
+    key = F.concat_ws("|", *(F.col(f"{c}_a").cast("string") for c in block)) if block else F.lit(None).cast("string")
+    rows = stored(pairs.select("score", key.alias("block"), *(c.alias(n) for n, c in sides.items())), "qualifying")
+    counts = stored(rows.groupBy("block").agg(F.count("*").alias("n")), "blocks")
+    fits = counts.where(F.col("block").isNotNull() & (F.col("n") <= limit)).select("block")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "ta", "a", "tb", "b"], ascending=[False, True, True, True, True])
         found = greedy_groups(list(zip(pdf.a, pdf.b, pdf.sa, pdf.sb)))
         return pd.DataFrame({"unique_id": list(found), "group_id": list(found.values())}, dtype="object")
 
-    out = small.groupBy("root").applyInPandas(run, "unique_id string, group_id string")
+    spec = "unique_id string, group_id string"
+    out = rows.join(fits, "block", "left_semi").groupBy("block").applyInPandas(run, spec)
+    full = rows.join(fits, "block", "left_anti")
+    if full.isEmpty():
+        return out
+    rooted = full.join(components(full.select("a", "b")).withColumnRenamed("node", "a"), "a")
+    sizes = stored(rooted.groupBy("root").agg(F.count("*").alias("n")), "sizes")
+    small = rooted.join(sizes.where(F.col("n") <= limit).select("root"), "root", "left_semi")
+    out = out.union(small.groupBy("root").applyInPandas(run, spec))
     large = sizes.where(F.col("n") > limit).select("root")
     return out if large.isEmpty() else out.union(_grouped_in_rounds(rooted.join(large, "root", "left_semi")))
 
@@ -339,8 +348,8 @@ def fuse(rows: DataFrame, images: DataFrame | None = None) -> DataFrame:
     members' order with the first URL of each; of a source's descriptions the latest that is not
     empty; the lowest and highest of the members' own lowest and highest prices; the floor area of
     the most trusted source. With images (unique_id, image_id, source, url, image_type, phash):
-    the gallery, each URL once, in the members' order, without photos that look like a preferred
-    one, and the floor plan of the preferred source."""
+    the gallery, each URL once, in the members' order, where there are several members without
+    photos that look like a preferred one, and the floor plan of the preferred source."""
     order = [F.col("first_seen"), F.col("unique_id")]
     has_coord = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
     full = A.is_full_postcode(F.col("postcode"))
@@ -375,8 +384,10 @@ def fuse(rows: DataFrame, images: DataFrame | None = None) -> DataFrame:
     own = images.join(rows.select("unique_id", "group_id", "first_seen"), "unique_id").withColumn("priority", ranked("source", PHOTO_PRIORITY))
     once = Window.partitionBy("group_id", "image_type", "url").orderBy("first_seen", "unique_id", "image_id")
     own = own.withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    gallery = own.where("image_type = 'gallery'").withColumn("place", F.struct("first_seen", "unique_id", "image_id"))
-    kept = perceptual_dedup(gallery.select("group_id", "place", "url", "phash", "priority"))
+    gallery = own.where("image_type = 'gallery'").withColumn("place", F.struct("first_seen", "unique_id", "image_id")).select("group_id", "place", "url", "phash", "priority")
+    # a record of its own keeps its gallery as it is
+    merged = rows.groupBy("group_id").agg(F.count("*").alias("_n")).where("_n > 1").select("group_id")
+    kept = perceptual_dedup(gallery.join(merged, "group_id", "left_semi")).union(gallery.join(merged, "group_id", "left_anti"))
     photos = kept.groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("place", "url")))["url"].alias("images"))
     plans = own.where("image_type = 'floorplan'").groupBy("group_id").agg(F.max_by("url", F.struct("priority", (-F.unix_timestamp("first_seen")).alias("t"), (-F.col("image_id")).alias("i"))).alias("floorplan"))
     return out.join(photos, "group_id", "left").join(plans, "group_id", "left").withColumn("images", F.coalesce("images", F.array().cast("array<string>")))
@@ -405,7 +416,7 @@ def resolve_entities(df: DataFrame, block: tuple[str, ...] = ("outcode", "bedroo
     only, and the result no galleries."""
     one = Window.partitionBy("unique_id").orderBy("first_seen", "url")
     df = df.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    groups = group_matches(qualifying_pairs(df, list(block), images))
+    groups = group_matches(qualifying_pairs(df, list(block), images), list(block))
     return fuse(df.join(groups, "unique_id", "left").withColumn("group_id", F.coalesce("group_id", "unique_id")), images)
 
 

@@ -160,7 +160,12 @@ def test_grouping_is_the_greedy_rule(spark, rounds_above):
     want = L.greedy_groups([(x[0], y[0], {x[1]}, {y[1]}) for _, x, y in model])
     flat = [(y[0], [y[1]], y[2], x[0], [x[1]], x[2], s) if rnd.random() < 0.5 else (x[0], [x[1]], x[2], y[0], [y[1]], y[2], s) for s, x, y in model]
     df = spark.createDataFrame(flat, "unique_id_a string, sources_a array<string>, first_seen_a int, unique_id_b string, sources_b array<string>, first_seen_b int, score double")
-    assert {r.unique_id: r.group_id for r in L.group_matches(df, rounds_above).collect()} == want and len(want) > 40
+    assert {r.unique_id: r.group_id for r in L.group_matches(df, None, rounds_above).collect()} == want and len(want) > 40
+    # blocks of records that no pair joins, some of them too full for one task
+    blocks = df.withColumn("block_a", F.when(F.substring("unique_id_a", 2, 9).cast("int") < 12, "x").otherwise("y")).where((F.substring("unique_id_a", 2, 9).cast("int") < 12) == (F.substring("unique_id_b", 2, 9).cast("int") < 12))
+    got = {r.unique_id: r.group_id for r in L.group_matches(blocks, ["block"], rounds_above).collect()}
+    low = [(s_, x, y) for s_, x, y in model if (int(x[0][1:]) < 12) == (int(y[0][1:]) < 12)]
+    assert got == L.greedy_groups([(x[0], y[0], {x[1]}, {y[1]}) for _, x, y in low])
 
 
 def test_source_sets_keep_anchors_apart(spark):
