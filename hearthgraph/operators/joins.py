@@ -170,10 +170,12 @@ def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest:
     words = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.char_length(x) > 1)
     rows = docs.select("id", words("text").alias("w")).where(F.size("w") > 0)
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
-    grams = rows.select("id", F.explode(F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))).alias("t"))
-    tf = grams.groupBy("id", "t").agg(F.count("*").alias("tf"))
+    grams = F.concat("w", F.when(F.size("w") > 1, two).otherwise(F.array().cast("array<string>")))
+    # every occurrence, and every text's different terms: one shuffle, by term
+    seen = F.array(F.struct(grams.alias("g"), F.lit(1).alias("all"), F.lit(0).alias("df")), F.struct(F.array_distinct(grams).alias("g"), F.lit(0).alias("all"), F.lit(1).alias("df")))
+    counted = rows.select(F.explode(seen).alias("x")).select(F.explode("x.g").alias("t"), "x.all", "x.df")
     n = docs.count()
-    top = tf.groupBy("t").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).orderBy(F.desc("all"), "t").limit(terms)
+    top = counted.groupBy("t").agg(F.sum("df").alias("df"), F.sum("all").alias("all")).orderBy(F.desc("all"), "t").limit(terms)
     idf = {r.t: math.log((1.0 + n) / (1.0 + r.df)) + 1 for r in top.collect()}  # `terms` rows
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
