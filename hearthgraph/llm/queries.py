@@ -7,13 +7,14 @@ from .bpe import op6_bpe_round_trip
 from .exact_topk import op1_exact_top_k
 from .learned_partitions import op3_learned_partitions
 from .packing import op5_packing
+from .pieces import op13_pieces_round_trip
 from .quality import op2_quality
 from .secrets import op9_secrets
 from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op9_secrets, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op9_secrets, op10_token_counts, op13_pieces_round_trip)}
 #: SQL has neither the tokenizers, the fingerprints' hash, the trained models nor the tests of
 #: randomness; those queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
