@@ -6,6 +6,7 @@ from .binary_ids import op8_binary_ids
 from .bpe import op6_bpe_round_trip
 from .exact_topk import op1_exact_top_k
 from .learned_partitions import op3_learned_partitions
+from .lexical import op11_lexical_search
 from .packing import op5_packing
 from .pieces import op13_pieces_round_trip
 from .quality import op2_quality
@@ -14,7 +15,7 @@ from .simhash import op4_simhash
 from .token_counts import op10_token_counts
 from .toxicity import op7_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op9_secrets, op10_token_counts, op13_pieces_round_trip)}
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_quality, op3_learned_partitions, op4_simhash, op5_packing, op6_bpe_round_trip, op7_toxicity, op8_binary_ids, op9_secrets, op10_token_counts, op11_lexical_search, op13_pieces_round_trip)}
 #: SQL has neither the tokenizers, the fingerprints' hash, the trained models nor the tests of
 #: randomness; those queries are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
@@ -24,5 +25,17 @@ WITH z AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64
      s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
            FROM z q JOIN z c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
-FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    "op11_lexical_search": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+     i AS (SELECT item_id, text, term, count(*) AS q FROM (SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term,
+                  generate_subscripts(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), 1) AS at FROM benchmark) GROUP BY ALL),
+     c AS (SELECT count(*) AS docs, CAST(sum(len(t)) AS BIGINT) AS total FROM d WHERE len(t) > 0),
+     p AS (SELECT doc_id, r, n, term, count(*) AS tf FROM (SELECT doc_id, r, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+     f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+     s AS (SELECT i.item_id, i.text, p.r, p.doc_id,
+                  CAST(sum(q * CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)))) AS BIGINT) AS score
+           FROM i JOIN p ON i.term = p.term JOIN f ON f.term = p.term CROSS JOIN c GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER w AS INTEGER) AS rank, doc_id, score FROM s
+WINDOW w AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER w <= 20""",
 }

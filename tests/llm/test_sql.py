@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 
 def test_queries_with_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "labels"):
+    for t in ("documents", "embeddings", "labels", "benchmark", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got, cur = QUERIES[name](spark, SF), con.execute(sql)
