@@ -203,31 +203,59 @@ def _stream(spark, sf, name):
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def _batches(spark, table, part, parts, run):
+    """The table as a stream that is run to its end once for each value of `part` and a last time for a
+    row long after, which lets the watermark pass all others. So a batch is a whole part, however
+    many files it has, and the stream takes itself up again from its checkpoint each time. run: gets
+    the stream, gives what it has put out so far."""
+    root, out = scratch_dir(spark), None
+    for k in range(parts + 1):  # a few appends, each by a whole job
+        rows = table.where(part == k) if k < parts else R.close_with(table.limit(1), "ts", "2100-01-01 00:00:00")
+        rows.write.mode("append").parquet(root)
+        out = run(spark.readStream.schema(table.schema).parquet(root))
+    return out
+
+
+def _drained(spark, table, part, parts, build, mode="append"):
+    out, done = scratch_dir(spark), set()
+    return _batches(spark, table, part, parts, lambda stream: R.drain(build(stream), out, mode, done))
+
+
+def _events(spark, sf):
+    return T.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stretch(table, parts=4):
+    """Which of so many equal stretches of time a row lies in."""
+    lo, hi = (x.timestamp() for x in table.agg(F.min("ts"), F.max("ts")).first())
+    return F.least(F.floor((F.unix_micros("ts") / 1e6 - lo) / max(1.0, (hi - lo) / parts)), F.lit(parts - 1))
+
+
+def _shuffled(column, parts=3):
+    """Batches in no order of time."""
+    return F.pmod(F.xxhash64(column), F.lit(parts))
+
+
 @query("SELECT entity, obs_id, old AS old_price, price AS new_price, price - old AS change FROM (SELECT *, lag(price) OVER (PARTITION BY entity ORDER BY ts, obs_id) AS old FROM obs) WHERE old <> price")
 def stream_price_changes(spark, sf):
-    obs = _stream(spark, sf, "lineitem").selectExpr(*(f"{x} AS {c}" for c, x in T.OBS.items()))
-    return R.drain(R.price_changes(obs), scratch_dir(spark))
+    obs = T.observations(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    return _drained(spark, obs, _shuffled("obs_id", 2), 2, lambda s: R.price_changes(s, delay="20000 days"))
 
 
-def _by_parts(spark, sf, parts=4):
-    """events as a stream of several batches, in order of time: a file for each stretch, then one
-    of a single row long after, which lets the watermark pass all others."""
-    root = scratch_dir(spark)
-    e = T.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    lo, hi = (x.timestamp() for x in e.agg(F.min("ts"), F.max("ts")).first())
-    part = F.least(F.floor((F.unix_micros("ts") / 1e6 - lo) / max(1.0, (hi - lo) / parts)), F.lit(parts - 1))
-    for k in range(parts):  # a few appends, each by a whole job
-        e.where(part == k).write.mode("append").parquet(root)
-    R.close_with(e.limit(1), "ts", "2100-01-01 00:00:00").write.mode("append").parquet(root)
-    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).option("latestFirst", False).parquet(root)
+@query("""SELECT user_id, epoch_us(ts) AS off_at, epoch_us(back) AS back_at, event_type AS reason FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS back FROM
+ (SELECT *, event_type IN ('error', 'signup') AS o, lag(event_type IN ('error', 'signup'), 1, false) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS w FROM events) WHERE o <> w) WHERE o""")
+def stream_status_intervals(spark, sf):
+    e = _events(spark, sf)
+    off = F.col("event_type").isin("error", "signup")
+    return _drained(spark, e, _shuffled("event_id"), 3, lambda s: R.off_market_intervals(s, "user_id", "event_id", off, "event_type", "400 days"))
 
 
 @query("""SELECT 'tumbling' AS kind, floor(epoch(time_bucket(INTERVAL '1 day', ts)))::BIGINT AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2, 3
  UNION ALL SELECT 'sliding', floor(epoch(time_bucket(INTERVAL '12 hours', ts)))::BIGINT - s * 43200, event_type, count(*) FROM events, (VALUES (0), (1)) v(s) GROUP BY 1, 2, 3""")
 def stream_funnel(spark, sf):
-    out = None
+    out, e = None, _events(spark, sf)
     for kind, slide in (("tumbling", None), ("sliding", "12 hours")):
-        one = R.drain(R.funnel(_by_parts(spark, sf), "1 day", "2 hours", slide), scratch_dir(spark))
+        one = _drained(spark, e, _stretch(e), 4, lambda s, slide=slide: R.funnel(s, "1 day", "2 hours", slide))
         one = one.select(F.lit(kind).alias("kind"), F.unix_timestamp("start").alias("start"), "event_type", "n")
         out = one if out is None else out.union(one)
     return out
@@ -235,7 +263,8 @@ def stream_funnel(spark, sf):
 
 @query("SELECT user_id, count(*) AS n, floor(min(epoch(ts)))::BIGINT AS start FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s")
 def stream_sessions(spark, sf):
-    out = R.drain(R.sessions(_by_parts(spark, sf), "user_id", "6 hours", "1 hour"), scratch_dir(spark))
+    e = _events(spark, sf)
+    out = _drained(spark, e, _stretch(e), 4, lambda s: R.sessions(s, "user_id", "6 hours", "1 hour"))
     return out.select("user_id", "n", F.unix_timestamp("start").alias("start"))
 
 
@@ -254,7 +283,6 @@ def stream_upsert(spark, sf):
     # a table that stands already, of users with nothing seen; then several batches on top of it
     users = T.read(spark, sf, "events").select("user_id").distinct()
     publish(users.withColumns({"event_type": F.lit("none"), "ts": F.lit(0).cast("timestamp"), "event_id": F.lit(0).cast("long"), "value": F.lit(-1e18), "batches": F.lit(0)}), f"{root}/table", 1)
-    e = _by_parts(spark, sf).where("user_id is not null").select("user_id", "event_type", "ts", "event_id", "value", F.lit(1).alias("batches"))
     merge = R.upsert_into(f"{root}/table", ["user_id"], {"batches": "increment", "value": "max"}, ["ts", "event_id"])
 
     def twice(batch, number):  # a batch that is run again changes nothing
@@ -262,7 +290,12 @@ def stream_upsert(spark, sf):
         merge(best, number)
         merge(best, number)
 
-    e.writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    def run(stream):
+        rows = stream.where("user_id is not null").select("user_id", "event_type", "ts", "event_id", "value", F.lit(1).alias("batches"))
+        rows.writeStream.foreachBatch(twice).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+
+    e = _events(spark, sf)
+    _batches(spark, e, _stretch(e), 4, run)
     n = T.read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("times"))
     found = current(spark, f"{root}/table").where("batches between 1 and 6")
     return found.select("user_id", "event_type", "value").join(n, "user_id")
@@ -270,5 +303,5 @@ def stream_upsert(spark, sf):
 
 @query()
 def stream_breaker(spark, sf):
-    e = _by_parts(spark, sf).where("user_id is not null").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    return R.drain(R.breaker(e, "user_id", 2, 86_400), scratch_dir(spark))
+    e = _events(spark, sf).where("user_id is not null").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return _drained(spark, e, _shuffled("event_id"), 3, lambda s: R.breaker(s, "user_id", 2, 86_400, "400 days"))

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hearthgraph.operators import tables as U
+from hearthgraph.streaming.ordered import in_order
 
 
 def upsert_into(root: str, key: list[str], policy: dict[str, str], order: list[str], stream: str = "stream") -> Callable[[DataFrame, int], None]:
@@ -34,32 +32,19 @@ def upsert_into(root: str, key: list[str], policy: dict[str, str], order: list[s
     return merge
 
 
-def price_changes(obs: DataFrame, key: str = "entity", delay: str = "365 days") -> DataFrame:
-    """A row for each change of price. State of a key: its last time and price; rows not later
-    than that (late or repeated) change nothing. A key that gives no observation for `delay` of
-    event time is forgotten, so that state follows the living keys."""
-    spec = [key, "obs_id", "old_price", "new_price", "change"]
+def price_changes(obs: DataFrame, key: str = "entity", delay: str = "365 days", forget: str | None = None) -> DataFrame:
+    """A row for each change of price: the key's observations in order of time, however they arrive
+    within the delay. State of a key: its last price. A key that gives no observation for `forget`
+    (else for the delay) is forgotten, so that state follows the living keys."""
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        own = pd.concat([b[["ts", "obs_id", "price"]] for b in batches]).sort_values(["ts", "obs_id"])
-        at, ids, prices = own.ts.astype("datetime64[ns]").astype("int64").to_numpy(), own.obs_id.to_numpy("int64"), own.price.to_numpy("int64")
-        before = None
-        if state.exists:
-            (t, i), before = state.get
-            later = (at > t) | ((at == t) & (ids > i))
-            at, ids, prices = at[later], ids[later], prices[later]
-        if len(at):
-            old = np.concatenate([[prices[0] if before is None else before], prices[:-1]])
-            moved = old != prices
-            state.update(([int(at[-1]), int(ids[-1])], int(prices[-1])))
-            state.setTimeoutTimestamp(max(int(at[-1]) // 1_000_000 + forget, state.getCurrentWatermarkMs() + 1))
-            yield pd.DataFrame(dict(zip(spec, ([k[0]] * int(moved.sum()), ids[moved], old[moved], prices[moved], (prices - old)[moved]))))
-
-    forget = int(pd.Timedelta(delay) / pd.Timedelta("1ms"))
-    return obs.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} long, obs_id long, old_price int, new_price int, change int", "at array<long>, last int", "append", GroupStateTimeout.EventTimeTimeout)
+    def take(before: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        _, i, price = row
+        if price is None:
+            return before or (None,), None
+        old = before[0] if before else None
+        return (price,), (i, old, price, price - old) if old is not None and old != price else None
+
+    return in_order(obs, key, "ts", "obs_id", {"price": "int"}, "obs_id long, old_price int, new_price int, change int", "price int", take, None, delay, forget)
 
 
 def seen_filter(listings: DataFrame, seen: DataFrame, key: str = "unique_id", ts: str = "first_seen", delay: str = "1 hour") -> DataFrame:
@@ -68,34 +53,44 @@ def seen_filter(listings: DataFrame, seen: DataFrame, key: str = "unique_id", ts
     return fresh.join(seen.where("merged_id is not null").select(key).distinct(), key, "left_anti")
 
 
-def breaker(events: DataFrame, key: str, k: int, cooldown_s: int, delay: str = "365 days") -> DataFrame:
-    """key, event_id, state: closed, open (skipped) or half_open (a try after the cooldown). State
-    of a key: failures in a row, and when it opened. A key that is silent for `delay` of event time
-    is forgotten, and closed when it comes again."""
-    forget = int(pd.Timedelta(delay) / pd.Timedelta("1ms"))
+def breaker(events: DataFrame, key: str, k: int, cooldown_s: int, delay: str = "365 days", forget: str | None = None) -> DataFrame:
+    """key, event_id, state: closed, open (skipped) or half_open (a try after the cooldown), for a
+    key's events in order of time, however they arrive within the delay. State of a key: failures in
+    a row, and when it opened. A key that is silent for `forget` (else for the delay) is forgotten,
+    and closed when it comes again."""
 
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        streak, opened = state.get if state.exists else (0, -1)
-        rows, own = [], pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for r in own.itertuples():  # what an event is depends on the one before it
-            t = int(r.ts.value // 10**9)
-            if opened >= 0 and t - opened < cooldown_s:
-                rows.append((name[0], int(r.event_id), "open"))
-                continue
-            rows.append((name[0], int(r.event_id), "half_open" if opened >= 0 else "closed"))
-            if r.failed:
-                streak += 1
-                opened = t if opened >= 0 or streak >= k else -1
-            else:
-                streak, opened = 0, -1
-        state.update((streak, opened))
-        state.setTimeoutTimestamp(max(int(own.ts.iloc[-1].value) // 1_000_000 + forget, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[key, "event_id", "state"])
-
-    return events.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(step, f"{key} long, event_id long, state string", "streak int, opened long", "append", GroupStateTimeout.EventTimeTimeout)
+    def take(before: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        streak, opened = before or (0, -1)
+        at, i, failed = row
+        t = at // 1_000_000
+        if opened >= 0 and t - opened < cooldown_s:
+            return (streak, opened), (i, "open")
+        name = "half_open" if opened >= 0 else "closed"
+        if not failed:
+            return (0, -1), (i, name)
+        return (streak + 1, t if opened >= 0 or streak + 1 >= k else -1), (i, name)
+
+    return in_order(events, key, "ts", "event_id", {"failed": "boolean"}, "event_id long, state string", "streak int, opened long", take, None, delay, forget)
+
+
+def off_market_intervals(log: DataFrame, key: str, row_id: str, off: Column, reason: str, delay: str, forget: str | None = None) -> DataFrame:
+    """key, off_at, back_at and reason of each stretch off the market, for a log (key, ts, row_id,
+    reason) in any order within the delay. A stretch comes out when the status that ends it has come
+    and the watermark has passed it; one that nothing ends for `forget` (else for the delay) comes out
+    with back_at null. State of a key: when and why it went off. Times are microseconds since 1970."""
+
+    def take(before: tuple | None, row: tuple) -> tuple[tuple, tuple | None]:
+        at, _, gone, why = row
+        since, reason = before or (None, None)
+        if since is None:
+            return (at, why) if gone else (None, None), None
+        return ((since, reason), None) if gone else ((None, None), (since, at, reason))
+
+    def close(before: tuple) -> tuple | None:
+        return (before[0], None, before[1]) if before[0] is not None else None
+
+    rows = log.select(key, "ts", row_id, off.alias("_off"), F.col(reason).alias("_reason"))
+    return in_order(rows, key, "ts", row_id, {"_off": "boolean", "_reason": "string"}, "off_at long, back_at long, reason string", "since long, reason string", take, close, delay, forget)
 
 
 def funnel(events: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:
@@ -119,16 +114,17 @@ def close_with(df: DataFrame, ts: str, at: str) -> DataFrame:
     return df.withColumns({c: (F.lit(at).cast("timestamp") if c == ts else F.lit(None).cast(k)) for c, k in df.dtypes})
 
 
-def drain(df: DataFrame, out: str, mode: str = "append") -> DataFrame:
+def drain(df: DataFrame, out: str, mode: str = "append", done: set[int] | None = None) -> DataFrame:
     """Run a stream over all that is there and give what it put out: all batches, or for complete
-    output the last one."""
-    batches: list[int] = []
+    output the last one. Run again over the same folder it goes on from where it stopped; `done`
+    carries the numbers of the batches from run to run."""
+    batches = set() if done is None else done
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={number:06d}")
-        batches.append(number)
+        batches.add(number)
 
     df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     spark = df.sparkSession
-    paths = [f"{out}/data/batch={n:06d}" for n in sorted(set(batches))]
+    paths = [f"{out}/data/batch={n:06d}" for n in sorted(batches)]
     return spark.read.schema(df.schema).parquet(*(paths if mode == "append" else paths[-1:]))
