@@ -129,15 +129,25 @@ def proximity_join(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     return a.join(b, ["_x", "_y"]).withColumn("metres", d).where(F.col("metres") <= metres).drop("_x", "_y")
 
 
-def gallery_match_count(a: Column, b: Column, most: int = HASH_BITS) -> Column:
-    """Greedy one-to-one: each hash of a takes the first unused hash of b within `most` bits."""
+def hash_long(h: Column) -> Column:
+    """A 16-digit hex hash as the long of the same bits."""
+    return F.conv(h, 16, -10).cast("long")
 
-    def step(acc, x):
-        free = F.filter(F.sequence(F.lit(1), F.size(b)), lambda i: ~F.array_contains(acc, i) & (hamming(x, F.element_at(b, i)) <= most))
-        return F.when(F.size(free) > 0, F.concat(acc, F.slice(free, 1, 1))).otherwise(acc)
 
-    taken = F.aggregate(a, F.array().cast("array<int>"), step)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(taken)).otherwise(0)
+def photo_matches(a: Column, b: Column, most: int = HASH_BITS) -> Column:
+    """Greedy one-to-one over arrays of hashes as longs: each of a takes the first of b within `most`
+    bits that is left. Runs over what is left of b, so a photo is compared once and parsed never."""
+
+    def step(left, x):
+        at = F.array_position(F.transform(left, lambda y: F.bit_count(x.bitwiseXOR(y)) <= most), True).cast("int")
+        return F.when(at > 0, F.concat(F.slice(left, 1, at - 1), F.slice(left, at + 1, F.size(left)))).otherwise(left)
+
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(b) - F.size(F.aggregate(a, b, step))).otherwise(0)
+
+
+def gallery_match_count(a: Column, b: Column, most: int = HASH_BITS) -> Column:
+    """photo_matches of arrays of hex hashes. Where one array meets many, turn each into longs once."""
+    return photo_matches(F.transform(a, hash_long), F.transform(b, hash_long), most)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -196,29 +206,26 @@ def match_score(pairs: DataFrame, signals: dict | None = None, weights: dict | N
 def strong_pairs(df: DataFrame, block: list[str], street: bool = False) -> DataFrame:
     """The pairs of candidate_pairs that can reach a match: outcode, street and price alone give
     45, so a match shares its full postcode, a photo, or a place within 100 m. Three selective
-    joins in place of all pairs of a block; no match is lost. Photos are those in hashes (an
-    array), else the main one. street adds the pairs of one street, for scores in which text
-    counts."""
+    joins of ids in place of all pairs of a block; no match is lost. unique_id is a key of df.
+    Photos are those in hashes (an array), else the main one. street adds the pairs of one street,
+    for scores in which text counts."""
     df = with_sources(df).dropna(subset=block)
-    a, b = _sides(df)
-    legal = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in block] + [F.col("unique_id_a") < F.col("unique_id_b"), strangers()]
-    ok = legal[0]
-    for x in legal[1:]:
-        ok = ok & x
-    post = a.join(b, [F.col("full_postcode_a") == F.col("full_postcode_b"), ok])
-    near = proximity_join(a, b, 100.0).where(ok).drop("metres")
-    cols = [c for c in a.columns] + [c for c in b.columns]
-    found = post.select(cols).union(near.select(cols))
+    a, b = _sides(df.select("unique_id", "sources", *block, *({"full_postcode", "street", "latitude", "longitude"} & set(df.columns) - set(block))))
+    ok = (F.col("unique_id_a") < F.col("unique_id_b")) & strangers()
+    for c in block:
+        ok = ok & (F.col(f"{c}_a") == F.col(f"{c}_b"))
+    ids = ["unique_id_a", "unique_id_b"]
+    found = a.join(b, [F.col("full_postcode_a") == F.col("full_postcode_b"), ok]).select(ids)
+    found = found.union(proximity_join(a, b, 100.0).where(ok).select(ids))
     if street:
-        found = found.union(a.join(b, [F.col("street_a") == F.col("street_b"), F.col("street_a") != "", ok]).select(cols))
-    if "hashes" in df.columns:
-        x, y = (d.withColumn(f"_hash_{s}", F.explode(f"hashes_{s}")) for d, s in ((a, "a"), (b, "b")))
-        hashed = hamming_join(x, y, "_hash_a", "_hash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
-        found = found.union(hashed.where(ok).select(cols))
-    elif "phash" in df.columns:
-        hashed = hamming_join(a.dropna(subset=["phash_a"]), b.dropna(subset=["phash_b"]), "phash_a", "phash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
-        found = found.union(hashed.where(ok).select(cols))
-    return found.dropDuplicates(["unique_id_a", "unique_id_b"])
+        found = found.union(a.join(b, [F.col("street_a") == F.col("street_b"), F.col("street_a") != "", ok]).select(ids))
+    photo = F.explode("hashes") if "hashes" in df.columns else F.col("phash") if "phash" in df.columns else None
+    if photo is not None:
+        x, y = _sides(df.select("unique_id", *block, photo.alias("_hash")).where("_hash is not null"))
+        near = hamming_join(x, y, "_hash_a", "_hash_b", a_key=[f"{c}_a" for c in block], b_key=[f"{c}_b" for c in block])
+        found = found.union(near.where("unique_id_a < unique_id_b").select(ids))
+    left, right = _sides(df)  # the columns join once, when each pair is there once
+    return found.distinct().join(left, "unique_id_a").join(right, "unique_id_b").where(strangers()).select([*left.columns, *right.columns])
 
 
 def gallery_veto(pairs: DataFrame) -> DataFrame:
@@ -406,7 +413,8 @@ def with_hashes(df: DataFrame, images: DataFrame | None = None) -> DataFrame:
 def qualifying_pairs(df: DataFrame, block: list[str], images: DataFrame | None = None) -> DataFrame:
     """The scored pairs of listings that may be grouped: matches that the gallery veto leaves."""
     slim = with_hashes(with_sources(keyed(df)), images).select("unique_id", "sources", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "first_seen", "hashes")
-    pairs = strong_pairs(slim, block).withColumn("gallery_matches", gallery_match_count(F.col("hashes_a"), F.col("hashes_b")))
+    slim = slim.withColumn("photos", F.transform("hashes", hash_long))
+    pairs = strong_pairs(slim, block).withColumn("gallery_matches", photo_matches(F.col("photos_a"), F.col("photos_b")))
     return gallery_veto(match_score(pairs))
 
 
@@ -443,18 +451,23 @@ def perceptual_dedup(images: DataFrame) -> DataFrame:
     """images (group_id, place, url, phash, priority) without those that look like another of their
     group: of two alike the one of higher priority stays, the earlier place of equals. A photo that
     has been dropped drops no further one. Groups are the photos of a few listings."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(at=[tuple(p.values()) if isinstance(p, dict) else p for p in pdf.place]).sort_values("at").drop(columns="at")
-        bits = [int(h, 16) if h else None for h in pdf.phash]
-        rank, stays = pdf.priority.tolist(), [True] * len(pdf)
-        for i, x in enumerate(bits):
-            later = (j for j in range(i + 1, len(bits)) if x is not None and bits[j] is not None and stays[j] and (x ^ bits[j]).bit_count() <= HASH_BITS)
-            while stays[i] and (j := next(later, None)) is not None:
-                stays[i if rank[j] > rank[i] else j] = False
-        return pdf[stays]
-
-    return images.groupBy("group_id").applyInPandas(run, images.schema)
+    rest = [c for c in images.columns if c not in ("group_id", "place")]
+    row = F.struct("place", *rest, hash_long(F.col("phash")).alias("_h"))
+    groups = images.groupBy("group_id").agg(F.sort_array(F.collect_list(row)).alias("_t"))
+    at = lambda i: F.element_at("_t", i)
+
+    def step(gone: Column, i: Column) -> Column:
+        later = F.slice("_t", i + 1, F.size("_t"))
+        alike = F.transform(later, lambda x, k: F.when(F.bit_count(x["_h"].bitwiseXOR(at(i)["_h"])) <= HASH_BITS, F.struct((i + k + 1).alias("j"), x["priority"].alias("p"))))
+        met = F.filter(alike, lambda x: x.isNotNull() & ~F.array_contains(gone, x["j"]))
+        better = F.filter(met, lambda x: x["p"] > at(i)["priority"])
+        # those before the first better one go, and with it the photo itself
+        lost = F.when(F.size(better) > 0, F.concat(F.filter(met, lambda x: x["j"] < better[0]["j"])["j"], F.array(i))).otherwise(met["j"])
+        return F.when(F.array_contains(gone, i), gone).otherwise(F.concat(gone, lost))
+
+    gone = F.aggregate(F.sequence(F.lit(1), F.size("_t")), F.array().cast("array<int>"), step)
+    kept = groups.withColumn("_gone", gone).select("group_id", F.explode(F.filter("_t", lambda x, k: ~F.array_contains("_gone", k + 1))).alias("_x"))
+    return kept.select("group_id", "_x.*").select(images.columns)
 
 
 def token_ratio(kind: str) -> Callable[[Column, Column], Column]:
