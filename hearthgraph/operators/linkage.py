@@ -228,6 +228,59 @@ def strong_pairs(df: DataFrame, block: list[str], street: bool = False) -> DataF
     return found.distinct().join(left, "unique_id_a").join(right, "unique_id_b").where(strangers()).select([*left.columns, *right.columns])
 
 
+def tier_counts(df: DataFrame, block: list[str], score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """tier, pairs and best score over all pairs of candidate_pairs, without listing them.
+
+    strong_pairs are scored one by one. All other pairs share outcode, perhaps street and price
+    alone, so their score follows from whether the street is the same and from the two prices, and
+    they are counted: records are grouped by (street,) price and sources, groups whose prices are
+    near enough to count are joined (a price has a bounded number of whole prices within 6 %), and
+    the strong pairs of the same prices are taken off. Pairs of farther prices are what is left of all
+    pairs, whose number follows from the sizes of the groups of sources. bedrooms and outcode are in
+    the block."""
+    score = score or (lambda p: match_score(with_photo(p)))
+    df = with_sources(df).dropna(subset=block).withColumn("sources", F.sort_array("sources"))
+    same = F.coalesce((F.col("street_a") == F.col("street_b")) & (F.col("street_a") != ""), F.lit(False))
+    lo, hi = F.least("price_pcm_a", "price_pcm_b"), F.greatest("price_pcm_a", "price_pcm_b")
+    close = F.coalesce(G.graduated_price(F.col("price_pcm_a"), F.col("price_pcm_b")) > 0, F.lit(False))
+    strong = stored(score(strong_pairs(df, block)).select("tier", "score", same.alias("same"), close.alias("close"), lo.alias("lo"), hi.alias("hi")), "strong")
+    street = F.when(F.col("street") != "", F.col("street"))
+
+    def joined(by: list[str], near: bool) -> DataFrame:
+        """lo, hi and n of the pairs of records in one group of `by`, of near prices (else of all)."""
+        price = F.col("price_pcm").cast("double")
+        keys = [*by, *(["price_pcm"] if near else []), "sources"]
+        groups = df.withColumn("_street", street).dropna(subset=by + ["price_pcm"] * near).groupBy(*keys).agg(F.count("*").alias("n"))
+        if near:  # prices within 6 % lie in one step or in neighbours
+            step = F.when(price > 0, F.floor(F.log(price) / F.log(F.lit(1.0619)))).otherwise(F.lit(-1))
+            groups = groups.withColumn("_step", step.cast("int"))
+        a, b = _sides(groups)
+        if near:
+            b = b.withColumn("_step_b", F.explode(F.array(F.col("_step_b") - 1, F.col("_step_b"), F.col("_step_b") + 1)))
+        on = [F.col(f"{c}_a") == F.col(f"{c}_b") for c in [*by, *(["_step"] if near else [])]]
+        once = F.struct(*(f"{c}_a" for c in keys[len(by) :])) < F.struct(*(f"{c}_b" for c in keys[len(by) :]))
+        pairs = a.join(b, [*on, once, strangers()]).withColumn("n", F.col("n_a") * F.col("n_b"))
+        return pairs.where(close).select(lo.alias("lo"), hi.alias("hi"), "n") if near else pairs.select("n")
+
+    one_street, n = [*block, "_street"], F.sum("n").alias("n")
+    marked = lambda d, same, sign=1: d.select(F.lit(same).alias("same"), "lo", "hi", (sign * F.col("n")).alias("n"))
+    of_street = stored(joined(one_street, True).groupBy("lo", "hi").agg(n), "street-prices")
+    taken = strong.where("close").select("same", "lo", "hi", F.lit(-1).cast("long").alias("n"))
+    near = marked(of_street, True).union(marked(of_street, False, -1)).union(marked(joined(block, True).groupBy("lo", "hi").agg(n), False)).union(taken)
+    near = stored(near.groupBy("same", "lo", "hi").agg(n).where("n > 0"), "near-prices")
+    all_, of_one = ((joined(by, False).agg(n).first()[0] or 0) for by in (block, one_street))
+    counted = {r.same: r.n for r in near.groupBy("same").agg(n).collect()}
+    known = {r.same: r.n for r in strong.groupBy("same").agg(F.count("*").alias("n")).collect()}
+    far = [(s, total - known.get(s, 0) - counted.get(s, 0)) for s, total in ((True, of_one), (False, all_ - of_one))]
+    far = df.sparkSession.createDataFrame(far, "same boolean, n long").where("n > 0").select("same", F.lit(0).alias("lo"), F.lit(1).alias("hi"), "n")
+    text = lambda s: F.lit(s).cast("string")
+    none = F.lit(None).cast("double")
+    road = F.when(F.col("same"), "x")
+    weak = near.union(far).select("n", F.col("lo").alias("price_pcm_a"), F.col("hi").alias("price_pcm_b"), *(x.alias(f"{c}_{s}") for s in "ab" for c, x in (("street", road), ("outcode", text("x")), ("full_postcode", text(None)), ("bedrooms", F.lit(1)), ("latitude", none), ("longitude", none), ("phash", text(None)))))
+    every = score(weak).select("tier", "score", "n").union(strong.select("tier", "score", F.lit(1).cast("long")))
+    return every.groupBy("tier").agg(F.sum("n").alias("pairs"), F.max("score").alias("best"))
+
+
 def gallery_veto(pairs: DataFrame) -> DataFrame:
     """Matches without those whose sides both have photos and share none."""
     both = F.coalesce((F.size("hashes_a") > 0) & (F.size("hashes_b") > 0), F.lit(False))

@@ -46,8 +46,7 @@ def match_score(spark, sf):
 
 @query("SELECT tier, count(*) AS pairs, round(max(score), 4) AS best FROM (SELECT score, CASE WHEN score >= 80 AND signals >= 3 THEN 'high' WHEN score >= 60 AND signals >= 2 THEN 'medium' WHEN score >= 40 THEN 'low' ELSE 'none' END AS tier FROM scored) GROUP BY 1", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)
 def score_tiers(spark, sf):
-    pairs = L.match_score(L.with_photo(L.candidate_pairs(_slim(spark, sf), ["outcode", "bedrooms"], salts=4)))
-    return pairs.groupBy("tier").agg(F.count("*").alias("pairs"), F.round(F.max("score"), 4).alias("best"))
+    return L.tier_counts(_slim(spark, sf), ["outcode", "bedrooms"]).select("tier", "pairs", F.round("best", 4).alias("best"))
 
 
 @query("SELECT id_a, id_b, round(score, 4) AS score, row_number() OVER (PARTITION BY outcode, bedrooms ORDER BY score DESC, id_a, id_b) AS pair_rank FROM (SELECT id_a, id_b, round(score, 6) AS score, k.outcode, k.bedrooms FROM scored JOIN keyed k ON k.unique_id = id_a WHERE score >= 60 AND signals >= 2)", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)

@@ -75,3 +75,41 @@ def test_galleries_against_all_pairs(spark):
     want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] != y[1] and model(x, y)}
     pairs = L.strong_pairs(df, ["outcode", "bedrooms"]).withColumn("gallery_matches", L.gallery_match_count(F.col("hashes_a"), F.col("hashes_b")))
     assert {(r.unique_id_a, r.unique_id_b) for r in L.gallery_veto(L.match_score(pairs)).collect()} == want and want
+
+
+def test_look_alikes_against_a_model(spark):
+    rnd = random.Random(8)
+    base = [rnd.getrandbits(64) for _ in range(3)]
+    rows = [(f"g{g}", i, f"u{i}", None if rnd.random() < 0.1 else f"{rnd.choice(base) ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 5))):016x}", rnd.randint(1, 3)) for g in range(30) for i in range(rnd.randint(1, 12))]
+
+    def model(group):
+        stays = [True] * len(group)
+        for i, x in enumerate(group):
+            for j in range(i + 1, len(group)):
+                y = group[j]
+                if stays[i] and stays[j] and x[3] and y[3] and (int(x[3], 16) ^ int(y[3], 16)).bit_count() <= 8:
+                    stays[i if y[4] > x[4] else j] = False
+        return {x[:2] for x, s in zip(group, stays) if s}
+
+    want = set().union(*(model([r for r in rows if r[0] == f"g{g}"]) for g in range(30)))
+    df = spark.createDataFrame(rows, "group_id string, place int, url string, phash string, priority int")
+    got = L.perceptual_dedup(df)
+    assert {(r.group_id, r.place) for r in got.collect()} == want and got.columns == df.columns
+
+
+def test_photos_as_longs_count_as_hex_does(spark):
+    rnd = random.Random(3)
+    near = lambda h: f"{h ^ sum(1 << b for b in rnd.sample(range(64), rnd.randint(0, 10))):016x}"
+    base = [rnd.getrandbits(64) for _ in range(3)]
+    rows = [([near(rnd.choice(base)) for _ in range(rnd.randint(0, 5))] or None, [near(rnd.choice(base)) for _ in range(rnd.randint(0, 5))]) for _ in range(120)]
+
+    def model(a, b):
+        left = list(b)
+        for x in a or []:
+            hit = next((y for y in left if (int(x, 16) ^ int(y, 16)).bit_count() <= 8), None)
+            if hit is not None:
+                left.remove(hit)
+        return len(b) - len(left) if a and b else 0
+
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", L.gallery_match_count(F.col("a"), F.col("b")).alias("n"))
+    assert all(r.n == model(r.a, r.b) for r in got.collect())

@@ -235,3 +235,33 @@ def test_street_pairs_lose_no_extended_match(spark, sf):
     score = lambda p: {(r.unique_id_a, r.unique_id_b) for r in W.match_score_ext(L.with_photo(p).withColumns({"tfidf": F.lit(1.0), "embedding_similarity": F.lit(1.0)})).where("is_match").collect()}
     block = ["outcode", "bedrooms"]
     assert score(L.strong_pairs(rows, block, street=True)) == score(L.candidate_pairs(rows, block))
+
+
+def test_counted_tiers_are_those_of_all_pairs(spark):
+    """Source sets, equal, zero, missing and near prices, places, photos; against every pair scored."""
+    rnd = random.Random(14)
+    rows = []
+    for i in range(240):
+        sources = rnd.choice([["a"], ["b"], ["c"], ["b", "a"], ["a", "c"]])
+        place = rnd.choice([(None, None), (51.5 + rnd.randint(0, 3) * 0.0005, -0.05)])
+        rows.append((f"u{i:03}", sources, rnd.choice([None, 0, 1000, 1010, 1019, 1021, 1030, 1060, 1500, 1560]), rnd.choice([1, 2]), rnd.choice(["E8", None]), rnd.choice(["", None, "mare street", "well street"]), rnd.choice([None, None, "E8 3RH"]), *place, rnd.choice([None, "0" * 16, "f" * 16, "0" * 15 + "f"])))
+    df = spark.createDataFrame(rows, "unique_id string, sources array<string>, price_pcm int, bedrooms int, outcode string, street string, full_postcode string, latitude double, longitude double, phash string")
+    block = ["outcode", "bedrooms"]
+    every = L.match_score(L.with_photo(L.candidate_pairs(df, block))).groupBy("tier").agg(F.count("*").alias("pairs"), F.max("score").alias("best"))
+    want = {r.tier: (r.pairs, pytest.approx(r.best)) for r in every.collect()}
+    assert {r.tier: (r.pairs, r.best) for r in L.tier_counts(df, block).collect()} == want and len(want) == 4
+    assert L.tier_counts(df.limit(0), block).count() == 0
+
+
+@pytest.mark.parametrize("steps", [3, 4096])
+def test_order_statistics_of_any_values(spark, steps):
+    from hearthgraph.operators import metrics as M
+
+    rnd = random.Random(steps)
+    for values in ([5.0], [1.0, 1.0, 2.0], [rnd.random() for _ in range(21)] + [None], [1e-300 * 10**k for k in range(0, 90, 9)] + [-1e308, 1e308], [rnd.choice([0.0, 1.0, 3.5]) for _ in range(20)]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        ordered = sorted(v for v in values if v is not None)
+        assert M.order_statistics(df, "v", set(range(len(ordered))), steps) == dict(enumerate(ordered))
+        for share in (0.0, 0.5, 0.9, 1.0):
+            assert M.exact_percentile(df, "v", share, steps) == pytest.approx(df.agg(F.percentile("v", share)).first()[0])
+    assert M.exact_percentile(df.limit(0), "v", 0.5) is None
