@@ -46,6 +46,17 @@ def best_commute(times: DataFrame, most: int) -> DataFrame:
     return ok.groupBy("id").agg(F.min("minutes").alias("minutes"), F.min_by("mode", F.struct("minutes", "mode")).alias("mode"))
 
 
+def commute_summary(times: DataFrame, most: int) -> DataFrame:
+    """mode, tried (ids with a time), within (ids within the limit) and chosen (ids whose quickest
+    mode it is), and a row of mode 'all' for the ids of any mode."""
+    best = best_commute(times, most).select("id", F.col("mode").alias("_best"))
+    rows = times.join(best, "id", "left").select("id", F.explode(F.array("mode", F.lit("all"))).alias("mode"), "minutes", "_best")
+    hit = F.col("minutes") <= most
+    chosen = F.coalesce((F.col("_best") == F.col("mode")) | ((F.col("mode") == "all") & F.col("_best").isNotNull()), F.lit(False))
+    ids = rows.groupBy("mode", "id").agg(F.count("minutes").alias("_t"), F.bool_or(F.coalesce(hit, F.lit(False))).alias("_w"), F.bool_or(chosen).alias("_c"))
+    return ids.groupBy("mode").agg(F.count_if(F.col("_t") > 0).alias("tried"), F.count_if("_w").alias("within"), F.count_if("_c").alias("chosen"))
+
+
 def derive_off_market(checks: DataFrame) -> DataFrame:
     """checks (id, pos, status, was_off) -> off, returned and reason. All sources gone: off, with
     the first one's reason. Any active and it was off: returned. An unknown blocks going off."""
@@ -59,9 +70,16 @@ def derive_off_market(checks: DataFrame) -> DataFrame:
     return out.select("id", (F.col("all_gone") & ~F.col("was")).alias("off"), (F.col("any_active") & F.col("was")).alias("returned"), F.when(F.col("all_gone"), F.col("reason")).alias("reason"))
 
 
-def funnel(rows: DataFrame, stages: list[str], run: str = "run_id") -> DataFrame:
-    """Different items of each stage of each run, and what share the stage before kept."""
-    out = rows.groupBy(run).pivot("stage", stages).agg(F.countDistinct("item"))
+def funnel(rows: DataFrame, stages: list[str], run: str = "run_id", ts: str | None = None) -> DataFrame:
+    """Different items of each stage of each run, and what share the stage before kept. With a time
+    column, the seconds from a stage's first row to its last as well (null for a stage without rows)."""
+    counts = F.countDistinct("item")
+    if ts:
+        seconds = (F.unix_micros(F.max(F.col(ts).cast("timestamp"))) - F.unix_micros(F.min(F.col(ts).cast("timestamp")))) / 1e6
+        out = rows.groupBy(run).pivot("stage", stages).agg(counts.alias("n"), seconds.alias("seconds"))
+        out = out.withColumnsRenamed({f"{x}_n": x for x in stages})
+    else:
+        out = rows.groupBy(run).pivot("stage", stages).agg(counts)
     out = out.fillna(0, subset=stages)
     kept = [F.coalesce(F.try_divide(F.col(b), F.col(a)), F.lit(0.0)).alias(f"{b}_share") for a, b in zip(stages, stages[1:])]
     return out.select("*", *kept)

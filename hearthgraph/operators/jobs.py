@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -143,12 +144,14 @@ class Run:
 
 def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
     """A whole run: listings (the stored ones with the scraped upserted), price_changes (of known
-    records), fates (one row for each scraped record and retry), events (one for each stage that a
+    records that pass criteria and location), seconds (of the jobs up to the commute, and of those
+    that resolve and end the records), fates (one row for each scraped record and retry), events (one for each stage that a
     record passed or ended in), funnel (records that passed each stage), and saved (the new golden
     records, waiting for analysis).
 
     Stages: criteria, location, new (not yet promoted; retries join in here), enriched (details
     with photos or a floor plan), commute, dedup (against recent records), gate (floor plan)."""
+    begun = time.monotonic()
     scraped = G.first_rows(raw, ["unique_id"], ["first_seen"])
     keep = {"first_seen": "keep", "merged_id": "keep", "description": "coalesce_new", "latitude": "coalesce_new", "longitude": "coalesce_new", "postcode": "coalesce_new"}
     listings = U.merge_upsert(run.listings, scraped.drop("merged_id") if "merged_id" in scraped.columns else scraped, ["unique_id"], {k: v for k, v in keep.items() if k in run.listings.columns})
@@ -170,6 +173,7 @@ def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
     near = G.best_commute(run.commutes, run.most_minutes).select(F.col("id").alias("unique_id"), F.col("minutes").alias("commute_minutes"), "mode")
     rows = rows.join(near, "unique_id", "left").withColumn("_commute", F.col("commute_minutes").isNotNull())
     rows = stored(rows.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("_criteria", "_location", "_new", "_enriched", "_commute", "_plan")}), "run")
+    filtered = time.monotonic()
 
     upto = ["_criteria", "_location", "_new", "_enriched", "_commute"]
     through = rows.where(B.every([F.col(c) for c in upto]))
@@ -183,6 +187,7 @@ def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
         end = F.when(~F.col(c), name).otherwise(end)
     fate = F.coalesce(end, F.when(F.col("fate") != "genuinely_new", F.col("fate")), F.when(allowed, "saved").otherwise("no_floorplan"))
     rows = stored(rows.withColumn("fate", fate), "fates")
+    seconds = rows.sparkSession.createDataFrame([("filters", filtered - begun), ("resolution", time.monotonic() - filtered)], "stage string, seconds double")
     out = rows.select("unique_id", "source", "retry", "fate", "anchor_id", "reanalyse", "price_change", "commute_minutes")
 
     stages = ["scraped", "criteria", "location", "new", "enriched", "commute", "dedup", "gate"]
@@ -194,9 +199,10 @@ def pipeline_run(raw: DataFrame, run: Run) -> dict[str, DataFrame]:
     funnel = events.where("event_type = 'passed'").groupBy("stage").agg(F.count("*").alias("n"))
 
     before = run.golden.select("unique_id", F.col("price_pcm").alias("old_price"))
-    changes = scraped.join(before, "unique_id").where("old_price <> price_pcm").select("unique_id", "old_price", F.col("price_pcm").alias("new_price"), (F.col("price_pcm") - F.col("old_price")).alias("change"))
+    # of those that pass the first two filters; retries that were not scraped have the price they had
+    changes = rows.where("_criteria and _location").join(before, "unique_id").where("old_price <> price_pcm").select("unique_id", "old_price", F.col("price_pcm").alias("new_price"), (F.col("price_pcm") - F.col("old_price")).alias("change"))
     saved = G.wrap_single(scraped.join(out.where("fate = 'saved'").select("unique_id"), "unique_id", "left_semi")).withColumn("notification_status", F.lit("pending_analysis"))
-    return {"listings": listings, "price_changes": changes, "fates": out, "events": events, "funnel": funnel, "saved": saved}
+    return {"listings": listings, "price_changes": changes, "fates": out, "events": events, "funnel": funnel, "saved": saved, "seconds": seconds}
 
 
 def check_list(golden: DataFrame, listings: DataFrame) -> DataFrame:

@@ -147,26 +147,81 @@ def fit_score(df: DataFrame, dimensions: dict = DIMENSIONS) -> DataFrame:
     return df.withColumn("tier", tier)
 
 
+# What each side of a home shows, as (condition, state, tooltip) in order of precedence;
+# the last holds where none else does.
+ICONS: dict[str, list[tuple[str, str, str]]] = {
+    "workspace": [
+        ("office = 'dedicated_room'", "good", "Dedicated office room"),
+        ("office = 'separate_area'", "good", "Separate work area"),
+        ("office = 'shared_space' AND bedrooms >= 2", "neutral", "2-bed but office in shared space"),
+        ("office = 'shared_space'", "concern", "Desk in shared space — no separation"),
+        ("office = 'none'", "concern", "No viable workspace"),
+        ("bedrooms >= 2", "good", "2+ beds — dedicated office possible"),
+        ("desk = 'yes'", "good", "Can fit desk in bedroom"),
+        ("bedrooms = 1 AND spacious = 'true'", "good", "Spacious 1-bed — desk space likely"),
+        ("bedrooms = 0", "concern", "Studio — no office separation"),
+        ("bedrooms = 1 AND spacious = 'false'", "concern", "Compact 1-bed — limited desk space"),
+        ("true", "neutral", "Workspace potential unclear"),
+    ],
+    "hosting": [
+        ("spacious = 'true' AND (walls IN ('solid_brick', 'concrete') OR glazing = 'yes')", "good", "Spacious + good sound insulation"),
+        ("spacious = 'false' AND noises <> '[]'", "concern", "Compact space + noise concerns"),
+        ("spacious = 'false' AND bedrooms >= 2", "neutral", "2-bed — compact but size less critical"),
+        ("spacious = 'false'", "concern", "Compact — limited hosting space"),
+        ("spacious = 'true'", "neutral", "Spacious but sound insulation unknown"),
+        ("true", "neutral", "Hosting suitability unclear"),
+    ],
+    "kitchen": [
+        ("hob IN ('gas', 'induction') AND kitchen IN ('modern', 'decent')", "good", "{hob} hob, {kitchen} kitchen"),
+        ("hob IN ('gas', 'induction')", "good", "{hob} hob"),
+        ("hob = 'electric' AND kitchen = 'dated'", "concern", "Electric hob, dated kitchen"),
+        ("hob = 'electric'", "concern", "Electric hob"),
+        ("kitchen = 'dated'", "concern", "Dated kitchen"),
+        ("kitchen IN ('modern', 'decent')", "neutral", "{Kitchen} kitchen, hob type unknown"),
+        ("true", "neutral", "Kitchen details unclear"),
+    ],
+    "vibe": [
+        ("kind IN ('warehouse', 'period_conversion', 'victorian', 'edwardian', 'georgian')", "good", "{kind} — character property"),
+        ("lower(tags_up) RLIKE 'period|character|original|warehouse|conversion|high ceiling|exposed'", "good", "Character features noted"),
+        ("kind IN ('new_build', 'purpose_built')", "neutral", "{kind}"),
+        ("true", "neutral", "Style unclear"),
+    ],
+    "space": [
+        (f"spacious = 'true' AND {_OUTDOOR}", "good", "Spacious with outdoor space"),
+        ("spacious = 'true'", "good", "Spacious layout"),
+        ("spacious = 'false' AND bedrooms >= 2", "neutral", "2-bed — size less critical"),
+        ("spacious = 'false'", "concern", "Not spacious enough"),
+        (_OUTDOOR, "neutral", "Has outdoor space, size unclear"),
+        ("true", "neutral", "Space unclear"),
+    ],
+    "internet": [
+        ("broadband = 'fttp'", "good", "Full fibre (FTTP) available"),
+        ("broadband = 'fttc'", "neutral", "Superfast broadband (FTTC)"),
+        ("broadband = 'cable'", "neutral", "Cable broadband"),
+        ("broadband = 'standard'", "concern", "Basic broadband only"),
+        ("true", "neutral", "Broadband not mentioned"),
+    ],
+}
+#: What stands for a name in braces in a tooltip.
+_SHOWN = {"hob": "initcap(hob)", "kitchen": "kitchen", "Kitchen": "initcap(kitchen)", "kind": "initcap(replace(kind, '_', ' '))"}
+
+
 def lifestyle_icons(df: DataFrame) -> DataFrame:
-    """good, neutral or concern for six sides of a home."""
-    c, beds = F.col, F.col("bedrooms")
-    spacious, compact = c("spacious") == "true", c("spacious") == "false"
-    state = lambda *arms, other="neutral": _ladder(arms, other)
-    quiet = c("walls").isin("solid_brick", "concrete") | (c("glazing") == "yes")
-    good_hob = c("hob").isin("gas", "induction")
-    out = F.coalesce(F.expr(_OUTDOOR), F.lit(False))
-    return df.withColumns({
-        "icon_workspace": state((c("office").isin("dedicated_room", "separate_area"), "good"), ((c("office") == "shared_space") & (beds >= 2), "neutral"), (c("office").isin("shared_space", "none"), "concern"), ((beds >= 2) | (c("desk") == "yes") | ((beds == 1) & spacious), "good"), ((beds == 0) | ((beds == 1) & compact), "concern")),
-        "icon_hosting": state((spacious & quiet, "good"), (compact & c("noises").isNotNull() & (c("noises") != "[]"), "concern"), (compact & (beds >= 2), "neutral"), (compact, "concern")),
-        "icon_kitchen": state((good_hob, "good"), ((c("hob") == "electric") | (c("kitchen") == "dated"), "concern")),
-        "icon_vibe": state((c("kind").isin("warehouse", "period_conversion", "victorian", "edwardian", "georgian") | F.lower("tags_up").rlike("period|character|original|warehouse|conversion|high ceiling|exposed"), "good")),
-        "icon_space": state((spacious, "good"), (compact & (beds < 2), "concern")),
-        "icon_internet": state((c("broadband") == "fttp", "good"), (c("broadband") == "standard", "concern")),
-        "has_outdoor": out,
-    })
-
-
-def _ladder(arms, other: str) -> Column:
+    """icon_ (good, neutral or concern) and tip_ (why) for six sides of a home, and has_outdoor."""
+    out: dict[str, Column] = {"has_outdoor": F.coalesce(F.expr(_OUTDOOR), F.lit(False))}
+    for side, rules in ICONS.items():
+        states = [(F.expr(when), state) for when, state, _ in rules]
+        tips = [(F.expr(when), _tooltip(tip)) for when, _, tip in rules]
+        out |= {f"icon_{side}": _ladder(states, None), f"tip_{side}": _ladder(tips, None)}
+    return df.withColumns(out)
+
+
+def _tooltip(text: str) -> Column:
+    parts = re.split(r"\{(\w+)\}", text)  # every second one is a name
+    return F.concat(*(F.expr(_SHOWN[p]) if i % 2 else F.lit(p) for i, p in enumerate(parts)))
+
+
+def _ladder(arms, other: str | None) -> Column:
     out = F.when(F.lit(False), "")
     for cond, value in arms:
         out = out.when(F.coalesce(cond, F.lit(False)), value)

@@ -90,6 +90,17 @@ def search_page(df: DataFrame, f: PropertyFilter, sort: str, page: int, per: int
     return search_filter(df, f).orderBy(*order_by(sort)).offset((page - 1) * per).limit(per)
 
 
+def map_markers(df: DataFrame, f: PropertyFilter, as_of: Column | None = None) -> DataFrame:
+    """What a map shows of every home that a search finds and that has a place: no order, no pages."""
+    c = F.col
+    shown = {
+        "id": c("unique_id"), "lat": c("latitude"), "lon": c("longitude"), "price": c("price_pcm"), "bedrooms": c("bedrooms"), "rating": c("overall_rating"),
+        "fit_score": c("fit_score"), "title": c("title"), "url": F.concat(F.lit("/property/"), "unique_id"), "image_url": c("image_url"), "postcode": c("postcode"),
+        "commute_minutes": c("commute_minutes"), "value_rating": c("adjusted"), "one_line": c("one_line"), "is_off_market": F.coalesce("is_off_market", F.lit(False)),
+    }
+    return search_filter(df, f, as_of).dropna(subset=["latitude", "longitude"]).select(*(x.alias(n) for n, x in shown.items()))
+
+
 def hardest_pairs(pairs: DataFrame, at: float, n: int, by: str = "boundary") -> DataFrame:
     """The n pairs nearest to the threshold (boundary), of the highest score (high), or the lowest
     (low)."""

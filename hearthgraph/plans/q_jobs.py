@@ -159,13 +159,19 @@ _ENR = "item % 5 <> 1"
 _NEAR = "((item * 7 + k) % 60 <= 45 OR (item * 11 + k) % 70 <= 45)"
 
 
-def _run(spark, sf):
+def _run(spark, sf, raw="k > 0", shift="0"):
+    """shift: what the stored golden records cost beyond what their listings do."""
     r = T.listings(spark, sf)
     details = r.select("unique_id", F.when(F.expr(_ENR), F.array("url")).otherwise(F.array().cast("array<string>")).alias("gallery"), F.when(F.expr(f"{_ENR} and item % 2 = 0"), F.col("url")).alias("floorplan"))
     times = [r.selectExpr("unique_id as id", f"'{mode}' as mode", f"cast((item * {x} + k) % {y} as int) as minutes") for mode, x, y in (("bike", 7, 60), ("transit", 11, 70))]
-    golden = r.where("item % 4 = 0 and k = 0")
+    golden = r.where("item % 4 = 0 and k = 0").withColumn("price_pcm", F.expr(f"cast(price_pcm + {shift} as int)"))
     run = W.Run(r.where("item % 4 = 0"), golden, spark.createDataFrame([("E5",), ("E8",), ("N1",), ("N16",)], "outcode string"), T.images(spark, sf), details, times[0].union(times[1]), B.Criteria(950, 1700, 0, 2), 45)
-    return W.pipeline_run(r.where("k > 0"), run)
+    return W.pipeline_run(r.where(raw), run)
+
+
+@query(f"SELECT unique_id, CAST(price_pcm + (item % 3 - 1) * 10 AS INT) AS old_price, price_pcm AS new_price, CAST((1 - item % 3) * 10 AS INT) AS change FROM listings WHERE k = 0 AND item % 4 = 0 AND item % 3 <> 1 AND {_C} AND {_L}")
+def pipeline_price_changes(spark, sf):
+    return _run(spark, sf, "k = 0", "(item % 3 - 1) * 10")["price_changes"]
 
 
 @query(f"""SELECT unique_id, retry, CASE WHEN retry AND k = 0 THEN CASE WHEN NOT {_ENR} THEN 'unenriched' WHEN NOT {_NEAR} THEN 'too_far' ELSE 'dedup' END WHEN NOT ({_C}) THEN 'rejected_criteria' WHEN NOT {_L} THEN 'rejected_location' WHEN NOT {_N} THEN 'seen' WHEN NOT {_ENR} THEN 'unenriched' WHEN NOT {_NEAR} THEN 'too_far' ELSE 'dedup' END AS reached

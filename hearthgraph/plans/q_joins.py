@@ -247,6 +247,16 @@ def best_commute(spark, sf):
     return G.best_commute(times, 30)
 
 
+_TIMES = "SELECT item AS id, (item * (k + 3)) % 60 AS m, CASE k WHEN 0 THEN 'a' WHEN 1 THEN 'bb' WHEN 2 THEN 'ccc' ELSE 'dddd' END AS mode FROM listings"
+
+
+@query(f"""SELECT mode, count(*) AS tried, count(*) FILTER (m <= 30) AS within, count(*) FILTER (m <= 30 AND n = 1) AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY m, mode) AS n FROM ({_TIMES})) GROUP BY 1
+ UNION ALL SELECT 'all', count(DISTINCT id), count(DISTINCT id) FILTER (m <= 30), count(DISTINCT id) FILTER (m <= 30) FROM ({_TIMES})""")
+def commute_summary(spark, sf):
+    times = T.listings(spark, sf).selectExpr("item as id", "(item * (k + 3)) % 60 as minutes", "case k when 0 then 'a' when 1 then 'bb' when 2 then 'ccc' else 'dddd' end as mode")
+    return G.commute_summary(times, 30)
+
+
 _CHECK = "SELECT item AS id, k AS pos, source, CASE (item * 3 + k * (item % 4)) % 4 WHEN 0 THEN 'active' WHEN 1 THEN 'removed' WHEN 2 THEN 'let_agreed' ELSE 'unknown' END AS status, item % 3 = 0 AS was_off FROM listings"
 
 
@@ -264,11 +274,15 @@ def check_breakdown(spark, sf):
     return _checks(spark, sf).groupBy("source").pivot("status", ["active", "removed", "let_agreed", "unknown"]).count().fillna(0)
 
 
-@query("SELECT run_id, view, click, purchase, CASE WHEN view = 0 THEN 0 ELSE round(click::DOUBLE / view, 6) END AS click_share, CASE WHEN click = 0 THEN 0 ELSE round(purchase::DOUBLE / click, 6) END AS purchase_share FROM (SELECT strftime(ts, '%Y-%m-%d') AS run_id, count(DISTINCT user_id) FILTER (event_type = 'view') AS view, count(DISTINCT user_id) FILTER (event_type = 'click') AS click, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1)")
+_DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS run_id, " + ", ".join(f"count(DISTINCT user_id) FILTER (event_type = '{x}') AS {x}, (epoch_us(max(ts) FILTER (event_type = '{x}')) - epoch_us(min(ts) FILTER (event_type = '{x}'))) / 1e6 AS {x}_seconds" for x in ("view", "click", "purchase")) + " FROM events GROUP BY 1"
+
+
+@query(f"SELECT run_id, view, click, purchase, CASE WHEN view = 0 THEN 0 ELSE round(click::DOUBLE / view, 6) END AS click_share, CASE WHEN click = 0 THEN 0 ELSE round(purchase::DOUBLE / click, 6) END AS purchase_share, round(view_seconds, 3) AS view_seconds, round(click_seconds, 3) AS click_seconds, round(purchase_seconds, 3) AS purchase_seconds FROM ({_DAYS})")
 def run_funnel(spark, sf):
-    rows = T.read(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_type").alias("stage"), F.col("user_id").alias("item"))
-    out = G.funnel(rows, ["view", "click", "purchase"])
-    return out.select("run_id", "view", "click", "purchase", F.round("click_share", 6).alias("click_share"), F.round("purchase_share", 6).alias("purchase_share"))
+    rows = T.read(spark, sf, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_type").alias("stage"), F.col("user_id").alias("item"), "ts")
+    out = G.funnel(rows, ["view", "click", "purchase"], ts="ts")
+    rounded = {"click_share": 6, "purchase_share": 6, "view_seconds": 3, "click_seconds": 3, "purchase_seconds": 3}
+    return out.select("run_id", "view", "click", "purchase", *(F.round(c, n).alias(c) for c, n in rounded.items()))
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS run_id, 's' || CAST(user_id % 4 AS VARCHAR) AS source, count(*) FILTER (event_type = 'view') AS pages, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'error') = 0 AS healthy FROM events GROUP BY 1, 2")

@@ -43,13 +43,21 @@ def fit_tiers(spark, sf):
     return S.fit_score(base(spark, sf).where("analysed")).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT unique_id, CASE WHEN office IN ('dedicated_room', 'separate_area') THEN 'good' WHEN office = 'shared_space' AND bedrooms >= 2 THEN 'neutral' WHEN office IN ('shared_space', 'none') THEN 'concern' WHEN bedrooms >= 2 OR desk = 'yes' OR (bedrooms = 1 AND spacious = 'true') THEN 'good' WHEN bedrooms = 0 OR spacious = 'false' THEN 'concern' ELSE 'neutral' END AS icon_workspace,
- CASE WHEN spacious = 'true' AND (walls IN ('solid_brick', 'concrete') OR glazing = 'yes') THEN 'good' WHEN spacious = 'false' AND noises <> '[]' THEN 'concern' WHEN spacious = 'false' AND bedrooms >= 2 THEN 'neutral' WHEN spacious = 'false' THEN 'concern' ELSE 'neutral' END AS icon_hosting,
- CASE WHEN hob IN ('gas', 'induction') THEN 'good' WHEN hob = 'electric' OR kitchen = 'dated' THEN 'concern' ELSE 'neutral' END AS icon_kitchen, CASE WHEN kind IN ('warehouse', 'period_conversion', 'victorian') OR regexp_matches(lower(tags_up), 'period|character|original|warehouse|conversion|high ceiling|exposed') THEN 'good' ELSE 'neutral' END AS icon_vibe,
- CASE WHEN spacious = 'true' THEN 'good' WHEN spacious = 'false' AND bedrooms < 2 THEN 'concern' ELSE 'neutral' END AS icon_space, CASE broadband WHEN 'fttp' THEN 'good' WHEN 'standard' THEN 'concern' ELSE 'neutral' END AS icon_internet, balcony = 'true' OR garden = 'true' AS has_outdoor FROM base WHERE analysed""", **_CTE)
+@query("""SELECT unique_id, w[1] AS icon_workspace, w[2] AS tip_workspace, h[1] AS icon_hosting, h[2] AS tip_hosting, k[1] AS icon_kitchen, k[2] AS tip_kitchen, v[1] AS icon_vibe, v[2] AS tip_vibe, s[1] AS icon_space, s[2] AS tip_space, i[1] AS icon_internet, i[2] AS tip_internet, outside AS has_outdoor FROM (SELECT unique_id, outside,
+ CASE WHEN office = 'dedicated_room' THEN ['good', 'Dedicated office room'] WHEN office = 'separate_area' THEN ['good', 'Separate work area'] WHEN office = 'shared_space' AND bedrooms >= 2 THEN ['neutral', '2-bed but office in shared space'] WHEN office = 'shared_space' THEN ['concern', 'Desk in shared space — no separation'] WHEN office = 'none' THEN ['concern', 'No viable workspace']
+  WHEN bedrooms >= 2 THEN ['good', '2+ beds — dedicated office possible'] WHEN desk = 'yes' THEN ['good', 'Can fit desk in bedroom'] WHEN bedrooms = 1 AND spacious = 'true' THEN ['good', 'Spacious 1-bed — desk space likely'] WHEN bedrooms = 0 THEN ['concern', 'Studio — no office separation'] WHEN spacious = 'false' THEN ['concern', 'Compact 1-bed — limited desk space'] ELSE ['neutral', 'Workspace potential unclear'] END AS w,
+ CASE spacious WHEN 'true' THEN CASE WHEN walls IN ('solid_brick', 'concrete') OR glazing = 'yes' THEN ['good', 'Spacious + good sound insulation'] ELSE ['neutral', 'Spacious but sound insulation unknown'] END
+  WHEN 'false' THEN CASE WHEN noises <> '[]' THEN ['concern', 'Compact space + noise concerns'] WHEN bedrooms >= 2 THEN ['neutral', '2-bed — compact but size less critical'] ELSE ['concern', 'Compact — limited hosting space'] END ELSE ['neutral', 'Hosting suitability unclear'] END AS h,
+ CASE WHEN hob IN ('gas', 'induction') THEN ['good', CASE hob WHEN 'gas' THEN 'Gas' ELSE 'Induction' END || ' hob' || CASE WHEN kitchen IN ('modern', 'decent') THEN ', ' || kitchen || ' kitchen' ELSE '' END] WHEN hob = 'electric' THEN ['concern', 'Electric hob' || CASE WHEN kitchen = 'dated' THEN ', dated kitchen' ELSE '' END]
+  WHEN kitchen = 'dated' THEN ['concern', 'Dated kitchen'] WHEN kitchen = 'modern' THEN ['neutral', 'Modern kitchen, hob type unknown'] WHEN kitchen = 'decent' THEN ['neutral', 'Decent kitchen, hob type unknown'] ELSE ['neutral', 'Kitchen details unclear'] END AS k,
+ CASE kind WHEN 'warehouse' THEN ['good', 'Warehouse — character property'] WHEN 'period_conversion' THEN ['good', 'Period Conversion — character property'] WHEN 'victorian' THEN ['good', 'Victorian — character property'] ELSE CASE WHEN regexp_matches(lower(tags_up), 'period|character|original|warehouse|conversion|high ceiling|exposed') THEN ['good', 'Character features noted']
+  WHEN kind = 'new_build' THEN ['neutral', 'New Build'] WHEN kind = 'purpose_built' THEN ['neutral', 'Purpose Built'] ELSE ['neutral', 'Style unclear'] END END AS v,
+ CASE WHEN spacious = 'true' THEN ['good', CASE WHEN outside THEN 'Spacious with outdoor space' ELSE 'Spacious layout' END] WHEN spacious = 'false' AND bedrooms >= 2 THEN ['neutral', '2-bed — size less critical'] WHEN spacious = 'false' THEN ['concern', 'Not spacious enough'] WHEN outside THEN ['neutral', 'Has outdoor space, size unclear'] ELSE ['neutral', 'Space unclear'] END AS s,
+ CASE broadband WHEN 'fttp' THEN ['good', 'Full fibre (FTTP) available'] WHEN 'fttc' THEN ['neutral', 'Superfast broadband (FTTC)'] WHEN 'cable' THEN ['neutral', 'Cable broadband'] WHEN 'standard' THEN ['concern', 'Basic broadband only'] ELSE ['neutral', 'Broadband not mentioned'] END AS i
+ FROM (SELECT *, balcony = 'true' OR garden = 'true' AS outside FROM base WHERE analysed))""", **_CTE)
 def lifestyle_icons(spark, sf):
     out = S.lifestyle_icons(base(spark, sf).where("analysed"))
-    return out.select("unique_id", *(f"icon_{x}" for x in ("workspace", "hosting", "kitchen", "vibe", "space", "internet")), "has_outdoor")
+    return out.select("unique_id", *(f"{k}_{x}" for x in ("workspace", "hosting", "kitchen", "vibe", "space", "internet") for k in ("icon", "tip")), "has_outdoor")
 
 
 @query("""SELECT unique_id, average, price_pcm - average AS difference, CASE WHEN p <= -10 THEN 'excellent' WHEN p <= 0 THEN 'good' WHEN p <= 10 THEN 'fair' WHEN p IS NOT NULL THEN 'poor' END AS value_rating, CASE WHEN price_pcm = average THEN 'At ' || o || ' average' ELSE '£' || format('{:,}', abs(price_pcm - average)) || CASE WHEN price_pcm < average THEN ' below ' ELSE ' above ' END || o || ' average' END AS value_note
@@ -127,10 +135,12 @@ def count_matching(spark, sf):
     return base(spark, sf).agg(F.count("*").alias("total"), F.count_if(hit).alias("shown"))
 
 
-@query(f"SELECT unique_id, price_pcm, bedrooms, round(latitude, 6)::DOUBLE AS latitude, round(longitude, 6)::DOUBLE AS longitude, value FROM base WHERE {_VIS} AND NOT is_off_market AND latitude IS NOT NULL", **_CTE)
+@query(f"""SELECT unique_id AS id, round(latitude, 6)::DOUBLE AS lat, round(longitude, 6)::DOUBLE AS lon, price_pcm AS price, bedrooms, overall_rating AS rating, fit_score, title, '/property/' || unique_id AS url, image_url, postcode,
+ CAST(CASE WHEN item % 60 <= 45 THEN item % 60 END AS INT) AS commute_minutes, adjusted AS value_rating, CASE WHEN analysed THEN hob || ' hob' END AS one_line, is_off_market FROM base WHERE {_VIS} AND NOT is_off_market AND latitude IS NOT NULL""", **_CTE)
 def map_markers(spark, sf):
-    out = Q.search_filter(base(spark, sf), Q.PropertyFilter()).where("latitude is not null and longitude is not null")
-    return out.select("unique_id", "price_pcm", "bedrooms", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"), "value")
+    b = base(spark, sf).withColumns({"commute_minutes": F.expr("case when item % 60 <= 45 then cast(item % 60 as int) end"), "one_line": F.when(F.col("analysed"), F.concat("hob", F.lit(" hob")))})
+    out = Q.map_markers(b, Q.PropertyFilter())
+    return out.withColumns({c: F.round(c, 6) for c in ("lat", "lon")})
 
 
 @query("SELECT b.unique_id, b.overall_rating, COALESCE(b.floor_area_sqm, CAST(b.total AS DOUBLE)) AS area, CASE WHEN b.floor_area_sqm IS NULL AND b.total IS NOT NULL THEN 'estimated' END AS area_source, b.epc, array_to_string(list_filter(CAST(json_extract(doc, '$.highlights') AS VARCHAR[]), lambda x: x <> '' AND x <> ','), '|') AS tags FROM base b WHERE analysed", **_CTE)
