@@ -21,6 +21,8 @@ from a histogram (one row for each length class and p-value step), never from th
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,11 @@ STEPS = 20  # p-value steps for each power of ten
 SEEMS_RANDOM = 3.0  # standard deviations that a random string may be off
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value computed once: the one element of a list has a name."""
+    return F.transform(F.array(value), use)[0]
+
+
 def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Spans of all matches, leftmost first, in code points; keep(match) drops some.
 
@@ -49,8 +56,6 @@ def located(text: Column, pattern: str, kind: int, keep=None) -> Column:
     both = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("g"), F.char_length(m).alias("n"), (keep(m) if keep else F.lit(True)).alias("k")))
 
     wide = lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["g"] + x["n"])
-    # a list of one element names a value, which is then computed once
-    named = lambda value, use: F.transform(F.array(value), use)[0]
 
     def inside(run, at):
         def step(acc, x):
@@ -140,8 +145,44 @@ def decided(base: str, more: str, limit: dict[int, int]) -> Column:
     """All base spans, and the discoveries that no base span overlaps, by start and kind."""
     picked = F.filter(more, lambda m: m["test"]["step"].isNotNull() & _reaches(m["test"], limit))
     new = F.transform(picked, lambda m: m["span"])
-    alone = F.filter(new, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.array_sort(F.concat(base, alone))
+    meets = lambda b, s: (b["start"] < s["end"]) & (s["start"] < b["end"])
+
+    # base spans in runs, each with its extent, so that a new span looks into few of them
+    def alone(runs: Column) -> Column:
+        return F.filter(new, lambda s: ~F.exists(runs, lambda g: meets(g, s) & F.exists(g["run"], lambda b: meets(b, s))))
+
+    extent = lambda run: F.struct(run[0]["start"].alias("start"), F.array_max(run["end"]).alias("end"), run.alias("run"))
+    free = F.when(F.size(base) > 0, named(F.transform(in_runs(F.col(base)), extent), alone)).otherwise(new)
+    return F.array_sort(F.concat(base, free))
+
+
+def in_runs(spans: Column) -> Column:
+    """A list in runs as long as their number, so that no work on it grows with its square; one at
+    least, empty for an empty list."""
+    n = F.greatest(F.size(spans), F.lit(1))
+    length = F.ceil(F.sqrt(n)).cast("int")
+    return F.transform(F.sequence(F.lit(1), n, length), lambda i: F.slice(spans, i, length))
+
+
+def replaced(text: Column, spans: Column, mark: str) -> Column:
+    """text with each span replaced by the mark, overlapping ones as one. spans by start, not empty.
+    The text is cut once for each run of spans and that piece for each span of the run."""
+
+    def of_run(run: Column, at: Column) -> Column:
+        """What the run makes of the text from at (the end of all spans before) to its last start."""
+
+        def piece(block: Column, s: Column, j: Column) -> Column:
+            done = F.greatest(at, F.coalesce(F.array_max(F.slice(run, 1, j)["end"]), at))
+            return named(done, lambda d: F.when(s["start"] >= d, F.concat(F.substring(block, d - at + 1, s["start"] - d), F.lit(mark))).otherwise(""))
+
+        block = F.substring(text, at + 1, F.greatest(F.array_max(run["start"]) - at, F.lit(0)))
+        return named(block, lambda b: F.array_join(F.transform(run, lambda s, j: piece(b, s, j)), ""))
+
+    def whole(runs: Column) -> Column:
+        ends = F.aggregate(runs, F.array(F.lit(0)), lambda at, run: F.concat(at, F.array(F.greatest(F.element_at(at, -1), F.array_max(run["end"])))))
+        return named(ends, lambda e: F.concat(F.array_join(F.zip_with(runs, F.slice(e, 1, F.size(runs)), of_run), ""), F.substring(text, F.element_at(e, -1) + 1, F.lit(1 << 30))))
+
+    return named(in_runs(spans), whole)
 
 
 def _reaches(test: Column, limit: dict[int, int]) -> Column:
@@ -176,15 +217,7 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     cols, (base, more, spans) = docs.columns, unused(docs, "_base", "_more", "_spans")
     found = stored(scanned(docs, base, more), "secrets")
     found = found.withColumn(spans, decided(base, more, thresholds(found, more)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        inside = s["start"] < acc["at"]
-        piece = F.concat(F.substring("text", acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(piece)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    text = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
+    text = replaced(F.col("text"), F.col(spans), mark)
     found = found.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text")))
     if "n_chars" in cols:
         found = found.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
