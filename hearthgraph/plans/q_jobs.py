@@ -123,8 +123,12 @@ def _split(select: str) -> list[str]:
 _NUMS = r"list_filter(list_concat(regexp_extract_all(lower({0}.address), '(?:flat|unit|apt|apartment)\s*(\d+[a-z]?)', 1), [regexp_extract(lower({0}.address), '^(\d+[a-z]?)\s+\w', 1)]), lambda x: x <> '')"
 
 
-@query(f"""SELECT id_a, id_b, round(total, 4) AS score, number FROM (SELECT s.id_a, s.id_b, number, s.score + 10 * number AS total, s.signals + CAST(number > 0 AS INT) AS n FROM scored s JOIN (SELECT a.unique_id AS id_a, b.unique_id AS id_b, CASE WHEN len({_NUMS.format('a')}) = 0 OR len({_NUMS.format('b')}) = 0 THEN 0e0 WHEN list_has_any({_NUMS.format('a')}, {_NUMS.format('b')}) THEN 1e0 ELSE -1e0 END AS number
- FROM listings a JOIN listings b ON a.bedrooms = b.bedrooms AND a.unique_id < b.unique_id) x ON s.id_a = x.id_a AND s.id_b = x.id_b) WHERE total >= 70 AND n >= 2""", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED)
+#: Whether two addresses share a number (1), have different ones (-1), or one has none (0).
+_NUMBERS = f"""SELECT a.unique_id AS id_a, b.unique_id AS id_b, CASE WHEN len({_NUMS.format('a')}) = 0 OR len({_NUMS.format('b')}) = 0 THEN 0e0 WHEN list_has_any({_NUMS.format('a')}, {_NUMS.format('b')}) THEN 1e0 ELSE -1e0 END AS number
+ FROM listings a JOIN listings b ON a.bedrooms = b.bedrooms AND a.unique_id < b.unique_id"""
+
+
+@query(f"""SELECT id_a, id_b, round(total, 4) AS score, number FROM (SELECT s.id_a, s.id_b, number, s.score + 10 * number AS total, s.signals + CAST(number > 0 AS INT) AS n FROM scored s JOIN numbers x ON s.id_a = x.id_a AND s.id_b = x.id_b) WHERE total >= 70 AND n >= 2""", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED, numbers=_NUMBERS)
 def match_score_ext(spark, sf):
     rows = _slim(spark, sf).join(T.listings(spark, sf).select("unique_id", "address", "title", "description"), "unique_id")
     pairs = W.text_signals(L.with_photo(L.strong_pairs(rows, ["outcode", "bedrooms"], street=True)))

@@ -12,15 +12,18 @@ from hearthgraph.operators import filters as B
 from hearthgraph.operators import history as H
 from hearthgraph.operators import jobs as W
 from hearthgraph.operators import joins as J
+from hearthgraph.operators import linkage as L
 from hearthgraph.operators import metrics as M
 from hearthgraph.operators import scoring as S
 from hearthgraph.operators import search as Q
 from hearthgraph.operators import tables as U
-from hearthgraph.plans.q_linkage import _KEYED, _PAIRS, _SCORED, _scored
+from hearthgraph.plans.q_jobs import _NUMBERS
+from hearthgraph.plans.q_linkage import _KEYED, _PAIRS, _SCORED, _slim
 from hearthgraph.plans.q_search import _BOT, _CTE, _PAIR, _PARTS, _TOP, _UNPACKED, _pairs, base
 from hearthgraph.plans.q_tables import _KEY, _files
 from hearthgraph.plans.registry import query
 from hearthgraph.sources import testdata as T
+from hearthgraph.sources.snapshots import stored
 
 _WORK = "SELECT *, CASE WHEN item % 7 = 0 THEN first_seen END AS reanalysis_requested_at, CASE WHEN item % 3 > 0 THEN 30 END AS commute_minutes, CASE WHEN item % 2 = 0 THEN 'w' END AS ward FROM listings"
 
@@ -260,19 +263,36 @@ def agreement_metrics(spark, sf):
     return top.union(d.select("label", "truth", "guess", F.lit(0.0), F.lit(0.0), rule))
 
 
-_LAB = "SELECT CASE WHEN id_a < id_b THEN id_a || '||' || id_b ELSE id_b || '||' || id_a END AS pair_id, score, score >= 60 AND signals >= 2 AS m, split_part(id_a, ':', 2) = split_part(id_b, ':', 2) AS t, CASE WHEN length(id_a || id_b) % 5 = 0 THEN 'uncertain' WHEN split_part(id_a, ':', 2) = split_part(id_b, ':', 2) THEN 'match' ELSE 'no_match' END AS label FROM scored WHERE score >= 60 AND signals >= 2"
+#: What annotators say: the same item is a match, but they err on some pairs and are unsure of others.
+_SAID = "CASE WHEN length(id_a || id_b) % 5 = 0 THEN 'uncertain' WHEN (split_part(id_a, ':', 2) = split_part(id_b, ':', 2)) = (length(id_a || id_b) % 7 > 0) THEN 'match' ELSE 'no_match' END"
+_SEEN = "s_full_postcode > 0 OR s_image_hash > 0 OR s_coordinates > 0 OR s_street > 0"
+_LAB = f"""SELECT *, label = 'match' AS t FROM (SELECT 'base' AS scorer, id_a || '||' || id_b AS pair_id, round(score, 4) AS score, score >= 60 AND signals >= 2 AS m, s_street > 0 AS street, s_price > 0 AS price, s_full_postcode > 0 AS postcode, {_SAID} AS label FROM scored WHERE {_SEEN}
+ UNION ALL SELECT 'ext', s.id_a || '||' || s.id_b, round(score + 10 * number, 4), score + 10 * number >= 70 AND signals + CAST(number > 0 AS INT) >= 2, s_street > 0, s_price > 0, s_full_postcode > 0, {_SAID.replace('id_a', 's.id_a').replace('id_b', 's.id_b')} FROM scored s JOIN numbers x ON s.id_a = x.id_a AND s.id_b = x.id_b WHERE {_SEEN}) WHERE label <> 'uncertain'"""
+_FOUR = {"tp": "m AND t", "fp": "m AND NOT t", "tn": "NOT m AND NOT t", "fn": "NOT m AND t"}
+_RATES = " UNION ALL ".join(f"SELECT scorer, 'signal', '{x} ' || CASE WHEN t THEN 'true' ELSE 'false' END, round(avg(CAST({x} AS INT)), 6) FROM lab WHERE m GROUP BY scorer, t" for x in ("street", "price", "postcode"))
 
 
-@query("""SELECT 'metrics' AS part, 'tp' AS name, count(*) FILTER (m AND t)::DOUBLE AS value FROM lab WHERE label <> 'uncertain' UNION ALL SELECT 'metrics', 'fp', count(*) FILTER (m AND NOT t) FROM lab WHERE label <> 'uncertain'
- UNION ALL SELECT 'errors', pair_id, round(score, 4) FROM lab WHERE label <> 'uncertain' AND NOT t UNION ALL SELECT 'missing', 'x:1||y:1', 0 UNION ALL SELECT 'sweep', CAST(th AS VARCHAR), count(*) FILTER (round(score, 4) >= th) FROM lab, range(60, 161, 20) r(th) WHERE label <> 'uncertain' AND t GROUP BY 2
- UNION ALL SELECT 'sweep', CAST(th AS VARCHAR), 0 FROM range(60, 161, 20) r(th) WHERE NOT EXISTS (SELECT 1 FROM lab WHERE label <> 'uncertain' AND t)""", keyed=_KEYED, pairs=_PAIRS, scored=_SCORED, lab=_LAB)
+@query(" UNION ALL ".join([f"SELECT scorer, 'metrics' AS part, '{k}' AS name, count(*) FILTER ({x})::DOUBLE AS value FROM lab GROUP BY 1" for k, x in _FOUR.items()] + [f"SELECT scorer, 'sweep {k}', CAST(th AS VARCHAR), count(*) FILTER ({x.replace('m ', 'score >= th ').replace('NOT score >= th', 'score < th')}) FROM lab, range(20, 121, 20) r(th) GROUP BY 1, 3" for k, x in _FOUR.items()]
+ + ["SELECT scorer, CASE WHEN m THEN 'false_positive' ELSE 'false_negative' END, pair_id, score FROM lab WHERE m <> t", "SELECT s, 'missing', 'x:1||y:1', 0 FROM (VALUES ('base'), ('ext')) v(s)", _RATES]),
+ keyed=_KEYED, pairs=_PAIRS, scored=_SCORED, numbers=_NUMBERS, lab=_LAB)
 def evaluate_matcher(spark, sf):
-    item = lambda c: F.split(c, ":")[1]
-    pairs = _scored(spark, sf).where("is_match").withColumns({"pair_id": X.pair_id(F.col("unique_id_a"), F.col("unique_id_b")), "score": F.round("score", 4)})
-    odd = F.length(F.concat("unique_id_a", "unique_id_b")) % 5 == 0
-    labels = pairs.select("pair_id", F.when(odd, "uncertain").when(item("unique_id_a") == item("unique_id_b"), "match").otherwise("no_match").alias("label"))
-    out = W.evaluate_matcher(pairs, labels.union(spark.createDataFrame([("x:1||y:1", "match")], "pair_id string, label string")), ["street", "price"], 60, 160, 20)
-    m = out["metrics"]
-    rows = [m.select(F.lit("metrics").alias("part"), F.lit(c).alias("name"), F.coalesce(F.col(c), F.lit(0)).cast("double").alias("value")) for c in ("tp", "fp")]
-    rows += [out["errors"].select(F.lit("errors"), "pair_id", "score"), out["missing"].select(F.lit("missing"), "pair_id", F.lit(0.0)), out["sweep"].select(F.lit("sweep"), F.col("threshold").cast("string"), F.col("tp").cast("double"))]
-    return reduce(lambda a, b: a.union(b), rows)
+    """The base and the extended scorer on all pairs that share a postcode, photo, place or street."""
+    rows = _slim(spark, sf).join(T.listings(spark, sf).select("unique_id", "address", "title", "description"), "unique_id")
+    pairs = W.text_signals(L.with_photo(L.strong_pairs(rows, ["outcode", "bedrooms"], street=True)))
+    pairs = stored(pairs.withColumn("pair_id", X.pair_id(F.col("unique_id_a"), F.col("unique_id_b"))), "pairs")
+    said = pairs.select("pair_id", F.expr(_SAID.replace("id_a", "unique_id_a").replace("id_b", "unique_id_b")).alias("label"))
+    said = said.union(spark.createDataFrame([("x:1||y:1", "match")], "pair_id string, label string"))
+    out = None
+    for name, scored in (("base", L.match_score(pairs)), ("ext", W.match_score_ext(pairs, {"address_number": 10.0}))):
+        seen = scored.where("s_full_postcode > 0 or gallery_matches > 0 or s_coordinates > 0 or s_street > 0").withColumn("score", F.round("score", 4))
+        e = W.evaluate_matcher(seen, said.join(seen.select("pair_id"), "pair_id", "left_semi").union(said.where("pair_id like 'x%'")), ["street", "price", "full_postcode"], 20, 120, 20)
+        one = F.lit(0.0)
+        parts = [e["metrics"].select(F.lit("metrics").alias("part"), F.lit(k).alias("name"), F.col(k).cast("double").alias("value")) for k in _FOUR]
+        parts += [e["sweep"].select(F.lit(f"sweep {k}"), F.col("threshold").cast("string"), F.col(k).cast("double")) for k in _FOUR]
+        parts += [e["errors"].select("kind", "pair_id", F.col("score").cast("double")), e["missing"].select(F.lit("missing"), "pair_id", one)]
+        side = F.regexp_replace(F.substring("signal", 3, 99), "full_postcode", "postcode")
+        parts += [e["signals"].select(F.lit("signal"), F.concat(side, F.lit(f" {t}")), F.round(rate, 6)) for t, rate in (("true", "tp_rate"), ("false", "fp_rate"))]
+        for p in parts:
+            p = p.toDF("part", "name", "value").select(F.lit(name).alias("scorer"), "part", "name", "value")
+            out = p if out is None else out.union(p)
+    return out
