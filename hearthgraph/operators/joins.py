@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from hearthgraph.functions import address as A
 from hearthgraph.functions import geo as G
+from hearthgraph.sources.snapshots import stored
 
 
 def listing_with_analysis(listings: DataFrame, analyses: DataFrame) -> DataFrame:
@@ -159,14 +162,51 @@ def labels_join(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFra
     return sure.join(pairs, "pair_id"), sure.join(pairs.select("pair_id"), "pair_id", "left_anti")
 
 
+def lowered(text: str) -> tuple[str, list[int] | None]:
+    """text in lower case, and the place in text of each of its characters where that is not the same."""
+    low = text.lower()
+    if len(low) == len(text):
+        return low, None
+    parts = [c.lower() for c in text]
+    return "".join(parts), [i for i, p in enumerate(parts) for _ in p]
+
+
+_TOKEN = re.compile(r"[^\W_]+")
+
+
+def positions(text: str, number: dict[str, int], longest: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The terms (words, and pairs of them) of a text by the place at which they end: numbers and ends
+    of whole ones, ascending by end, and of those that a cut inside a word would make, which count if
+    the cut is just there. No term has more than `longest` characters."""
+    low, place = lowered(text)
+    whole: list[tuple[int, int]] = []
+    torn: list[tuple[int, int]] = []
+    before = ""
+    for m in _TOKEN.finditer(low):
+        start, end = m.span()
+        for to in range(2, min(end - start, longest) + 1):
+            out = whole if start + to == end else torn
+            part = low[start : start + to]
+            for t in (part, f"{before} {part}") if before else (part,):
+                i = number.get(t)
+                if i is not None:
+                    out.append((place[start + to - 1] + 1 if place else start + to, i))
+        if end - start > 1:
+            before = low[start:end] if end - start <= longest else ""
+    return [i for _, i in whole], [e for e, _ in whole], [i for _, i in torn], [e for e, _ in torn]
+
+
 def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest: int = 20) -> DataFrame:
     """docs (id, text) and pairs (id_a, id_b) -> similarity over words and word pairs.
 
     Texts of fewer than `shortest` characters, and missing ones, give 0. If one text begins with
     the other, it is 1. Else both are cut to the length of the shorter, since portals cut texts.
     Weights: counts times ln((1+n)/(1+df)) + 1 over the whole texts of docs, of the `terms` most
-    frequent terms; each side of length one. A pair is one row through two joins by id; the
-    products are taken batch by batch from the two lists of words."""
+    frequent terms; each side of length one.
+
+    Each text becomes one vector of its terms' numbers by the places at which they end, so that a cut
+    is a search in it; these, not texts, meet in the pairs. Texts themselves are compared only where
+    the first `shortest` characters are the same."""
     words = lambda text: F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: F.char_length(x) > 1)
     rows = docs.select("id", words("text").alias("w")).where(F.size("w") > 0)
     two = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
@@ -176,32 +216,52 @@ def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest:
     counted = rows.select(F.explode(seen).alias("x")).select(F.explode("x.g").alias("t"), "x.all", "x.df")
     n = docs.count()
     top = counted.groupBy("t").agg(F.sum("df").alias("df"), F.sum("all").alias("all")).orderBy(F.desc("all"), "t").limit(terms)
-    idf = {r.t: math.log((1.0 + n) / (1.0 + r.df)) + 1 for r in top.collect()}  # `terms` rows
-    shared = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def vector(own: Sequence[str]) -> tuple[dict[str, float], float]:
-        w = shared.value
-        counts = Counter(t for t in [*own, *map(" ".join, zip(own, own[1:]))] if t in w)
-        x = {t: c * w[t] for t, c in counts.items()}
-        return x, math.sqrt(sum(v * v for v in x.values()))
+    found = top.collect()  # `terms` rows
+    weight = np.array([math.log((1.0 + n) / (1.0 + r.df)) + 1 for r in found])
+    shared = docs.sparkSession.sparkContext.broadcast({r.t: i for i, r in enumerate(found)})
+    kind = docs.schema["id"].dataType.simpleString()
+    fields = ("term", "end", "torn", "torn_end")
+    longest = max((len(r.t) for r in found), default=0)
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = shared.value
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                texts = [x or "" for x in part.column(1).to_pylist()]
+                made = list(zip(*(positions(t, number, longest) for t in texts)))
+                start = ["".join(map(str.lower, t[:shortest])).replace("ς", "σ")[:shortest] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int32()), pa.array(start, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in made)], ["id", "size", "start", *fields])
+
+    made = docs.select("id", "text").mapInArrow(vectors, f"id {kind}, size int, start string, {', '.join(f'{c} array<int>' for c in fields)}")
+    made = stored(made, "text-vectors")
 
     @pandas_udf("double")
-    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    def cosine(cut: pd.Series, *sides: pd.Series) -> pd.Series:
+        def weights(n: int, term: np.ndarray, end: np.ndarray, torn: np.ndarray, torn_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            here = np.concatenate([term[: np.searchsorted(end, n, "right")], torn[np.searchsorted(torn_end, n) : np.searchsorted(torn_end, n, "right")]])
+            which, count = np.unique(here, return_counts=True)
+            return which, count * weight[which]
+
         out = []
-        for p, q in zip(a, b):
-            (x, nx), (y, ny) = vector(list(p)), vector(list(q))
-            out.append(sum(v * y.get(t, 0.0) for t, v in x.items()) / (nx * ny) if nx and ny else 0.0)
+        for n, *x in zip(cut, *sides):
+            (i, v), (j, w) = weights(n, *x[:4]), weights(n, *x[4:])
+            _, p, q = np.intersect1d(i, j, assume_unique=True, return_indices=True)
+            size = math.sqrt((v * v).sum() * (w * w).sum())
+            out.append(float((v[p] * w[q]).sum()) / size if size else 0.0)
         return pd.Series(out, dtype="float64")
 
-    texts = lambda s: docs.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"_t{s}"))
-    both = pairs.join(texts("a"), "id_a", "left").join(texts("b"), "id_b", "left")
-    size = lambda s: F.coalesce(F.char_length(f"_t{s}"), F.lit(0))
-    both = both.withColumn("_n", F.least(size("a"), size("b")))
-    cut = [F.substring(f"_t{s}", F.lit(1), F.col("_n")) for s in "ab"]
-    empty = F.array().cast("array<string>")
-    compared = (F.col("_n") >= shortest) & (F.lower(cut[0]) != F.lower(cut[1]))
-    both = both.withColumn("_cos", cosine(*(F.when(compared, words(c)).otherwise(empty) for c in cut)))
-    same = (F.col("_n") >= shortest) & (F.lower(cut[0]) == F.lower(cut[1]))
-    out = F.when(same, 1.0).when(F.col("_n") >= shortest, F.col("_cos")).otherwise(0.0)
-    return both.withColumn("similarity", out).select(*pairs.columns, "similarity")
-
+    side = lambda s: made.select(F.col("id").alias(f"id_{s}"), *(F.col(c).alias(f"_{c}_{s}") for c in ("size", "start", *fields)))
+    both = pairs.join(side("a"), "id_a", "left").join(side("b"), "id_b", "left")
+    cut = F.least(*(F.coalesce(f"_size_{s}", F.lit(0)) for s in "ab"))
+    both = both.withColumn("_n", cut)
+    alike = F.coalesce((F.col("_n") >= shortest) & (F.col("_start_a") == F.col("_start_b")), F.lit(False))
+    none = F.array().cast("array<int>")
+    cos = cosine("_n", *(F.coalesce(f"_{c}_{s}", none) for s in "ab" for c in fields))
+    rows = both.withColumn("_cos", F.when(F.col("_n") >= shortest, cos).otherwise(0.0)).select(*pairs.columns, "_n", "_cos", alike.alias("_alike"))
+    rows = stored(rows, "text-pairs")
+    text = lambda s: docs.select(F.col("id").alias(f"id_{s}"), F.col("text").alias(f"_t{s}"))
+    near = rows.where("_alike").select("id_a", "id_b", "_n").distinct().join(text("a"), "id_a").join(text("b"), "id_b")
+    head = lambda s: F.lower(F.substring(F.col(f"_t{s}"), F.lit(1), F.col("_n")))
+    same = near.where(head("a") == head("b")).select("id_a", "id_b", F.lit(1.0).alias("_same")).distinct()
+    return rows.join(same, ["id_a", "id_b"], "left").withColumn("similarity", F.coalesce("_same", "_cos")).select(*pairs.columns, "similarity")
