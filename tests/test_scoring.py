@@ -98,9 +98,13 @@ def test_breaker_against_a_model(spark, sf):
     assert {r.event_id: r.state for r in registry.QUERIES["stream_breaker"](spark, sf).collect()} == want
 
 
-def test_entry_works_without_the_llm_subpackage(tmp_path):
-    for p in ("hearthgraph", "__spark_entry__.py"):
-        (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
+@pytest.mark.parametrize("left", ["nothing", "pipeline", "cache"])
+def test_entry_works_without_the_llm_subpackage(tmp_path, left):
+    for p in ("hearthgraph", "__spark_entry__.py", *(["corpus_pipeline.py"] if left != "nothing" else [])):
+        if (ROOT / p).exists():
+            (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
     shutil.rmtree(tmp_path / "hearthgraph" / "llm", ignore_errors=True)
+    if left == "cache":
+        (tmp_path / "hearthgraph" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 90 and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
