@@ -174,26 +174,53 @@ def lowered(text: str) -> tuple[str, list[int] | None]:
 _TOKEN = re.compile(r"[^\W_]+")
 
 
-def positions(text: str, number: dict[str, int], longest: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """The terms (words, and pairs of them) of a text by the place at which they end: numbers and ends
-    of whole ones, ascending by end, and of those that a cut inside a word would make, which count if
-    the cut is just there. No term has more than `longest` characters."""
-    low, place = lowered(text)
-    whole: list[tuple[int, int]] = []
-    torn: list[tuple[int, int]] = []
-    before = ""
-    for m in _TOKEN.finditer(low):
-        start, end = m.span()
-        for to in range(2, min(end - start, longest) + 1):
-            out = whole if start + to == end else torn
-            part = low[start : start + to]
-            for t in (part, f"{before} {part}") if before else (part,):
-                i = number.get(t)
-                if i is not None:
-                    out.append((place[start + to - 1] + 1 if place else start + to, i))
-        if end - start > 1:
-            before = low[start:end] if end - start <= longest else ""
-    return [i for _, i in whole], [e for e, _ in whole], [i for _, i in torn], [e for e, _ in torn]
+class Terms:
+    """The terms of a vocabulary (words, and pairs of them) in a text, by the places at which they end."""
+
+    def __init__(self, number: dict[str, int]):
+        self.longest = max(map(len, number), default=0)
+        self.words = {t: i for t, i in number.items() if " " not in t}
+        self.after: dict[str, dict[str, int]] = {}  # first word of a pair -> second -> number
+        for t, i in number.items():
+            first, space, second = t.partition(" ")
+            if space:
+                self.after.setdefault(first, {})[second] = i
+        self.seen: dict[str, tuple[int | None, list[tuple[int, int]]]] = {}
+
+    def word(self, w: str) -> tuple[int | None, list[tuple[int, int]]]:
+        """Its number, and length and number of its beginnings that are words of the vocabulary."""
+        got = self.seen.get(w)
+        if got is None:
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            got = self.seen[w] = self.words.get(w), [(n, i) for n in range(2, min(len(w) - 1, self.longest) + 1) if (i := self.words.get(w[:n])) is not None]
+        return got
+
+    def of(self, text: str) -> tuple[list[int], list[int], list[int], list[int]]:
+        """Numbers and ends of whole terms, ascending by end, and of those that a cut inside a word
+        would make, which count if the cut is just there. Ends are steps from one to the next."""
+        low, place = lowered(text)
+        at = (lambda i: place[i - 1] + 1) if place else (lambda i: i)
+        whole: list[tuple[int, int]] = []
+        torn: list[tuple[int, int]] = []
+        before = None
+        for m in _TOKEN.finditer(low):
+            start, end = m.span()
+            if end - start < 2:
+                continue
+            w = m.group()
+            own, parts = self.word(w) if end - start <= 64 else (self.words.get(w), [(n, i) for n in range(2, min(end - start - 1, self.longest) + 1) if (i := self.words.get(w[:n])) is not None])
+            if own is not None:
+                whole.append((at(end), own))
+            torn += [(at(start + n), i) for n, i in parts]
+            if before:
+                for second, i in before.items():
+                    if w.startswith(second):
+                        (whole if len(second) == end - start else torn).append((at(start + len(second)), i))
+            before = self.after.get(w)
+        torn.sort()
+        steps = lambda x: [b - a for a, b in zip([0, *(e for e, _ in x)], (e for e, _ in x))]
+        return [i for _, i in whole], steps(whole), [i for _, i in torn], steps(torn)
 
 
 def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest: int = 20) -> DataFrame:
@@ -221,15 +248,14 @@ def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest:
     shared = docs.sparkSession.sparkContext.broadcast({r.t: i for i, r in enumerate(found)})
     kind = docs.schema["id"].dataType.simpleString()
     fields = ("term", "end", "torn", "torn_end")
-    longest = max((len(r.t) for r in found), default=0)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        vocabulary = Terms(shared.value)
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
                 texts = [x or "" for x in part.column(1).to_pylist()]
-                made = list(zip(*(positions(t, number, longest) for t in texts)))
+                made = list(zip(*map(vocabulary.of, texts)))
                 start = ["".join(map(str.lower, t[:shortest])).replace("ς", "σ")[:shortest] for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int32()), pa.array(start, pa.string()), *(pa.array(x, pa.list_(pa.int32())) for x in made)], ["id", "size", "start", *fields])
 
@@ -239,7 +265,7 @@ def tfidf_cosine(docs: DataFrame, pairs: DataFrame, terms: int = 5000, shortest:
     @pandas_udf("double")
     def cosine(cut: pd.Series, *sides: pd.Series) -> pd.Series:
         def weights(n: int, term: np.ndarray, end: np.ndarray, torn: np.ndarray, torn_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            here = np.concatenate([term[: np.searchsorted(end, n, "right")], torn[np.searchsorted(torn_end, n) : np.searchsorted(torn_end, n, "right")]])
+            here = np.concatenate([term[: np.searchsorted(np.cumsum(end), n, "right")], torn[np.cumsum(torn_end) == n]])
             which, count = np.unique(here, return_counts=True)
             return which, count * weight[which]
 
