@@ -49,7 +49,7 @@ _RH = "pow(sin((radians(la) - radians(latitude)) / 2), 2) + cos(radians(latitude
 def nearest_reference(spark, sf):
     from hearthgraph.functions.geo import haversine_m
 
-    ref = T.read(spark, sf, "part").where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "51.5 + (p_partkey % 97) * 0.003 as latitude", "-0.05 + (p_partkey % 89) * 0.003 as longitude", "cast(null as string) as postcode")
+    ref = T.parts(spark, sf).where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "51.5 + (p_partkey % 97) * 0.003 as latitude", "-0.05 + (p_partkey % 89) * 0.003 as longitude", "cast(null as string) as postcode")
     rows = T.listings(spark, sf).where("latitude is not null").select("unique_id", "postcode", "latitude", "longitude")
     out = J.nearest_reference(rows, ref, 500.0).join(ref.select("label", F.col("latitude").alias("la"), F.col("longitude").alias("lo")), "label")
     return out.select("unique_id", F.round(haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")), 2).alias("metres"))
@@ -64,7 +64,7 @@ def nearest_reference_all(spark, sf):
     """Every listing: those with a place by distance, the others by postcode."""
     from hearthgraph.functions.geo import haversine_m
 
-    ref = T.read(spark, sf, "part").where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "case when p_partkey % 4 > 0 then 51.5 + (p_partkey % 97) * 0.003 end as latitude", "case when p_partkey % 4 > 0 then -0.05 + (p_partkey % 89) * 0.003 end as longitude", f"{T._FULL} as postcode")
+    ref = T.parts(spark, sf).where("p_partkey % 3 = 0").selectExpr("'p' || p_partkey as label", "case when p_partkey % 4 > 0 then 51.5 + (p_partkey % 97) * 0.003 end as latitude", "case when p_partkey % 4 > 0 then -0.05 + (p_partkey % 89) * 0.003 end as longitude", f"{T._FULL} as postcode")
     out = J.nearest_reference(T.listings(spark, sf).select("unique_id", "postcode", "latitude", "longitude"), ref, 500.0).join(ref.select("label", F.col("latitude").alias("la"), F.col("longitude").alias("lo")), "label", "left")
     return out.select("unique_id", F.round(haversine_m(F.col("latitude"), F.col("longitude"), F.col("la"), F.col("lo")), 2).alias("metres"), F.when(F.col("latitude").isNull(), F.col("label")).alias("by_code"))
 
@@ -150,7 +150,7 @@ def latest_change(spark, sf):
 
 @query(f"SELECT entity, change FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, obs_id DESC) AS n FROM ({_CH}) WHERE change < 0 AND entity % 7 IN (0, 3, 6)) WHERE n = 1 AND entity % 2 = 0")
 def latest_unsent_drop(spark, sf):
-    parts = T.read(spark, sf, "part").selectExpr("p_partkey as entity", "case when p_partkey % 7 in (0, 3, 6) then 'sent' else 'pending' end as notification_status", "p_partkey % 2 > 0 as told")
+    parts = T.parts(spark, sf).selectExpr("p_partkey as entity", "case when p_partkey % 7 in (0, 3, 6) then 'sent' else 'pending' end as notification_status", "p_partkey % 2 > 0 as told")
     return H.latest_unsent_drop(H.price_changes(T.observations(spark, sf)), parts).select("entity", "change")
 
 

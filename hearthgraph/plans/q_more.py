@@ -20,7 +20,7 @@ from hearthgraph.sources import testdata as T
 
 @query(f"SELECT entity, p_brand, old AS old_price, price AS new_price FROM (SELECT c.*, p_brand, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, obs_id DESC) AS n FROM ({_CH}) c JOIN part ON entity = p_partkey WHERE change < 0 AND p_partkey % 3 > 0 AND p_size % 2 = 0) WHERE n = 1")
 def unsent_drops(spark, sf):
-    parts = T.read(spark, sf, "part").selectExpr("p_partkey as entity", "p_brand", "case when p_partkey % 3 > 0 then 'sent' else 'pending' end as notification_status", "p_size % 2 > 0 as told")
+    parts = T.parts(spark, sf).selectExpr("p_partkey as entity", "p_brand", "case when p_partkey % 3 > 0 then 'sent' else 'pending' end as notification_status", "p_size % 2 > 0 as told")
     return H.unsent_drops(parts, H.price_changes(T.observations(spark, sf))).select("entity", "p_brand", "old_price", "new_price")
 
 

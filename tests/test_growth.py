@@ -3,7 +3,10 @@ that are never broadcast, rows dealt to all tasks."""
 
 import re
 
+from pyspark.sql import functions as F
+
 from hearthgraph.operators import linkage as L
+from hearthgraph.plans import registry
 from hearthgraph.sources import testdata as T
 
 
@@ -39,3 +42,32 @@ def test_entries_of_hashes_are_not_broadcast(spark, sf):
 def test_cells_around_are_not_broadcast(spark, sf):
     a, b = L._sides(T.listings(spark, sf).select("unique_id", "latitude", "longitude"))
     assert joins(L.proximity_join(a, b, 50.0), "_x") == {"SortMergeJoin"}
+
+
+def test_equal_places_are_one_entry(spark):
+    from hearthgraph.operators import joins as J
+
+    df = spark.range(400).selectExpr("cast(id as string) unique_id", "cast(null as string) postcode", "51.5e0 latitude", "0.001e0 * (id % 2) longitude")
+    ref = spark.range(400).selectExpr("concat('r', 1000 + id) label", "cast(null as string) postcode", "51.5e0 latitude", "0.001e0 * (id % 2) longitude")
+    out = J.nearest_reference(df, ref, 500.0)
+    assert sorted({(r.longitude, r.label) for r in out.collect()}) == [(0.0, "r1000"), (0.001, "r1001")]
+    assert joins(out, "ring") == {"SortMergeJoin"}
+    logical = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [unique_id" not in logical  # rows are not searched one by one
+
+
+def test_counted_pairs_are_the_listed_ones(spark):
+    rows = [(f"u{i * 37 % 100:02}", s, "x" if i % 3 else "y") for i, s in enumerate([["a"], ["b"], ["a", "b"], ["c"], [], ["c", "a"]] * 9)]
+    rows += [("z1", ["a"], "one"), ("z2", ["a"], "one"), ("z3", ["a"], None), ("z4", ["b"], None)]
+    df = spark.createDataFrame(rows, "unique_id string, sources array<string>, block string")
+    listed = L.candidate_pairs(df, ["block"]).groupBy(F.col("block_a").alias("block")).agg(F.count("*").alias("pairs"), F.min("unique_id_a").alias("first_a"), F.max("unique_id_b").alias("last_b"))
+    assert sorted(map(tuple, L.pair_extents(df, ["block"]).collect())) == sorted(map(tuple, listed.collect()))
+
+
+def test_signals_without_weight_cost_nothing(spark, sf):
+    from hearthgraph.operators import jobs as W
+
+    assert not W.street_can_match(["address", "title"], {"address_number": 10.0})
+    assert W.street_can_match(["address"], {"address_number": 25.0}) and W.street_can_match(["title"], {"title": 25.0})
+    df = registry.QUERIES["match_score_ext"](spark, sf)
+    assert "ArrowEvalPython" not in plan(df)  # likeness of texts, of weight 0
