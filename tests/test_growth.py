@@ -71,3 +71,33 @@ def test_signals_without_weight_cost_nothing(spark, sf):
     assert W.street_can_match(["address"], {"address_number": 25.0}) and W.street_can_match(["title"], {"title": 25.0})
     df = registry.QUERIES["match_score_ext"](spark, sf)
     assert "ArrowEvalPython" not in plan(df)  # likeness of texts, of weight 0
+
+
+def test_hashes_of_a_key_meet_as_before(spark):
+    """Equal hashes of two keys, hashes of one value written twice, null keys and hashes."""
+    hashes = ["00000000000000ff", "00000000000000FF", "0000000000000fff", "80000000000000ff", "ff000000000000ff", None, "123"]
+    rows = [(f"u{i:02}", h, k, n) for i, (h, k, n) in enumerate((h, k, n) for h in hashes for k in ("x", "y", None) for n in (1, None))]
+    a, b = L._sides(spark.createDataFrame(rows, "id string, h string, k string, n int"))
+    got = [tuple(r) for r in L.hamming_join(a, b, "h_a", "h_b", a_key=["k_a", "n_a"], b_key=["k_b", "n_b"]).select("id_a", "id_b", "distance").collect()]
+    known = [(i, int(h, 16), k, n) for i, h, k, n in rows if h and len(h) == 16]
+    near = lambda x, y: (x ^ y).bit_count()
+    want = [(i, j, near(x, y)) for i, x, k, n in known for j, y, m, o in known if k and n and (k, n) == (m, o) and near(x, y) <= 8]
+    assert sorted(got) == sorted(want) and {d for *_, d in want} == {0, 1, 4, 5, 7, 8}
+
+
+def test_places_of_a_key_meet_only_in_it(spark):
+    rows = [(f"u{i}", 51.5 + i % 3 * 1e-4, 0.0, "xy"[i % 2] if i < 8 else None) for i in range(10)]
+    a, b = L._sides(spark.createDataFrame(rows, "id string, latitude double, longitude double, k string"))
+    got = {(r.id_a, r.id_b) for r in L.proximity_join(a, b, 50.0, a_key=["k_a"], b_key=["k_b"]).collect()}
+    every = {(r.id_a, r.id_b) for r in L.proximity_join(a, b, 50.0).where("k_a = k_b").collect()}
+    assert got == every and len(got) == 32
+
+
+def test_records_read_from_files_are_not_broadcast(spark, sf):
+    """Files are several times smaller than the rows in them, so Spark would broadcast too much."""
+    records = L.with_hashes(L.keyed(T.listings(spark, sf)), T.images(spark, sf))
+    pairs = L.strong_pairs(records, ["outcode", "bedrooms"])
+    assert "_explode" not in plan(pairs) and "md5" not in plan(pairs)  # records are made once
+    assert "BroadcastHashJoin" not in plan(pairs)
+    rows = L.grouped(T.listings(spark, sf), spark.createDataFrame([], "unique_id string, group_id string"))
+    assert "BroadcastHashJoin [unique_id" not in plan(L.fuse(rows, T.images(spark, sf)))
