@@ -101,3 +101,13 @@ def test_records_read_from_files_are_not_broadcast(spark, sf):
     assert "BroadcastHashJoin" not in plan(pairs)
     rows = L.grouped(T.listings(spark, sf), spark.createDataFrame([], "unique_id string, group_id string"))
     assert "BroadcastHashJoin [unique_id" not in plan(L.fuse(rows, T.images(spark, sf)))
+
+
+def test_counting_tiers_makes_its_records_once(spark, sf, monkeypatch):
+    kept = []
+    real = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: kept.append((name, df)) or real(df, name))
+    out = L.tier_counts(L.keyed(T.listings(spark, sf)).select("unique_id", "source", "price_pcm", "bedrooms", "outcode", "street", "full_postcode", "latitude", "longitude", "phash"), ["outcode", "bedrooms"])
+    assert out.count() == 4 and kept[0][0] == "counted"
+    made = "regexp_extract"  # as keyed() does
+    assert made in plan(kept[0][1]) and not any(made in plan(df) for _, df in kept[1:])
