@@ -111,3 +111,7 @@ def test_counting_tiers_makes_its_records_once(spark, sf, monkeypatch):
     assert out.count() == 4 and kept[0][0] == "counted"
     made = "regexp_extract"  # as keyed() does
     assert made in plan(kept[0][1]) and not any(made in plan(df) for _, df in kept[1:])
+
+
+def test_features_are_looked_for_once(spark, sf):
+    assert "rlike" not in plan(registry.QUERIES["feature_overlap"](spark, sf)).lower()
