@@ -115,3 +115,30 @@ def test_counting_tiers_makes_its_records_once(spark, sf, monkeypatch):
 
 def test_features_are_looked_for_once(spark, sf):
     assert "rlike" not in plan(registry.QUERIES["feature_overlap"](spark, sf)).lower()
+
+
+def test_searched_rows_keep_their_tasks(spark, sf):
+    """Spark joins tasks of a shuffle by compressed size unless a number is asked for; no side is broadcast."""
+    for name in ("search_page", "map_markers", "fit_score", "recompute_stale"):
+        text = plan(registry.QUERIES[name](spark, sf))
+        assert re.search(r"hashpartitioning\(unique_id#\d+, 4\), REPARTITION_BY_NUM", text), name
+        assert "BroadcastHashJoin [unique_id" not in text, name
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_tasks_follow_the_parts(spark, tmp_path):
+    for parts, tasks in ((10, 4), (200_000, 11)):
+        spark.range(parts).selectExpr("id as p_partkey").write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+        assert T.tasks(spark, str(tmp_path)) == tasks
+
+
+def test_searches_share_their_rows(spark, sf):
+    from hearthgraph.operators import search as Q
+    from hearthgraph.plans import q_search as S
+
+    text = plan(registry.QUERIES["search_filter"](spark, sf))
+    assert text.count("from_json") <= 2 and "Union" not in text
+    base = S.base(spark, sf).select("unique_id", "image_url", "has_gallery", "enrichment_status", "notification_status", "overall_rating", "analysed", "price_pcm", "bedrooms", "is_off_market", "fit_score", "has_outdoor_space")
+    filters = [Q.PropertyFilter(min_price=1000, bedrooms=2), Q.PropertyFilter(min_fit=50, outdoor="no"), Q.PropertyFilter(off_market="only")]
+    got = {(r.search, r.unique_id) for r in Q.search_filters(base, filters).select("search", "unique_id").collect()}
+    assert got == {(i, r.unique_id) for i, f in enumerate(filters) for r in Q.search_filter(base, f).select("unique_id").collect()}
