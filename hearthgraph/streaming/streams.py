@@ -44,7 +44,7 @@ def price_changes(obs: DataFrame, key: str = "entity", delay: str = "365 days",
         old = before[0] if before else None
         return (price,), (i, old, price, price - old) if old is not None and old != price else None
 
-    return in_order(obs, key, "ts", "obs_id", {"price": "int"}, "obs_id long, old_price int, new_price int, change int", "price int", take, None, delay, forget)
+    return in_order(obs, key, "ts", "obs_id", {"price": "int"}, "obs_id long, old_price int, new_price int, change int", take, None, delay, forget)
 
 
 def seen_filter(listings: DataFrame, seen: DataFrame, key: str = "unique_id", ts: str = "first_seen", delay: str = "1 hour") -> DataFrame:
@@ -70,7 +70,7 @@ def breaker(events: DataFrame, key: str, k: int, cooldown_s: int, delay: str = "
             return (0, -1), (i, name)
         return (streak + 1, t if opened >= 0 or streak + 1 >= k else -1), (i, name)
 
-    return in_order(events, key, "ts", "event_id", {"failed": "boolean"}, "event_id long, state string", "streak int, opened long", take, None, delay, forget)
+    return in_order(events, key, "ts", "event_id", {"failed": "boolean"}, "event_id long, state string", take, None, delay, forget)
 
 
 def off_market_intervals(log: DataFrame, key: str, row_id: str, off: Column, reason: str, delay: str, forget: str | None = None) -> DataFrame:
@@ -90,7 +90,7 @@ def off_market_intervals(log: DataFrame, key: str, row_id: str, off: Column, rea
         return (before[0], None, before[1]) if before[0] is not None else None
 
     rows = log.select(key, "ts", row_id, off.alias("_off"), F.col(reason).alias("_reason"))
-    return in_order(rows, key, "ts", row_id, {"_off": "boolean", "_reason": "string"}, "off_at long, back_at long, reason string", "since long, reason string", take, close, delay, forget)
+    return in_order(rows, key, "ts", row_id, {"_off": "boolean", "_reason": "string"}, "off_at long, back_at long, reason string", take, close, delay, forget)
 
 
 def funnel(events: DataFrame, width: str, delay: str, slide: str | None = None) -> DataFrame:

@@ -142,3 +142,12 @@ def test_searches_share_their_rows(spark, sf):
     filters = [Q.PropertyFilter(min_price=1000, bedrooms=2), Q.PropertyFilter(min_fit=50, outdoor="no"), Q.PropertyFilter(off_market="only")]
     got = {(r.search, r.unique_id) for r in Q.search_filters(base, filters).select("search", "unique_id").collect()}
     assert got == {(i, r.unique_id) for i, f in enumerate(filters) for r in Q.search_filter(base, f).select("unique_id").collect()}
+
+
+def test_streamed_keys_share_states(spark, tmp_path):
+    """A call into the state for each key made a stream's time that of its keys."""
+    from hearthgraph.streaming import streams as R
+
+    spark.range(1).selectExpr("id as entity", "id as obs_id", "timestamp_seconds(id) as ts", "1 as price").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("entity long, obs_id long, ts timestamp, price int").parquet(f"{tmp_path}/in")
+    assert "xxhash64(entity" in R.price_changes(stream)._jdf.queryExecution().analyzed().toString()
