@@ -133,14 +133,14 @@ def backfill_listings(golden: DataFrame, aliases: DataFrame, listings: DataFrame
 
 def orphans(images: DataFrame, files: DataFrame, records: DataFrame, key: str = "cache_name") -> tuple[DataFrame, DataFrame]:
     """files (folder, key): those that no image names, and the folders that no record has."""
-    lost = files.distinct().join(images.select(key).distinct(), key, "left_anti")
-    folders = files.select("folder").distinct().join(records.select(F.col("unique_id").alias("folder")), "folder", "left_anti")
+    lost = files.distinct().join(images.select(key).distinct().hint("merge"), key, "left_anti")
+    folders = files.select("folder").distinct().join(records.select(F.col("unique_id").alias("folder")).hint("merge"), "folder", "left_anti")
     return lost, folders
 
 
 def image_audit(images: DataFrame, files: DataFrame, key: str = "cache_name") -> DataFrame:
     """Missing files by listing and type; loses_all if a listing has no photo left."""
-    seen = images.join(files.select(key).distinct().withColumn("_f", F.lit(1)), key, "left")
+    seen = images.join(files.select(key).distinct().withColumn("_f", F.lit(1)).hint("merge"), key, "left")
     return seen.groupBy("unique_id").agg(
         F.count("*").alias("images"),
         *(F.sum(F.when((F.col("image_type") == t) & F.col("_f").isNull(), 1).otherwise(0)).alias(f"missing_{t}") for t in ("gallery", "floorplan")),

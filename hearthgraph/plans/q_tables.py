@@ -124,7 +124,8 @@ def dedupe_json_array(spark, sf):
 @query(f"""SELECT unique_id, count(*) AS images, CAST(sum(CASE WHEN image_type = 'gallery' AND f IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_gallery, CAST(sum(CASE WHEN image_type = 'floorplan' AND f IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing_floorplan, count(f) = 0 AS loses_all
  FROM (SELECT i.*, c.key AS f FROM (SELECT *, {_KEY} AS key FROM images) i LEFT JOIN (SELECT DISTINCT {_KEY} AS key FROM images WHERE image_id % 5 <> 0) c ON i.key = c.key) GROUP BY 1""")
 def image_audit(spark, sf):
-    return U.image_audit(*_files(spark, sf))
+    im, files = _files(spark, sf)
+    return U.image_audit(im.select("unique_id", "image_type", "cache_name").repartition(T.tasks(spark, sf), "cache_name"), files)
 
 
 @query(f"""SELECT unique_id, count(*) AS expected, count(f) AS cached, count(f) < count(*) AS partial FROM (SELECT g.unique_id, c.key AS f FROM (SELECT *, {_KEY} AS key, row_number() OVER (PARTITION BY unique_id ORDER BY image_id) AS n FROM images WHERE image_type = 'gallery') g
