@@ -151,3 +151,14 @@ def test_streamed_keys_share_states(spark, tmp_path):
     spark.range(1).selectExpr("id as entity", "id as obs_id", "timestamp_seconds(id) as ts", "1 as price").write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema("entity long, obs_id long, ts timestamp, price int").parquet(f"{tmp_path}/in")
     assert "xxhash64(entity" in R.price_changes(stream)._jdf.queryExecution().analyzed().toString()
+
+
+def test_photos_keep_their_tasks_and_are_not_broadcast(spark, sf):
+    for name, key in (("image_audit", "cache_name"), ("orphan_files", "cache_name")):
+        text = plan(registry.QUERIES[name](spark, sf))
+        assert re.search(rf"hashpartitioning\({key}#\d+, 4\), REPARTITION_BY_NUM", text), name
+        assert "BroadcastHashJoin" not in text, name
+
+
+def test_galleries_are_not_broadcast(spark, sf):
+    assert joins(registry.QUERIES["gallery_match_count"](spark, sf), "item") == {"SortMergeJoin"}
