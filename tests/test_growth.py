@@ -162,3 +162,10 @@ def test_photos_keep_their_tasks_and_are_not_broadcast(spark, sf):
 
 def test_galleries_are_not_broadcast(spark, sf):
     assert joins(registry.QUERIES["gallery_match_count"](spark, sf), "item") == {"SortMergeJoin"}
+
+
+def test_upserting_does_not_resolve(spark, sf, monkeypatch):
+    from hearthgraph.operators import jobs as W
+
+    monkeypatch.setattr(W, "resolve_against_anchors", None)
+    assert registry.QUERIES["pipeline_upsert"](spark, sf).count() > 0
