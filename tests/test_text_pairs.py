@@ -62,3 +62,36 @@ def test_a_word_without_end(spark):
     docs = [(1, "flat " * 3 + "w" * 100_000), (2, "flat " * 4 + "v" * 100_000)]
     found = J.tfidf_cosine(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(1, 2)], "id_a long, id_b long"), 2)
     assert found.first().similarity > 0.9
+
+
+def test_top_terms_with_ties(spark, monkeypatch):
+    """Pairs of frequent words alone are counted, but where ties would decide all are."""
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(vocab[min(int(rnd.expovariate(0.3)), 29)] for _ in range(rnd.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "once only")]
+    counts, df = Counter(), Counter()
+    for _, t in docs:
+        counts.update(grams(t or ""))
+        df.update(set(grams(t or "")))
+    frame = spark.createDataFrame(docs, "id long, text string")
+    kept = []
+    real = J._count_terms
+    monkeypatch.setattr(J, "_count_terms", lambda *x: kept.append(1) or real(*x))
+    ties = 0
+    for terms in (1, 5, 20, 32, 2000):
+        kept.clear()
+        assert J.top_terms(frame, terms) == [(t, df[t]) for t in sorted(counts, key=lambda t: (-counts[t], t))[:terms]]
+        ties += len(kept) > 1
+    assert 0 < ties < 5
+    assert J.top_terms(frame.where("id = 60"), 5) == []
+
+
+def test_texts_are_cut_before_they_meet(spark, monkeypatch):
+    """What is kept of a long text for a pair with a short one is no longer than that of the short one."""
+    kept = {}
+    real = J.stored
+    monkeypatch.setattr(J, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    docs = [(1, " ".join(f"w{i}" for i in range(3000))), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9")]
+    found = J.tfidf_cosine(spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame([(1, 2)], "id_a long, id_b long"))
+    assert 0 < found.first().similarity < 1
+    assert kept["text-vectors"].selectExpr("max(size(term))").first()[0] < 20
