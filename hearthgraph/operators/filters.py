@@ -29,17 +29,25 @@ class Criteria:
     max_bedrooms: int
 
 
+def fits(c: Criteria) -> Column:
+    return F.col("price_pcm").between(c.min_price, c.max_price) & F.col("bedrooms").between(c.min_bedrooms, c.max_bedrooms)
+
+
 def criteria_filter(df: DataFrame, c: Criteria) -> DataFrame:
-    return df.where(F.col("price_pcm").between(c.min_price, c.max_price) & F.col("bedrooms").between(c.min_bedrooms, c.max_bedrooms))
+    return df.where(fits(c))
+
+
+def with_location(df: DataFrame, outcodes: DataFrame, name: str, strict: bool = False) -> DataFrame:
+    """df with a flag: its outcode is among outcodes (one column), or it has no postcode, unless strict."""
+    known = outcodes.select(F.upper("outcode").alias("_out")).distinct().withColumn("_known", F.lit(True))
+    marked = df.withColumn("_out", A.extract_outcode(F.col("postcode"))).join(known, "_out", "left")
+    placed = F.col("_known").isNotNull() if strict else F.col("_known").isNotNull() | F.col("postcode").isNull()
+    return marked.select(*df.columns, placed.alias(name))
 
 
 def location_filter(df: DataFrame, outcodes: DataFrame, strict: bool = False) -> DataFrame:
     """Rows whose outcode is among outcodes (one column); rows without a postcode unless strict."""
-    keyed = df.withColumn("_out", A.extract_outcode(F.col("postcode")))
-    found = keyed.join(outcodes.select(F.upper("outcode").alias("_out")).distinct(), "_out", "left_semi")
-    if not strict:
-        found = found.unionByName(keyed.where("postcode is null"))
-    return found.select(df.columns)
+    return with_location(df, outcodes, "_location", strict).where("_location").drop("_location")
 
 
 def location_rejects(df: DataFrame, outcodes: DataFrame) -> DataFrame:
@@ -86,10 +94,15 @@ QUEUES = {
 }
 
 
+def queued(df: DataFrame, kind: str, most: int = 3, since: str = "1970-01-01") -> DataFrame:
+    """Rows of a queue in no order, for joins."""
+    return df.where(QUEUES[kind].format(most=most, since=since))
+
+
 def work_queue(df: DataFrame, kind: str, without: DataFrame | None = None, most: int = 3, since: str = "1970-01-01", outcode: str | None = None) -> DataFrame:
     """Rows of a queue, the longest waiting first; without: ids to leave out; outcode: only full
     postcodes of it."""
-    found = df.where(QUEUES[kind].format(most=most, since=since))
+    found = queued(df, kind, most, since)
     if outcode is not None:
         found = found.where(F.upper("postcode").startswith(outcode.upper() + " "))
     if without is not None:

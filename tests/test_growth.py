@@ -169,3 +169,32 @@ def test_upserting_does_not_resolve(spark, sf, monkeypatch):
 
     monkeypatch.setattr(W, "resolve_against_anchors", None)
     assert registry.QUERIES["pipeline_upsert"](spark, sf).count() > 0
+
+
+def test_a_run_carries_what_decides_fates(spark, sf, monkeypatch):
+    """Texts and addresses of pages of all scraped records were written and shuffled with them."""
+    from hearthgraph.operators import jobs as W
+    from hearthgraph.plans import q_jobs
+
+    kept = {}
+    for module in (W, L):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, real=real: kept.setdefault(name, df.columns) and real(df, name))
+    out = q_jobs._run(spark, sf)
+    assert not {"title", "description", "url", "image_url"} & {*kept["run"], *kept["members"], *kept["fates"]}
+    assert "address" in kept["run"] and not {"address", "postcode"} & {*kept["members"], *kept["fates"]}
+    assert out["fates"].count() > 0 and out["saved"].count() == out["fates"].where("fate = 'saved' and not retry").count()
+
+
+def test_anchors_that_meet_no_new_record_are_left_out(spark, sf, monkeypatch):
+    from hearthgraph.operators import jobs as W
+
+    r, seen = T.listings(spark, sf), []
+    real = L.qualifying_pairs
+    monkeypatch.setattr(L, "qualifying_pairs", lambda df, *x: seen.append(df) or real(df, *x))
+    new = r.where("k > 1 and area = 'E8' and bedrooms = 1")
+    every = W.resolve_against_anchors(new, r.where("k < 2"), images=T.images(spark, sf))
+    own = W.resolve_against_anchors(new, r.where("k < 2 and postcode like 'E8%' and bedrooms = 1"), images=T.images(spark, sf))
+    assert {(x.postcode[:2], x.bedrooms) for x in seen[0].where("is_anchor").collect()} == {("E8", 1)}
+    got, want = (sorted((tuple(map(str, x)) for x in df.collect())) for df in (every, own))
+    assert got == want and any("merged_into_anchor" in x for x in got)
