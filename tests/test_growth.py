@@ -198,3 +198,16 @@ def test_anchors_that_meet_no_new_record_are_left_out(spark, sf, monkeypatch):
     assert {(x.postcode[:2], x.bedrooms) for x in seen[0].where("is_anchor").collect()} == {("E8", 1)}
     got, want = (sorted((tuple(map(str, x)) for x in df.collect())) for df in (every, own))
     assert got == want and any("merged_into_anchor" in x for x in got)
+
+
+def test_a_run_sorts_no_queue(spark, sf, monkeypatch):
+    """Anchors and retries are joined, so their order is nothing to the run."""
+    from hearthgraph.operators import jobs as W
+    from hearthgraph.plans import q_jobs
+
+    plans = {}
+    for module in (W, L):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, real=real: plans.setdefault(name, plan(df)) and real(df, name))
+    q_jobs._run(spark, sf)
+    assert "is_anchor" in plans["members"] and not any("rangepartitioning" in p for p in plans.values())
