@@ -211,3 +211,20 @@ def test_a_run_sorts_no_queue(spark, sf, monkeypatch):
         monkeypatch.setattr(module, "stored", lambda df, name, real=real: plans.setdefault(name, plan(df)) and real(df, name))
     q_jobs._run(spark, sf)
     assert "is_anchor" in plans["members"] and not any("rangepartitioning" in p for p in plans.values())
+
+
+def test_rare_boilerplate_is_looked_for_at_once(spark):
+    """Patterns that few texts have are one search, and what is cut is what each in turn would cut."""
+    from functools import reduce
+
+    from hearthgraph.functions import text as X
+
+    texts = ["Property Reference: AB1. bright", "photos to folProperty reference x. low shortly. flat", "EPC: C", "the property ombudsEPC rating: Cman scheme: membership no: 5. end", "PropOmbudsmanerty", "we are proud to offer this delightful big flat. x", "Viewing highly recommended contact OpenRent today for a viewing! x", "viewing highly  recommended. Contact openrent today now. y", "a\nSUMMARY rent £1,200 b", "follow us on Instagram/x. y", "All images are for illustrative purposes only. z", "client money protection (CMP) provided by: x. y", "Whilst we use reasonable endeavours a\n\nb", "these particulars are intended to give a fair description c", "our China desk is here for you now. d", "2 weeks deposit: £5 £900 pcm available from 1/2/2025", "", None, "nothing here"]
+    every = lambda c: reduce(lambda x, p: F.regexp_replace(x, p, ""), X.BOILERPLATE, c)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", X.clean_description(F.col("t")).alias("got"), X.collapse(every(F.coalesce("t", F.lit("")))).alias("want"))
+    assert all(r.got == r.want for r in got.collect())
+    assert "case when rlike" in plan(got.select("got")).lower()
+    for (start, end), needed in X.RARE.items():  # each pattern has what is looked for
+        words = needed.removeprefix("(?i)").split("|")
+        assert all(any(w in p.lower() for w in words) for p in X.BOILERPLATE[start:end])
