@@ -75,3 +75,12 @@ def test_places_around_meet_once(spark):
     got = [(r.i_a, r.i_b) for r in L.proximity_join(a, b, 100.0).collect()]
     assert sorted(got) == sorted((r.i_a, r.i_b) for r in every.collect()) and len(got) > 400
     assert "sequence(" in L.proximity_join(a, b, 100.0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_rows_of_a_hash_are_dealt(spark, records):
+    """Small keys need few first bits: 9 rows of a hash at two bits; results do not depend on them."""
+    a, b = L._sides(records.select("unique_id", "phash"))
+    got = [sorted(map(tuple, L.hamming_join(a, b, "phash_a", "phash_b", bits=bits).select("unique_id_a", "unique_id_b", "distance").collect())) for bits in (1, 2, 6, 10)]
+    assert got[0] == got[1] == got[2] == got[3] and len(got[0]) > 300
+    pairs = L.strong_pairs(records.drop("hashes"), BLOCK)
+    assert "sequence(0, 8," in pairs._jdf.queryExecution().analyzed().toString()
