@@ -84,3 +84,34 @@ def test_few_rows_of_a_hash_are_dealt(spark, records):
     assert got[0] == got[1] == got[2] == got[3] and len(got[0]) > 300
     pairs = L.strong_pairs(records.drop("hashes"), BLOCK)
     assert "sequence(0, 8," in pairs._jdf.queryExecution().analyzed().toString()
+
+
+def test_matchers_are_evaluated_in_one_count(spark):
+    """Labelled pairs were stored, and read for each of metrics, signals and sweep of each scorer."""
+    from hearthgraph.operators import jobs as W
+    from hearthgraph.operators import metrics as M
+
+    rnd = random.Random(3)
+    rows = [(f"p{i}", rnd.choice([0.0, 19.99996, 20.0, 39.99, 60.00001, 130.0, 5.0]), rnd.random() < 0.5, rnd.choice([0.0, 20.0]), rnd.choice(["match", "no_match", "uncertain"])) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "pair_id string, score double, is_match boolean, s_street double, label string")
+    got = W.evaluate_matcher(pairs.drop("label"), pairs.select("pair_id", "label").union(spark.createDataFrame([("q", "match")], "pair_id string, label string")), ["street"], 0, 120, 20)
+    known = pairs.where("label <> 'uncertain'").withColumns({"truth": F.col("label") == "match", "score": F.round("score", 4)})
+    truth, seen = F.col("truth"), lambda df: sorted(map(str, (r.asDict() for r in df.collect())))
+    assert seen(got["metrics"]) == seen(M.confusion(known, F.col("is_match"), truth))
+    assert seen(got["signals"]) == seen(M.signal_firing(known, ["s_street"], F.col("is_match"), truth))
+    assert seen(got["sweep"]) == seen(M.threshold_sweep(known, truth, 0, 120, 20))
+    assert seen(got["errors"]) == seen(M.errors(known, F.col("is_match"), truth).select("pair_id", "score", "kind"))
+    assert [r.pair_id for r in got["missing"].collect()] == ["q"]
+    assert M.tally(known, {"t": truth}, {"score": F.col("score")}, 0, 120, 20).count() <= 2 * 5
+
+
+def test_evaluating_stores_no_pairs(spark, sf, monkeypatch):
+    from hearthgraph.operators import jobs as W
+    from hearthgraph.plans import registry
+
+    kept = {}
+    for module in (W, L):
+        real = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, real=real: kept.setdefault(name, df.columns) and real(df, name))
+    registry.QUERIES["evaluate_matcher"](spark, sf)
+    assert not any({"unique_id_a", "pair_id"} & {*columns} for columns in kept.values()) and "tally" in kept
